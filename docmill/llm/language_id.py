@@ -24,6 +24,7 @@ def fit(docs: DataFrame, label: str = "lang", rows: int = ROWS, chars: int = CHA
 
     Of each language, ``rows`` rows by hash of the id and ``chars`` characters of each; only the dictionaries
     reach the driver (at most LANGUAGES * rows * chars characters). Rows without label or text don't count.
+    The most common language comes first.
     """
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     # ranks by id first, with text cut: a top-n of each language leaves each task
@@ -32,13 +33,14 @@ def fit(docs: DataFrame, label: str = "lang", rows: int = ROWS, chars: int = CHA
     found: dict[str, list[str]] = {}
     for row in s.orderBy(label, F.desc("rank")).limit(LANGUAGES * rows).toLocalIterator():
         found.setdefault(row[label], []).append(row["text"].lower())
-    return {lang: "\n".join(texts).encode() for lang, texts in sorted(found.items())}
+    common = docs.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES)
+    return {lang: "\n".join(found[lang]).encode() for lang, _ in common.collect() if lang in found}
 
 
 class Classifier:
     """Encodes blocks of whole texts with each dictionary; small sums win."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 1, block: int = 4096):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 9, block: int = 4096):
         import zstandard as z
 
         self.block, self.coders = block, {}
@@ -54,18 +56,18 @@ class Classifier:
         data = text.lower().encode("utf-8", "replace")
         # short blocks, so that the dictionary and not the text's own past explains the text
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.coders.items())
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), i, lang) for i, (lang, c) in enumerate(self.coders.items()))
         if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], min(1.0, sizes[1][0] / max(1, sizes[0][0]) - 1)
+            return sizes[0][2], 1.0
+        return sizes[0][2], min(1.0, sizes[1][0] / max(1, sizes[0][0]) - 1)
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.002) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0005) -> DataFrame:
     """The rows of ``docs`` with lang_pred, score (0 to 1) and rejected.
 
     Every whole text is encoded. Null text or text without a letter is ``und`` with score 0, and rejected; so
     is a text whose two smallest sizes differ by less than ``margin``, though it keeps its language.
-    Ties go to the smaller name. Columns of these names in the input are replaced.
+    Ties go to the more common language. Columns of these names in the input are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)  # bounded by the sample
