@@ -365,3 +365,30 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), d AS (
+  SELECT doc_id, h, (len(h) // 2)::BIGINT AS n FROM t
+), starts AS (
+  SELECT doc_id, unnest(range(0, n - 99)) AS s, h FROM d WHERE n >= 100
+), windows AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY md5(substr(h, 2 * s + 1, 200)) ORDER BY doc_id, s) AS r FROM starts
+), later AS (
+  SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true) AS opens FROM windows WHERE r > 1
+), numbered AS (
+  SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM later
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, g
+), gaps AS (
+  SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM spans
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+    max(CASE WHEN k = 1 THEN substr(h, 1, 2 * a) END) || string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next_a, n) - b)), '' ORDER BY a) AS left_hex
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(from_hex(coalesce(left_hex, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
