@@ -7,8 +7,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separators of words in every contract of this package: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,37 +63,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHasher:
-    """Words of a text as uint64 hashes; a bounded memo keeps the cost near one dict probe a word."""
-
-    def __init__(self, limit: int = 1_000_000):
-        import xxhash
-
-        self._of, self._memo, self._limit = xxhash.xxh3_64_intdigest, {}, limit
-
-    def words(self, text: str) -> list[bytes]:
-        """Lower-cased (A-Z only) words between ASCII white space."""
-        return text.encode("utf-8", "surrogatepass").lower().split()
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        memo, of = self._memo, self._of
-        if len(memo) > self._limit:
-            memo.clear()
-        out = list(map(memo.get, words))
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = memo[words[i]] = of(words[i])
-        return np.array(out, dtype=np.uint64)
-
-    def shingles(self, text: str | None, k: int) -> np.ndarray:
-        """Sorted distinct hashes of the k-word shingles; fewer words: one of the whole sequence; none: empty."""
-        if not text:
-            return np.empty(0, np.uint64)
-        words = self.words(text)
-        if not words:
-            return np.empty(0, np.uint64)
-        return np.unique(windows(self.hashes(words), k))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_PLACE = np.multiply.accumulate(np.full(1 << 16, np.uint64(0x9E3779B97F4A7C15)))
+
+
+def word_hashes(data: bytes, separators: np.ndarray = _SPACE, slice_: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of UTF-8 bytes, A-Z lower-cased; in slices, so that long texts need little besides."""
+    raw = np.frombuffer(data, np.uint8)
+    out, lo = [], 0
+    while lo < len(raw):
+        hi = min(len(raw), lo + slice_)
+        if hi < len(raw):  # cut behind the last separator, or else go on to the next one
+            gap = np.flatnonzero(separators[_LOWER[raw[lo:hi]]])
+            hi = lo + int(gap[-1]) + 1 if len(gap) else lo + slice_
+            while hi < len(raw) and not separators[_LOWER[raw[hi - 1]]]:
+                hi += 1
+        b = _LOWER[raw[lo:hi]]
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = ~separators[b]
+        edge = np.diff(inside)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(start):
+            place = np.arange(len(b))
+            place -= np.repeat(start, np.diff(np.concatenate([start[:1] * 0, start[1:], [len(b)]])))
+            v = _BYTE[b] * _PLACE[place & 0xFFFF]
+            v[inside[1:-1] == 0] = 0
+            out.append((mix64(np.add.reduceat(v, start)), start + lo, end + lo))
+        lo = hi
+    if not out:
+        e = np.empty(0, np.int64)
+        return e.astype(np.uint64), e, e
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def shingles(data: bytes, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles of UTF-8 bytes; fewer words: one of the whole sequence; none: empty."""
+    h = word_hashes(data)[0]
+    return np.unique(windows(h, k)) if len(h) else h
+
+
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with ``text`` replaced by z, compressed for a shuffle; null is empty."""
+    rest = [c for c in docs.columns if c != text]
+
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            *cols, texts = b.columns
+            rows = [z.compress(x.as_buffer()) if x.is_valid else z.compress(b"") for x in texts]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, pa.binary())], names=[*rest, "z"])
+
+    return docs.select(*rest, text).mapInArrow(run, T.StructType([*docs.select(*rest).schema.fields, T.StructField("z", T.BinaryType())]))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

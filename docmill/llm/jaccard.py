@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import WordHasher, i64, mix64, stash, table, text_or_empty
+from docmill.llm.common import i64, packed, shingles, stash, table, text_or_empty
 from docmill.llm.components import components
 
 #: Frequent shingles that move to the end of the global order: at most so many. They only shape the order.
@@ -32,9 +32,8 @@ def frequent_shingles(docs: DataFrame, k: int, keep: int = FREQUENT) -> np.ndarr
     """
 
     def run(batches):
-        hasher = WordHasher()
         for b in batches:
-            sets = [hasher.shingles(x.as_py(), k) for x in b.column(0)]
+            sets = [shingles(x.as_buffer(), k) for x in b.column(0)]
             u, c = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             often = c >= 3
             yield pa.RecordBatch.from_arrays([pa.array(i64(u[often])), pa.array(c[often].astype(np.int64))], names=["s", "n"])
@@ -58,29 +57,39 @@ def digests(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int, h
     import hashlib
 
     def run(batches):
-        hasher = WordHasher()
         ranked = shared.value
         at = np.argsort(ranked)
         ordered = ranked[at]
-        salts = [np.uint64(mix64(np.array([i + 1], np.uint64))[0]) for i in range(hashes)]
+        odd = np.random.default_rng(hashes).integers(0, 2**64, hashes + 1, dtype=np.uint64) | np.uint64(1)
+
+        def place(s: np.ndarray) -> np.ndarray:
+            """Rank among the frequent shingles, -1 for others."""
+            if not len(ordered):
+                return np.full(len(s), -1)
+            pos = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+            return np.where(ordered[pos] == s, at[pos], -1)
+
+        def prefix(s: np.ndarray, length: int) -> np.ndarray:
+            upto = 2 * length + 16
+            while True:  # as far into the hash order as enough rare ones need
+                ranks = place(s[:upto])
+                rare = s[:upto][ranks < 0]
+                if len(rare) >= length:
+                    return rare[:length]
+                if upto >= len(s):
+                    return np.concatenate([rare, s[ranks >= 0][np.argsort(ranks[ranks >= 0])][: length - len(rare)]])
+                upto *= 4
+
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for x in b.column(1):
-                s = hasher.shingles(x.as_py(), k)
+                s = shingles(x.as_buffer(), k)
                 n = len(s)
                 out[0].append(n)
                 out[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                out[2].append([int(v) for v in i64(np.array([mix64(s ^ salt).min() for salt in salts]))] if n else [])
-                length = n - (num * n + den - 1) // den + 1 if n else 0
-                common = np.zeros(n, bool)
-                if len(ordered) and n:
-                    pos = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-                    common = ordered[pos] == s
-                first = s[~common][:length]
-                if len(first) < length:
-                    first = np.concatenate([first, s[common][np.argsort(at[pos[common]], kind="stable")][: length - len(first)]])
-                out[3].append(i64(first))
-                parity = np.bincount((mix64(s ^ np.uint64(0xA5)) >> np.uint64(55)).astype(np.int64), minlength=64 * BITS) & 1
+                out[2].append(i64(np.array([(s * o).min() for o in odd[1:]])) if n else [])
+                out[3].append(i64(prefix(s, n - (num * n + den - 1) // den + 1)) if n else [])
+                parity = np.bincount(((s * odd[0]) >> np.uint64(55)).astype(np.int64), minlength=64 * BITS) & 1
                 out[4].append(np.packbits(parity.astype(np.uint8)).view(">i8").astype(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], longs), pa.array(out[3], longs), pa.array(out[4], longs)], names=["doc_id", "n", "sig", "mins", "prefix", "bits"])
@@ -129,19 +138,17 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, chunk:
     """
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
-    def sets(batches):
-        hasher = WordHasher()
-        for b in batches:
-            rows = [i64(hasher.shingles(x.as_py(), k)).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.large_binary())], names=["doc_id", "elements"])
-
-    known = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, elements binary")
+    # the same kind of join whatever the size: texts go compressed to their pairs, and sets are made there
+    known = packed(docs.select("doc_id", "text")).join(involved.hint("merge"), "doc_id", "left_semi")
     degrees = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     dealt = pairs.join(degrees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     asked = degrees.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).select("a", F.col("a").alias("b"), "chunk")
-    rows = dealt.unionByName(asked).join(known, F.col("b") == F.col("doc_id")).select("a", "b", "chunk", "elements")
+    rows = dealt.unionByName(asked).join(known.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "chunk", "z")
 
     def search(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
         now, query, ids, found = None, None, [], []
 
         def done():
@@ -159,7 +166,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, chunk:
                     a_out += x
                     b_out += y
                     now, query, ids, found = (a, c), None, [], []
-                s = np.frombuffer(e.as_buffer(), np.uint64).copy()
+                s = shingles(z.decompress(e.as_py()), k)
                 if a == b:
                     query = s
                 else:
@@ -188,30 +195,29 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
        shingle is held by several components; sizes, places and parity signatures drop most unformed.
 
     Candidates of 2 and 3 are checked exactly by ``verify``. Shingles are 64-bit hashes. Rows with the same
-    doc_id and different texts share a component. Empty input gives no rows; other columns are ignored.
+    doc_id and different texts are one node with the links of either. Empty input gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
     frequent = frequent_shingles(docs, k)
     known = stash(digests(docs, frequent, k, num, den), "digests")
     classes = known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     equal = known.where("n > 0").select("doc_id", "sig").join(classes, "sig").select("doc_id", "rep")
-    reps = known.where("n > 0").join(classes, (known["sig"] == classes["sig"]) & (known["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id", "sig"])
-    # one text for each class, so that equal texts are read once
-    texts = docs.join(reps.select("doc_id"), "doc_id", "left_semi")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    mins = reps.select("doc_id", F.posexplode("mins").alias("i", "h"))
+    mins = known.where("n > 0").select("doc_id", "mins").join(reps, "doc_id", "left_semi").select("doc_id", F.posexplode("mins").alias("i", "h"))
     hubs = mins.groupBy("i", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = mins.join(hubs, ["i", "h"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = stash(verify(stash(stars, "stars"), texts, k, num, den), "links")
+    links = stash(verify(stash(stars, "stars"), docs, k, num, den), "links")
     so_far = stash(components(links), "components")
 
     # 3. prefixes with the component so far
-    p = reps.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("c"), "prefix")
+    reps = reps.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
     own = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)) + 1  # prefix of the smaller of two
-    p = p.select("doc_id", "n", "c", own.alias("own"), F.posexplode("prefix").alias("pos", "s"))
+    wide = known.where("n > 0").join(reps.hint("merge"), "doc_id").withColumn("own", own)
+    p = wide.select("doc_id", "c", "own", F.posexplode("prefix").alias("pos", "s"))
     several = p.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("pos") < F.col("own")).alias("small")).where("lo <> hi AND small").select("s")
-    p = p.join(several, "s").select("s", "doc_id", "n", "c", "own", "pos")
-    p = stash(p.join(reps.select("doc_id", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITS)]), "doc_id"), "prefixes")
+    p = p.select("doc_id", "pos", "s").join(several.hint("merge"), "s")
+    p = stash(p.join(wide.select("doc_id", "n", "c", "own", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITS)]), "doc_id"), "prefixes")
     x, y = p.alias("x"), p.alias("y")
     X, Y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     both = X("n") + Y("n")
@@ -222,7 +228,7 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         & (Y("n") * num <= X("n") * den) & (F.least(X("n") - X("pos"), Y("n") - Y("pos")) >= needed) & (apart <= both - 2 * needed)
     )
     pairs = x.join(y, condition).select(X("doc_id").alias("a"), Y("doc_id").alias("b")).distinct()
-    more = verify(stash(pairs, "pairs"), texts, k, num, den)
+    more = verify(stash(pairs, "pairs"), docs, k, num, den)
     final = components(so_far.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")))
     return known.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

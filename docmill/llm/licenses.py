@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import WordHasher, table, windows
+from docmill.llm.common import table, windows, word_hashes
 
 #: Notices and texts of public licenses.
 TEMPLATES = {
@@ -28,6 +28,7 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 _TOKEN = re.compile(rb"[0-9a-z]+")
+_BETWEEN = np.array([not (48 <= c < 58 or 97 <= c < 123) for c in range(256)])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -46,21 +47,22 @@ class Index:
     """Inverted index of the templates' fingerprints."""
 
     def __init__(self, templates: dict[str, str], k: int = 3, window: int = 3):
-        self.k, self.hasher = k, WordHasher()
+        self.k = k
         self.names, self.words = list(templates), [tokens(t) for t in templates.values()]
         entries = []
         for i, ws in enumerate(self.words):
-            h = windows(self.hasher.hashes(ws), k)
+            h = windows(word_hashes(b" ".join(ws), _BETWEEN)[0], k)
             entries += [(int(h[p]), i, int(p)) for p in winnow(h, window)]
         entries.sort()
         self.keys = np.array([e[0] for e in entries], np.uint64)
         self.where = [(i, p) for _, i, p in entries]
 
-    def hits(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(template, place in the text, place in the template) of equal fingerprints."""
-        if len(words) < self.k:
+    def hits(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(template, word of the text, word of the template) of equal fingerprints."""
+        h = word_hashes(data, _BETWEEN)[0]
+        if len(h) < self.k:
             return []
-        h = windows(self.hasher.hashes(words), self.k)
+        h = windows(h, self.k)
         lo = np.searchsorted(self.keys, h)
         at = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == h)
         out = []
@@ -110,13 +112,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = x.as_py()
-                if not text:
+                hits = index.hits(x.as_buffer()) if x.is_valid else []
+                if not hits:
                     continue
-                words = tokens(text)
+                data = x.as_py().encode("utf-8", "surrogatepass")
+                words = _TOKEN.findall(data.lower())
                 ends: dict[int, int] = {}
                 offsets = None
-                for t, j, p in index.hits(words):
+                for t, j, p in hits:
                     if j < ends.get(t, 0):
                         continue
                     template = index.words[t]
@@ -124,7 +127,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                     if n < coverage * len(template) or n < coverage * (b - a + 1) or a < ends.get(t, 0):
                         continue
                     if offsets is None:
-                        data = text.encode("utf-8", "surrogatepass")
                         offsets = [m.span() for m in _TOKEN.finditer(data.lower())]
                     ends[t] = b + 1
                     lo, hi = (len(data[:e].decode("utf-8", "ignore")) for e in (offsets[a][0], offsets[b][1]))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import mix64, stash, table
+from docmill.llm.common import mix64, packed, stash, table
 
 DEPTH, GRAM, BLOCK = 100, 36, 1 << 18
 SPREAD = 64  # sub-keys of an anchor that a batch finds in many different runs
@@ -160,22 +160,6 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k", "run", "doc_id", "t", "place").mapInArrow(run, RUNS)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """The rows with ``text`` replaced by z, compressed for a shuffle; null is empty."""
-    rest = [c for c in docs.columns if c != "text"]
-
-    def run(batches):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            *cols, text = b.columns
-            rows = [z.compress(x.as_buffer()) if x.is_valid else z.compress(b"") for x in text]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, pa.binary())], names=[*rest, "z"])
-
-    return docs.select(*rest, "text").mapInArrow(run, T.StructType([*docs.select(*rest).schema.fields, T.StructField("z", T.BinaryType())]))
-
-
 OPEN = "k long, doc_id long, t long, first long, n int, bytes binary"
 
 
