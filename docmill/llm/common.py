@@ -106,6 +106,22 @@ def shingles(data: bytes, k: int) -> np.ndarray:
     return np.unique(windows(h, k)) if len(h) else h
 
 
+def unpacked(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows with z decompressed to ``text``, in the columns of ``schema``; what was null is empty."""
+    names = schema.fieldNames()
+
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for b in slices(batches, 2048):
+            at = {n: i for i, n in enumerate(b.schema.names)}
+            texts = pa.array([z.decompress(x.as_py()) for x in b.column(at["z"])], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([texts if n == "text" else b.column(at[n]) for n in names], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with ``text`` replaced by z, compressed for a shuffle; null is empty."""
     rest = [c for c in docs.columns if c != text]
@@ -133,5 +149,12 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc)
 
 
+def slices(batches, rows: int):
+    """Batches of at most ``rows`` rows, so that what a step holds besides is bounded."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def i64(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=np.uint64).view(np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import i64, packed, shingles, stash, table, text_or_empty
+from docmill.llm.common import i64, packed, shingles, slices, stash, table, text_or_empty
 from docmill.llm.components import components
 
 #: Frequent shingles that move to the end of the global order: at most so many. They only shape the order.
@@ -26,13 +26,13 @@ def overlap_needed(n, m, num: int, den: int):
 def frequent_shingles(docs: DataFrame, k: int, keep: int = FREQUENT) -> np.ndarray:
     """Hashes of shingles in many documents, most frequent last.
 
-    Each batch counts its shingles; what is in three documents of a batch or more is summed over all batches.
+    Slices of 4096 documents count their shingles; what is in three documents of a slice or more is summed over all.
     The list is a bounded hint for the order of shingles: any order gives the same links, this one gives few
     candidates.
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 4096):
             sets = [shingles(x.as_buffer(), k) for x in b.column(0)]
             u, c = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             often = c >= 3
@@ -80,7 +80,7 @@ def digests(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int, h
                     return np.concatenate([rare, s[ranks >= 0][np.argsort(ranks[ranks >= 0])][: length - len(rare)]])
                 upto *= 4
 
-        for b in batches:
+        for b in slices(batches, 1024):
             out: list[list] = [[] for _ in range(5)]
             for x in b.column(1):
                 s = shingles(x.as_buffer(), k)
@@ -213,7 +213,7 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     # 3. prefixes with the component so far
     reps = reps.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
     own = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)) + 1  # prefix of the smaller of two
-    wide = known.where("n > 0").join(reps.hint("merge"), "doc_id").withColumn("own", own)
+    wide = stash(known.where("n > 0").select("doc_id", "n", "prefix", "bits").join(reps.hint("merge"), "doc_id").withColumn("own", own), "wide")
     p = wide.select("doc_id", "c", "own", F.posexplode("prefix").alias("pos", "s"))
     several = p.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("pos") < F.col("own")).alias("small")).where("lo <> hi AND small").select("s")
     p = p.select("doc_id", "pos", "s").join(several.hint("merge"), "s")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import mix64, packed, stash, table
+from docmill.llm.common import mix64, packed, slices, stash, table
 
 DEPTH, GRAM, BLOCK = 100, 36, 1 << 18
 SPREAD = 64  # sub-keys of an anchor that a batch finds in many different runs
@@ -83,7 +83,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches, 4096):
             rows: list[list[np.ndarray]] = [[], [], [], [], []]
             ids, ts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for i, x in enumerate(batch.column(2)):
