@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import jaccard, language_id, mixing, packing, suffix_dedup
-from docmill.llm.common import stash, table
+from docmill.llm.common import packed, stash, table, unpacked
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more. Of rows with one id, one stays; rows without id stay."""
     first = jaccard.near_classes(docs, k=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    kept = packed(docs).join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return unpacked(kept, docs.schema).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
