@@ -61,13 +61,13 @@ class Model:
         self.base = float(bias[1] - bias[0])
 
     def scorer(self):
-        feats, memo, weight = Features(), {}, self.weight
+        feats, memo, weight = Features(20_000), {}, self.weight
 
         def score(text: str | None) -> float:
             words = split(text)
             if not words:
                 return 1 / (1 + np.exp(-self.base))
-            if len(memo) > 1_000_000:
+            if len(memo) > 400_000:
                 memo.clear()
             total, count, hs = 0.0, 0, []
             for w in words:
