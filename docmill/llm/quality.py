@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import mix64, stash, table
+from docmill.llm.common import _SPACE, mix64, stash, table, word_hashes
 from docmill.llm.language_id import held_out
 
 #: Bounds of the fitted sample: rows of each label, bytes of text in all.
@@ -16,40 +16,37 @@ BUCKETS, DIM, SHORT, LONG = 1 << 16, 16, 3, 5
 SEED = np.uint64(0x51ED270B)
 
 
-def _hash(data: bytes) -> int:
-    import xxhash
+_STEP, _SCATTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-    return xxhash.xxh3_64_intdigest(data)
 
+def buckets(h: np.ndarray) -> np.ndarray:
+    return ((h * _SCATTER) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
-class Features:
-    """Feature ids: of each word, itself and its character n-grams (of <word>); of each pair of words, the pair."""
 
-    def __init__(self, limit: int = 400_000):
-        self.memo: dict[str, tuple[int, np.ndarray]] = {}
-        self.limit = limit
+def features(data: bytes, piece: int = 1 << 19):
+    """Arrays of bucket numbers of a text's UTF-8 bytes, piece by piece, so that long texts need little besides.
 
-    def word(self, w: str) -> tuple[int, np.ndarray]:
-        found = self.memo.get(w)
-        if found is None:
-            if len(self.memo) > self.limit:
-                self.memo.clear()
-            h = _hash(w.encode("utf-8", "replace"))
-            s = f"<{w[:64]}>"
-            grams = {s[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(s) - n + 1)}
-            ids = sorted({h % BUCKETS, *(_hash(b"#" + g.encode("utf-8", "replace")) % BUCKETS for g in grams)})
-            found = self.memo[w] = (h, np.array(ids, np.int64))
-        return found
-
-
-def split(text: str | None) -> list[str]:
-    return (text or "").split()
-
-
-def pairs(h: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words; a repeated word is the pair of any word with itself, so repetition has one feature."""
-    a, b = h[:-1], h[1:]
-    return (np.where(a == b, SEED, mix64(a * np.uint64(3) ^ b)) % np.uint64(BUCKETS)).astype(np.int64)
+    Each word (A-Z lower-cased); each pair of neighbours, where a word and itself are one feature whatever the
+    word; each SHORT- to LONG-gram of bytes as they are, with white space at its ends only.
+    """
+    h = word_hashes(data)[0]
+    yield buckets(h)
+    if len(h) > 1:
+        yield buckets(np.where(h[:-1] == h[1:], SEED, mix64(h[:-1] * np.uint64(3) ^ h[1:])))
+    raw = np.frombuffer(data, np.uint8)
+    for lo in range(0, len(raw), piece):
+        b = raw[lo : lo + piece + LONG - 1]
+        space = _SPACE[b]
+        v = np.where(space, np.uint8(32), b).astype(np.uint64)
+        seen = np.cumsum(space)
+        g, own = v, min(piece, len(b))
+        for n in range(2, LONG + 1):
+            if len(v) < n:
+                break
+            g = g[: len(v) - n + 1] * _STEP + v[n - 1 :]
+            if n >= SHORT:
+                inner = seen[n - 2 : len(seen) - 1] == seen[: len(v) - n + 1]
+                yield buckets(g[:own][inner[:own]])
 
 
 class Model:
@@ -60,46 +57,23 @@ class Model:
         self.weight = (vectors @ (out[1] - out[0])).astype(np.float64)
         self.base = float(bias[1] - bias[0])
 
-    def scorer(self):
-        feats, memo, weight = Features(20_000), {}, self.weight
-
-        def score(text: str | None) -> float:
-            words = split(text)
-            if not words:
-                return 1 / (1 + np.exp(-self.base))
-            if len(memo) > 400_000:
-                memo.clear()
-            total, count, hs = 0.0, 0, []
-            for w in words:
-                x = memo.get(w)
-                if x is None:
-                    h, ids = feats.word(w)
-                    x = memo[w] = (float(weight[ids].sum()), len(ids), h)
-                total += x[0]
-                count += x[1]
-                hs.append(x[2])
-            if len(hs) > 1:
-                p = pairs(np.array(hs, np.uint64))
-                total += float(weight[p].sum())
-                count += len(p)
-            return float(1 / (1 + np.exp(-np.clip(self.base + total / count, -40, 40))))
-
-        return score
-
-
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 4.0, seed: int = 7) -> Model:
+    def score(self, data: bytes) -> float:
+        total, count = 0.0, 0
+        for ids in features(data):
+            total += float(self.weight[ids].sum())
+            count += len(ids)
+        return float(1 / (1 + np.exp(-np.clip(self.base + total / max(1, count), -40, 40))))
+
+
+def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 4.0, seed: int = 7) -> Model:
     """Stochastic gradient descent over single documents; classes weigh alike."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    feats, bags = Features(), []
+    bags = []
     for t in texts:
-        ws = [feats.word(w) for w in split(t)]
-        ids = [x[1] for x in ws]
-        if len(ws) > 1:
-            ids.append(pairs(np.array([x[0] for x in ws], np.uint64)))
-        all_ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        u, c = np.unique(all_ids, return_counts=True)
+        ids = np.concatenate(list(features(t.encode("utf-8", "replace"))))
+        u, c = np.unique(ids, return_counts=True)
         bags.append((u, (c / max(1, c.sum())).astype(np.float32)))
     y = np.array(labels)
     share = np.bincount(y, minlength=2) / max(1, len(y))
@@ -154,9 +128,9 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
-        of = shared.value.scorer()
+        model = shared.value
         for b in batches:
-            s = [of(x.as_py()) for x in b.column(2)]
+            s = [model.score(x.as_buffer() if x.is_valid else b"") for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= cut) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
