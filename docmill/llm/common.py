@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -48,6 +50,22 @@ def drop_stash(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(run):
+    """``run`` over Arrow batches; at its end the worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -110,6 +128,7 @@ def unpacked(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows with z decompressed to ``text``, in the columns of ``schema``; what was null is empty."""
     names = schema.fieldNames()
 
+    @tidy
     def run(batches):
         import zstandard
 
@@ -126,6 +145,7 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with ``text`` replaced by z, compressed for a shuffle; null is empty."""
     rest = [c for c in docs.columns if c != text]
 
+    @tidy
     def run(batches):
         import zstandard
 

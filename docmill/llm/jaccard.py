@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import i64, packed, shingles, slices, stash, table, text_or_empty
+from docmill.llm.common import i64, packed, shingles, slices, stash, table, text_or_empty, tidy
 from docmill.llm.components import components
 
 #: Frequent shingles that move to the end of the global order: at most so many. They only shape the order.
@@ -31,6 +31,7 @@ def frequent_shingles(docs: DataFrame, k: int, keep: int = FREQUENT) -> np.ndarr
     candidates.
     """
 
+    @tidy
     def run(batches):
         for b in slices(batches, 4096):
             sets = [shingles(x.as_buffer(), k) for x in b.column(0)]
@@ -56,6 +57,7 @@ def digests(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int, h
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT
     import hashlib
 
+    @tidy
     def run(batches):
         ranked = shared.value
         at = np.argsort(ranked)
@@ -145,6 +147,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, chunk:
     asked = degrees.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).select("a", F.col("a").alias("b"), "chunk")
     rows = dealt.unionByName(asked).join(known.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "chunk", "z")
 
+    @tidy
     def search(batches):
         import zstandard
 

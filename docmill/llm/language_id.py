@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table
+from docmill.llm.common import table, tidy
 
 #: Bounds of the fitted sample: rows of each language, characters of each row, and languages.
 ROWS, CHARS, LANGUAGES = 128, 2000, 256
@@ -74,6 +74,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0
     own = ["lang_pred", "score", "rejected"]
     docs = docs.drop(*own)
 
+    @tidy
     def run(batches):
         of = Classifier(shared.value)
         for batch in batches:

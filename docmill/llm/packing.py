@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import stash, table
+from docmill.llm.common import stash, table, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,6 +44,7 @@ def cut(docs: DataFrame, size: int = 2048, tokenizer: str | None = None) -> Data
     give repeated pieces. Empty input gives no rows; other columns are ignored.
     """
 
+    @tidy
     def run(batches):
         import public_tokenizers
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import mix64, packed, slices, stash, table
+from docmill.llm.common import mix64, packed, slices, stash, table, tidy
 
 DEPTH, GRAM, BLOCK = 100, 36, 1 << 18
 SPREAD = 64  # sub-keys of an anchor that a batch finds in many different runs
@@ -81,6 +81,7 @@ WIDE, DONE = np.int64(1 << 20), np.int64(1 << 21)  # flags: the anchor has sever
 def anchors(docs: DataFrame) -> DataFrame:
     """Anchors of all windows of (doc_id, t, text). Of equal runs in a batch only the first goes to its anchor; the others are DONE and go anywhere."""
 
+    @tidy
     def run(batches):
         hasher = Hasher()
         for batch in slices(batches, 4096):
@@ -117,6 +118,7 @@ RUNS = "doc_id long, t long, first long, n int, anchor int, open boolean"
 def settle(rows: DataFrame) -> DataFrame:
     """Runs that repeat an earlier equal one (not open), and runs to be ordered (open): the first of each kind where an anchor has several."""
 
+    @tidy
     def run(batches):
         last_k = last_run = None
         many, pending = False, None
@@ -166,6 +168,7 @@ OPEN = "k long, doc_id long, t long, first long, n int, bytes binary"
 def open_texts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
     """Open runs with their bytes, keyed by anchor."""
 
+    @tidy
     def run(batches):
         import zstandard
 
@@ -192,6 +195,7 @@ def open_texts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
 def windows_apart(rows: DataFrame) -> DataFrame:
     """Each window of the runs as a row of its own, keyed by its text."""
 
+    @tidy
     def run(batches):
         for b in batches:
             out: list[list] = [[], [], [], [], []]
@@ -247,6 +251,7 @@ def order_windows(rows: DataFrame, bundle: int = 4096) -> DataFrame:
         z = np.concatenate([a[1:], [len(s)]]) - 1 if len(s) else a
         return pa.RecordBatch.from_arrays([pa.array(d[a]), pa.array(tt[a]), pa.array(s[a]), pa.array((s[z] - s[a] + 1).astype(np.int32))], names=["doc_id", "t", "first", "n"])
 
+    @tidy
     def run(batches):
         held: list[pa.RecordBatch] = []
         count = 0
@@ -322,6 +327,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c != "t"]
     fields = {f.name: f for f in docs.schema.fields}
 
+    @tidy
     def run(batches):
         import zstandard
 
