@@ -87,8 +87,8 @@ def _round(state: Column) -> Column:
     return let(scored, judged)
 
 
-def fix_encoding(c: Column) -> tuple[Column, Column]:
-    """Repaired text and the number of corrections; up to three rounds, each taken whole or not at all."""
+def repaired(c: Column) -> Column:
+    """Struct of repaired text and n, the number of corrections; up to three rounds, each taken whole or not at all."""
     state = F.struct(c.alias("text"), F.lit(0).alias("fixes"), F.lit(True).alias("going"))
     for _ in range(3):
         state = let(state, _round)
@@ -97,5 +97,10 @@ def fix_encoding(c: Column) -> tuple[Column, Column]:
         rest = sub(s["text"], r"[\u0080-\u009f]")
         return let(rest, lambda r: F.struct(r.alias("text"), F.when(r == c, F.lit(0)).otherwise(s["fixes"] + F.length(s["text"]) - F.length(r)).alias("n")))
 
-    out = let(state, last)
+    return let(state, last)
+
+
+def fix_encoding(c: Column) -> tuple[Column, Column]:
+    """Repaired text and the number of corrections."""
+    out = repaired(c)
     return out["text"], out["n"]
