@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.dates import parse_date
-from docmill.functions.jstext import PICTOGRAPHS, WS, sub, trim, units
+from docmill.functions.jstext import PICTOGRAPHS, WS, let, sub, trim, units
 from docmill.functions.markdown import html_to_markdown, menu_metrics, plain_text
 from docmill.functions.redact import KINDS, redact
 from docmill.functions.text import clean, normalize_whitespace, remove_inline_images, repaired, strip_control
@@ -71,11 +71,14 @@ def category(c: Column) -> Column:
     return normalize_whitespace(sub(c, rf"\A[{WS}\-–—•·|>]+"))
 
 
-def _redacted(d: DataFrame, name: str) -> DataFrame:
-    """``name`` cleaned and redacted, with {name}_found."""
-    text, counts = redact(F.col("_clean"))
-    found = F.struct(*[counts[k].alias(k) for k in KINDS])
-    return d.withColumn("_clean", clean(F.col(name), control=True)).withColumns({name: text, f"{name}_found": found}).drop("_clean")
+def _redacted(c: Column) -> Column:
+    """Struct of clean, redacted text and the number of matches of each kind; null stays null."""
+
+    def run(t: Column) -> Column:
+        text, counts = redact(t)
+        return F.struct(text.alias("text"), F.struct(*[counts[k].alias(k) for k in KINDS]).alias("found"))
+
+    return let(clean(c, control=True), run)
 
 
 def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool = False, include_menu: bool = False) -> DataFrame:
@@ -96,8 +99,8 @@ def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool =
     d = d.withColumns({t: F.col("_fixed")[i]["text"] for i, t in enumerate(texts)} | {"n_fixes": sum((F.col("_fixed")[i]["n"] for i in range(len(texts))), F.lit(0))}).drop("_fixed")
     body, images = remove_inline_images(F.col("body"))
     d = html_to_markdown(d.withColumns({"body": body, "n_images": images}), "body", "body")
-    for name in texts:
-        d = _redacted(d, name)
+    d = d.withColumn("_safe", F.transform(F.array(*texts), _redacted))
+    d = d.withColumns({t: F.col("_safe")[i]["text"] for i, t in enumerate(texts)} | {f"{t}_found": F.col("_safe")[i]["found"] for i, t in enumerate(texts)}).drop("_safe")
     d = d.withColumn("categorie", category(F.col("categorie"))).withColumn("plain", plain_text(F.col("body"))).withColumn("menu", menu_metrics(F.col("body")))
     d = d.withColumns({n: parse_date(F.col(n)) for n in DATE_KEYS})
     counters = {n: sum((F.col(f"{t}_found.{k}") for t in texts), F.lit(0)) for k, n in COUNTERS.items()}
@@ -107,7 +110,7 @@ def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool =
     warnings = [F.when(F.col(f"{n}.raw").isNotNull(), F.concat(named, F.lit(": " + w))) for n, w in DATE_WARNING.items()]
     ignored = F.concat(F.lit("Element "), F.col("pos").cast("string"), F.lit(": article ignore car ce n'est pas un objet."))
     blank = lambda n: F.nullif(F.col(n), F.lit(""))
-    return d.withColumn("status", status).select(
+    out = F.struct(
         "pos",
         "status",
         F.when(F.col("no_id"), F.col("pos").cast("string")).otherwise(F.col("article_id")).alias("article_id"),
@@ -125,6 +128,8 @@ def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool =
         *[c.alias(n) for n, c in counters.items()],
         F.when(F.col("status").isin("menu", "kept"), F.array_compact(F.array(*warnings))).when(F.col("status") == "not_object", F.array(ignored)).alias("warnings"),
     )
+    # a generator, so that filters on what it gives stay above it: pushed below, they would repeat the whole clean-up
+    return d.withColumn("status", status).select(F.inline(F.array(out)))
 
 
 def to_documents(processed: DataFrame, source_file: str = "articles.json", tool: str = "articles") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import dates, keys, markdown, redact, text
-from docmill.operators import diagnostics, qualify, records, tickets
+from docmill.operators import articles, diagnostics, qualify, records, tickets
 from docmill.sources import sinks
 
 QUERIES: dict = {}
@@ -419,3 +419,59 @@ def ticket_report(spark, sf_dir):
     return tickets.report(tickets.process(*_tickets(spark, sf_dir)), 40)
 
 
+# --- articles -------------------------------------------------------------------------------------------
+
+MENU_PAGE = "<h2>Sommaire</h2><ul>" + "".join(f'<li><a href="/knowledge/article/{i}">Une page de la documentation {i}</a></li>' for i in range(6)) + "</ul>"
+#: What the first key of an item says of its being active, by id.
+ACTIVE_JSON = ("", '"actif":false,', '"active":"non",', '"actif":0,', '"actif":"Oui ",', '"actif":true,', '"actif":null,', "")
+TITLE_JSON = ('"titre":" Note \u00e9  x",', '"display_name":"Nom",', "")
+DATE_JSON = ('"created_at":45000,', '"created_at":"bientot",')
+
+
+def _articles(spark, sf_dir):
+    """Documents as items of a JSON export: every eighth is no object, others vary in what they hold."""
+    d = tagged(read(spark, sf_dir, "documents"), "doc_id", "text", SECRETS)
+    body = F.when(F.col("doc_id") % 7 == 0, F.lit(MENU_PAGE)).when(F.col("doc_id") % 7 == 1, F.lit("<p>court</p>")).otherwise(F.col("text"))
+    ids = F.when(F.col("doc_id") % 4 > 1, F.col("doc_id")).alias("id"), F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("x-"), F.col("doc_id"))).alias("external_id")
+    rest = F.to_json(F.struct(*ids, F.concat(F.lit("\u2022 \u2b50 "), F.col("lang"), F.lit("/aide *")).alias("categorie"), body.alias("corps")))
+    d = d.select("doc_id", F.lit("{").alias("head"), rest.alias("rest"))
+    for parts in (ACTIVE_JSON, TITLE_JSON, DATE_JSON):
+        d = tagged(d, "doc_id", "head", parts)
+    item = F.when(F.col("doc_id") % 8 == 0, F.lit('"a text"')).otherwise(F.concat("head", F.substr("rest", F.lit(2))))
+    return articles.process(d.select(F.col("doc_id").alias("pos"), F.parse_json(item).alias("item")))
+
+
+_BODY = _SEC
+for _a, _b in ((r"[ \t]+\n", "chr(10)"), (r"\n[ \t]+", "chr(10)"), (rf"\n-{_WS_SQL}+", "chr(10) || '- '"), (r"\n{3,}", "chr(10) || chr(10)")):
+    _BODY = f"regexp_replace({_BODY}, '{_a}', {_b}, 'g')"
+_TEXT = "t"
+for _a, _b in ((r"```[\s\S]*?```", " "), (r"`([^`]+)`", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"[*_#>`-]+", " ")):
+    _TEXT = f"regexp_replace({_TEXT}, '{_a}', '{_b}', 'g')"
+ARTICLES_SQL = f"""
+WITH r AS MATERIALIZED ({redact_sql(ws_sql(control_sql(ws_sql(_BODY))))}),
+s AS (SELECT *, CASE WHEN doc_id % 8 = 0 THEN 'not_object' WHEN doc_id % 8 IN (1, 2, 3) THEN 'inactive' WHEN doc_id % 7 = 1 THEN 'short' WHEN doc_id % 7 = 0 THEN 'menu' WHEN len({ws_sql(_TEXT)}) < 100 THEN 'short' ELSE 'kept' END AS status FROM r),
+a AS MATERIALIZED (SELECT doc_id AS pos, status, CASE doc_id % 4 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'x-' || doc_id ELSE doc_id::VARCHAR END AS article_id,
+  CASE doc_id % 3 WHEN 0 THEN 'Note é x' WHEN 1 THEN 'Nom' ELSE 'Article ' || doc_id END AS title, lang || '/aide' AS categorie,
+  CASE WHEN doc_id % 2 = 0 THEN '2023-03-15T00:00:00.000Z' END AS created_at, t AS body_markdown, n_secret, n_certificate, n_ip, n_path,
+  CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Article ' || doc_id || ': date de creation non convertie.' END AS warnings FROM s JOIN documents USING (doc_id))
+"""
+_ARTICLE = ("article_id", "title", "categorie", "created_at", "body_markdown", "n_secret", "n_certificate", "n_ip", "n_path", "warnings")
+
+
+@query(ARTICLES_SQL + "SELECT pos, status, " + ", ".join(f"CASE WHEN status = 'kept' THEN {c} END AS {c}" for c in _ARTICLE) + " FROM a")
+def article_records(spark, sf_dir):
+    a = _articles(spark, sf_dir).withColumn("warnings", F.array_join("warnings", "|"))
+    return a.select("pos", "status", *[F.when(F.col("status") == "kept", F.col(c)).alias(c) for c in _ARTICLE])
+
+
+@query(ARTICLES_SQL + "SELECT pos, article_id, '# ' || title || chr(10) || chr(10) || 'Categorie: ' || categorie || chr(10) || chr(10) || body_markdown AS content FROM a WHERE status = 'kept'")
+def article_documents(spark, sf_dir):
+    return articles.to_documents(_articles(spark, sf_dir)).select("pos", "metadata.article_id", "content")
+
+
+_TIMES = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {n}" for s, n in (("kept", "n_articles"), ("inactive", "n_inactive"), ("short", "n_short"), ("menu", "n_menu_excluded"), ("menu", "n_menu"), ("menu", "n_mostly_links")))
+
+
+@query(ARTICLES_SQL + f"SELECT count(*) AS n_items, {_TIMES}, round(6 * count(*) FILTER (WHERE status = 'menu') / count(*) FILTER (WHERE status IN ('kept', 'menu'))::DOUBLE, 2) AS avg_links FROM a")
+def article_report(spark, sf_dir):
+    return articles.report(_articles(spark, sf_dir)).select("n_items", "n_articles", "n_inactive", "n_short", "n_menu_excluded", "n_menu", "n_mostly_links", "avg_links")
