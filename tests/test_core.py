@@ -91,3 +91,13 @@ def test_query(spark, name):
             c.sql(f"create view {f[:-8]} as select * from '{SF}/{f}'")
         want = [fix(r) for r in c.sql(f"SELECT {', '.join(f'\"{x}\"' for x in cols)} FROM ({ORACLES[name]})").fetchall()]
         assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_links_on_whole_texts(spark, tmp_path):
+    texts = {3: "word " * 100, 9: "short", 21: "\n".join(["word " * 40] * 3), 24: "a " * 60000 + "end"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = {r.doc_id: r for r in QUERIES["markdown_plain"](spark, str(tmp_path)).collect()}
+    assert all(plain[i].plain.split()[: len(t.split())] == t.split() for i, t in texts.items())
+    assert [plain[i].n_links for i in texts] == [1, 5, 5, 0]
+    m = {r.doc_id: r for r in QUERIES["menu_metrics"](spark, str(tmp_path)).collect()}
+    assert [m[i].is_menu for i in texts] == [False, True, False, False] and m[21].n_outside >= 599 and m[24].n_outside == len(texts[24])
