@@ -74,25 +74,51 @@ class Index:
         return out
 
 
-def align(template: list[bytes], words: list[bytes], start: int, band: int) -> tuple[int, int, int]:
-    """Longest common subsequence of the template and the words from ``start``, within ``band`` of the diagonal: matched, first and last word."""
-    # best[d]: (matched, -first, last) of paths that end on diagonal d - band
-    best = [(0, 0, -1)] * (2 * band + 1)
+def align(template: list[bytes], words: list[bytes], start: int, band: int, lo: int, hi: int, coverage: float) -> tuple[int, int, int] | None:
+    """Matched, first and last word of a common subsequence of the template and of words lo to hi, within ``band`` of the diagonal from ``start``.
+
+    It is the longest one that is at least ``coverage`` of the template and of its span; of equals the shortest, then the earliest. None if there is none.
+    """
+    size = len(template)
+    # best[d, m]: latest first word of m matches on a path that ends on diagonal d - band
+    best = np.full((2 * band + 1, size + 1), -1)
+    found = None
     for i, w in enumerate(template):
-        new = list(best)
+        new = best.copy()
         for d in range(2 * band + 1):
             j = start + i + d - band
-            here = new[d]
-            if 0 <= j < len(words) and words[j] == w:
-                m, first, _ = best[d]
-                here = max(here, (m + 1, -j if m == 0 else first, j))
-            if d and new[d - 1] > here:
-                here = new[d - 1]
-            new[d] = here
+            if lo <= j < hi and words[j] == w:
+                here = best[d, :-1].copy()
+                here[0] = j
+                np.maximum(new[d, 1:], here, out=new[d, 1:])
+                m = np.flatnonzero(here >= 0) + 1
+                span = j - here[m - 1] + 1
+                good = np.flatnonzero((m >= coverage * size) & (m >= coverage * span))
+                if len(good):
+                    n, first = int(m[good[-1]]), int(here[m[good[-1]] - 1])
+                    key = (n, first - j, -first)
+                    if found is None or key > found[0]:
+                        found = key, (n, first, j)
+            if d:
+                np.maximum(new[d], new[d - 1], out=new[d])
         # a template word without partner moves a path one diagonal down
-        best = [max(new[d], new[d + 1]) if d < 2 * band else new[d] for d in range(2 * band + 1)]
-    m, first, last = max(best)
-    return m, -first, last
+        best = new
+        best[:-1] = np.maximum(new[:-1], new[1:])
+    return found[1] if found else None
+
+
+def spans(template: list[bytes], words: list[bytes], at: int, start: int, band: int, lo: int, coverage: float) -> list[tuple[int, int, int]]:
+    """Alignments around the equal fingerprint at word ``at``, in order: the best one, and towards ``at`` those that it leaves room for."""
+    out, hi = [], len(words)
+    while got := align(template, words, start, band, lo, hi, coverage):
+        out.append(got)
+        if got[1] > at:
+            hi = got[1]
+        elif got[2] < at:
+            lo = got[2] + 1
+        else:
+            break
+    return sorted(out, key=lambda x: x[1])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, band: int = 8) -> DataFrame:
@@ -123,15 +149,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                     if j < ends.get(t, 0):
                         continue
                     template = index.words[t]
-                    n, a, b = align(template, words, j - p, band)
-                    if n < coverage * len(template) or n < coverage * (b - a + 1) or a < ends.get(t, 0):
-                        continue
-                    if offsets is None:
-                        offsets = [m.span() for m in _TOKEN.finditer(data.lower())]
-                    ends[t] = b + 1
-                    lo, hi = (len(data[:e].decode("utf-8", "ignore")) for e in (offsets[a][0], offsets[b][1]))
-                    for col, v in zip(out, (doc, index.names[t], n, n / len(template), lo, hi), strict=True):
-                        col.append(v)
+                    for n, a, b in spans(template, words, j, j - p, band, ends.get(t, 0), coverage):
+                        if offsets is None:
+                            offsets = [m.span() for m in _TOKEN.finditer(data.lower())]
+                        ends[t] = b + 1
+                        lo, hi = (len(data[:e].decode("utf-8", "ignore")) for e in (offsets[a][0], offsets[b][1]))
+                        for col, v in zip(out, (doc, index.names[t], n, n / len(template), lo, hi), strict=True):
+                            col.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "license", "n_matched", "coverage", "start_char", "end_char"])
 

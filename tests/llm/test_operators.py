@@ -199,6 +199,20 @@ def test_licenses(spark):
     assert (rows[1].start_char, rows[1].end_char) == (2, 33)
 
 
+def test_licenses_stray_words(spark):
+    texts = ["Released under the MIT License. See the LICENSE file", "All rights reserved. All rights reserved.", "for all of these works, all rights reserved"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.license, r.n_matched, texts[r.doc_id][r.start_char : r.end_char]) for r in rows)
+    assert got == [(0, "MIT-notice", 5, "Released under the MIT License"), (1, "all-rights-reserved", 3, "All rights reserved"), (1, "all-rights-reserved", 3, "All rights reserved"), (2, "all-rights-reserved", 3, "all rights reserved")]
+    assert len({r.start_char for r in rows if r.doc_id == 1}) == 2
+
+
+def test_licenses_far_word():
+    template = b"licensed under the apache license version 2 0".split()
+    words = b"licensed under the apache license version 2 a b c d e 0".split()
+    assert licenses.align(template, words, 0, 8, 0, len(words), 0.8) == (7, 0, 6)
+
+
 def vectors(spark, n=120, dim=24):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(n, dim))
