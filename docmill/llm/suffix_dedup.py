@@ -287,6 +287,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.join(twice, F.col("doc_id") == F.col("twice"), "left").withColumn("t", F.when(F.col("twice").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop("twice")
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """Each (doc_id, t, text) once; rows whose doc_id is unique (t is 0) aren't shuffled."""
+    twins = stash(docs.where("t <> 0").dropDuplicates(["doc_id", "t"]), "twins")
+    return docs if twins.isEmpty() else docs.where("t = 0").unionByName(twins)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Runs of windows of (doc_id, t, text) that also start earlier: doc_id, t, first, n."""
     settled = stash(settle(anchors(docs)), "settled")
@@ -321,7 +327,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     own = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = keyed(docs.drop(*own))
-    found = repeats(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "t", "text"))
+    found = repeats(once(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "t", "text")))
     lists = found.groupBy("doc_id", "t").agg(F.collect_list(F.shiftleft("first", 24).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 8))).alias("places"))
     rows = packed(docs).join(lists, ["doc_id", "t"], "left")
     names = [c for c in docs.columns if c != "t"]

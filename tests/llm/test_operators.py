@@ -102,6 +102,16 @@ def test_suffix_dedup(docs, monkeypatch):
     assert got == reference_cut(list(enumerate(texts())))
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    rows = [(1, a), (1, a), (1, a), (2, b), (3, a[:300] + b), (4, None), (4, None), (None, a), (5, b), (5, b)]
+    got = [tuple(r) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()]
+    want = reference_cut({r for r in rows if r[0] is not None})
+    whole = (len(a), 0, 0, hashlib.sha256(a.encode()).hexdigest())
+    assert sorted(map(str, got)) == sorted(str((d, *(want[d] if d is not None else whole))) for d, _ in rows)
+
+
 def test_suffix_dedup_crowded(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", 3)
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
