@@ -18,6 +18,7 @@ ANOMALY = ("anomalie", "erreur", "impossible", "ne fonctionne pas", "bloque", "d
 TECHNICAL = ("alerte", "alert", "down", "up", "downtime", "supervision", "cpu", "disque", "certificat expire", "sauvegarde", "serveur")
 SURVEY = ("demande d'evaluation du service", "evaluer nos services", "cliquez sur l'un de ces smileys", "enquete de satisfaction")
 BASE = {"support_case": 40, "internal_infra": 20, "notification": 10, "monitoring": 5, "spam_or_auto": -50, "empty": -50, "unknown": 0}
+TERMS = {"monitoring": MONITORING, "spam": SPAM, "notification": NOTIFICATION, "resolution": RESOLUTION, "procedure": PROCEDURE, "anomaly": ANOMALY, "technical": TECHNICAL, "downtime": ("downtime details",), "fix": ("mise a jour corrective", "maj corrective")}
 VAGUE_CATEGORIES = ("divers", "autre", "general", "n/a")
 VAGUE_SUBJECTS = ("test", "client critique", "divers")
 
@@ -62,10 +63,19 @@ def clean_messages(messages: DataFrame) -> DataFrame:
     return m.withColumn("place", F.when(F.col("drop_reason").isNull(), F.row_number().over(order)))
 
 
+def version(c: Column) -> Column:
+    return contains_any(c, TERMS["fix"]) | F.regexp_like(c, F.lit(rf"{B}[0-9]+\.[0-9]+"))
+
+
 def summarize(cleaned: DataFrame) -> DataFrame:
-    """Of each ticket: counts of messages and what its texts say; arrays hold one ticket's messages."""
+    """Of each ticket: counts of messages, and which terms (TERMS, version) its contents and its authors hold.
+
+    Messages count as lines of one text. No term holds a line end, so none spans two messages and each is looked through on its own.
+    """
     kept = F.col("drop_reason").isNull()
-    raw = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("\n", F.coalesce("content", F.lit("")), F.coalesce("subject", F.lit(""))).alias("c"), F.coalesce("author", F.lit("")).alias("a"))))
+    said = search_text(F.concat_ws("\n", F.coalesce("content", F.lit("")), F.coalesce("subject", F.lit(""))))
+    cleaned = cleaned.withColumns({"said": said, "who": search_text(F.coalesce("author", F.lit("")))})
+    held = [F.bool_or(contains_any(F.col(c), terms)).alias(f"{c}_{name}") for c in ("said", "who") for name, terms in TERMS.items()]
     return cleaned.groupBy("ticket_id").agg(
         F.count_if(kept).alias("n_messages"),
         F.count_if(kept & useful(F.col("text"), F.col("search"))).alias("n_useful"),
@@ -73,23 +83,23 @@ def summarize(cleaned: DataFrame) -> DataFrame:
         F.count_if(F.col("drop_reason") == "auto").alias("n_auto"),
         F.count_if(F.col("drop_reason") == "duplicate").alias("n_duplicate"),
         F.count_if(~kept).alias("n_removed"),
-        raw.alias("raw"),
-    ).withColumns({"content_search": search_text(F.array_join(F.transform("raw", lambda x: x["c"]), "\n")), "author_search": search_text(F.array_join(F.transform("raw", lambda x: x["a"]), "\n"))}).drop("raw")
+        *held,
+        F.bool_or(version(F.col("said"))).alias("said_version"),
+    )
 
 
 def classify(t: DataFrame) -> DataFrame:
-    """Adds ticket_kind; needs subject_search, author_search, content_search, team_search, category_search, n_messages."""
-    who = F.concat_ws("\n", "subject_search", "author_search")
-    every = F.concat_ws("\n", who, "content_search")
+    """Adds ticket_kind; needs subject_search, team_search, category_search, n_messages and the terms held."""
+    who = lambda name: contains_any(F.col("subject_search"), TERMS[name]) | F.col(f"who_{name}")
+    every = lambda name: who(name) | F.col(f"said_{name}")
     infra = F.contains("team_search", F.lit("infra")) | (trim(F.col("category_search")) == "infra_saas")
-    monitoring = contains_any(who, MONITORING) | F.contains("content_search", F.lit("downtime details"))
     kind = (
-        F.when(monitoring, "monitoring")
-        .when(contains_any(every, SPAM), "spam_or_auto")
-        .when(contains_any(every, NOTIFICATION), "notification")
-        .when(infra & contains_any(every, TECHNICAL), F.when(contains_any(every, MONITORING), "monitoring").otherwise("internal_infra"))
+        F.when(who("monitoring") | F.col("said_downtime"), "monitoring")
+        .when(every("spam"), "spam_or_auto")
+        .when(every("notification"), "notification")
+        .when(infra & every("technical"), F.when(every("monitoring"), "monitoring").otherwise("internal_infra"))
         .when(F.col("n_messages") == 0, "empty")
-        .when((F.col("n_messages") >= 2) | contains_any(every, ANOMALY + PROCEDURE) | (units(F.col("subject_search")) >= 12), "support_case")
+        .when((F.col("n_messages") >= 2) | every("anomaly") | every("procedure") | (units(F.col("subject_search")) >= 12), "support_case")
         .otherwise("unknown")
     )
     return t.withColumn("ticket_kind", kind)
@@ -97,13 +107,12 @@ def classify(t: DataFrame) -> DataFrame:
 
 def score(t: DataFrame) -> DataFrame:
     """Adds score (0 to 100), flags in rule order, and rag_candidate; needs also type_search and hours."""
-    t = t.withColumn("said", F.concat_ws("\n", "subject_search", "category_search", "type_search", "content_search"))
-    said, kind, hours = F.col("said"), F.col("ticket_kind"), F.col("hours")
-    solved, how, wrong = (contains_any(said, x) for x in (RESOLUTION, PROCEDURE, ANOMALY))
-    version = contains_any(said, ("mise a jour corrective", "maj corrective")) | F.regexp_like(said, F.lit(rf"{B}[0-9]+\.[0-9]+"))
+    t = t.withColumn("head", F.concat_ws("\n", "subject_search", "category_search", "type_search"))
+    head, kind, hours = F.col("head"), F.col("ticket_kind"), F.col("hours")
+    solved, how, wrong = (contains_any(head, TERMS[x]) | F.col(f"said_{x}") for x in ("resolution", "procedure", "anomaly"))
     rules = (
         (solved, 25, "resolution_explicit"),
-        (solved & version, 0, "correction_version"),
+        (solved & (version(head) | F.col("said_version")), 0, "correction_version"),
         (how, 20, "procedure_reproductible"),
         (wrong, 15, "anomalie_metier"),
         ((F.col("category_search") != "") & ~F.col("category_search").isin(*VAGUE_CATEGORIES), 10, "categorie_exploitable"),
@@ -124,14 +133,14 @@ def score(t: DataFrame) -> DataFrame:
     for when, delta, _ in rules:
         total = total + F.when(when, delta).otherwise(0)
     flags = F.filter(F.array(*[F.when(w, F.lit(name)) for w, _, name in rules]), lambda x: x.isNotNull())
-    t = t.withColumns({"score": F.greatest(F.lit(0), F.least(F.lit(100), total)), "flags": flags}).drop("said")
+    t = t.withColumns({"score": F.greatest(F.lit(0), F.least(F.lit(100), total)), "flags": flags}).drop("head")
     return t.withColumn("rag_candidate", (F.col("score") >= 70) & (kind == "support_case"))
 
 
 def process(tickets: DataFrame, messages: DataFrame) -> DataFrame:
     """Classified and scored tickets (ticket_id, subject, category, type, team, hours) with their messages' counts."""
     s = summarize(clean_messages(messages))
-    t = tickets.join(s, "ticket_id", "left").fillna(0, ["n_messages", "n_useful", "n_solid", "n_auto", "n_duplicate", "n_removed"]).fillna("", ["content_search", "author_search"])
+    t = tickets.join(s, "ticket_id", "left").fillna(0, ["n_messages", "n_useful", "n_solid", "n_auto", "n_duplicate", "n_removed"]).fillna(False, [c for c in s.columns if c.startswith(("said_", "who_"))])
     for name in ("subject", "category", "type", "team"):
         t = t.withColumn(f"{name}_search", search_text(clean(F.coalesce(name, F.lit("")), control=True)))
     return score(classify(t))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import dates, keys, markdown, redact, text
-from docmill.operators import qualify
+from docmill.operators import qualify, tickets
 from docmill.plans.catalogue import ORACLES, QUERIES
 from docmill.sources import readers
 from docmill.streaming.rows import redacted_stream
@@ -101,3 +101,14 @@ def test_links_on_whole_texts(spark, tmp_path):
     assert [plain[i].n_links for i in texts] == [1, 5, 5, 0]
     m = {r.doc_id: r for r in QUERIES["menu_metrics"](spark, str(tmp_path)).collect()}
     assert [m[i].is_menu for i in texts] == [False, True, False, False] and m[21].n_outside >= 599 and m[24].n_outside == len(texts[24])
+
+
+def test_ticket_texts_are_not_gathered(spark):
+    said = [(1, 1, "La solution est là", "a"), (1, 2, "corriger en 2.10", None), (2, 1, "une erre", "x"), (2, 2, "ur maj", "y"), (3, 1, None, "UPDOWN.io")]
+    m = spark.createDataFrame([(t, p, None, "", c, a) for t, p, c, a in said], "ticket_id long, pos long, sort_time long, subject string, content string, author string")
+    t = spark.createDataFrame([(i, "", "", "", "", 1.0) for i in (1, 2, 3, 4)], "ticket_id long, subject string, category string, type string, team string, hours double")
+    d = tickets.process(t, m)
+    got = {r.ticket_id: r for r in d.collect()}
+    assert "collect_list" not in d._jdf.queryExecution().optimizedPlan().toString() and not any("\n" in x for terms in tickets.TERMS.values() for x in terms)
+    assert {"resolution_explicit", "correction_version"} <= set(got[1].flags) and "anomalie_metier" not in got[2].flags
+    assert got[3].ticket_kind == "monitoring" and got[4].ticket_kind == "empty"
