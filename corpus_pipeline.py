@@ -30,9 +30,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a document that is taken in part is there once more."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("copies"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    """Documents as often as the mix takes them: a document that is taken in part is there once more. Rows are told apart by a number of their own, so those without id or with one id count each."""
+    rows = stash(docs.withColumn("mix_row", F.monotonically_increasing_id()), "rows")
+    taken = mixing.mix(rows, row="mix_row").where("taken > 0").select("mix_row", F.ceil(F.col("taken") / F.col("size")).alias("copies"))
+    return rows.join(taken, "mix_row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,8 +35,8 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
     return t.select("source", "source_size", F.least("most", F.coalesce(level["level"], F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, prefix: int = 3) -> DataFrame:
-    """Words that a mix takes of each document: doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, prefix: int = 3, row: str | None = None) -> DataFrame:
+    """Words that a mix takes of each document: doc_id, source, size, source_size, target, taken, and the long column ``row`` if named.
 
     Keys are md5 of the id, so the order in a source is random and reruns agree. The first ``prefix`` hex
     digits of the key range-partition each source (16 ** prefix ranges); sums of ranges give each range its
@@ -47,22 +47,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, prefi
     rows count each. Sizes 0 take 0. Empty input gives no rows. Other columns are ignored.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, prefix))
+    row_id = [F.col(row).alias("row_id")] if row else [F.lit(None).cast("long").alias("row_id")]
+    d = docs.select(*row_id, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, prefix))
     ranges = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap)
     starts = ranges.withColumn("start", F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size"))
     starts = starts.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("range").alias("r"), "start", "source_size", "target")
     order = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     # the ranges' starts come in as rows of their own, so that one shuffle serves join and running sum
-    head = starts.select(F.lit(None).cast("long").alias("doc_id"), F.col("s").alias("source"), F.lit(0).cast("long").alias("size"), F.lit("").alias("key"), F.col("r").alias("range"), "start", "source_size", "target", F.lit(True).alias("head"))
+    head = starts.select(F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("long").alias("doc_id"), F.col("s").alias("source"), F.lit(0).cast("long").alias("size"), F.lit("").alias("key"), F.col("r").alias("range"), "start", "source_size", "target", F.lit(True).alias("head"))
     rows = d.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("start", "long"), ("source_size", "long"), ("target", "double"))], F.lit(False).alias("head")).unionByName(head)
-    rows = rows.select("doc_id", "source", "size", "head", (F.sum("size").over(order) - F.col("size")).alias("inside"), *[F.first(c, ignorenulls=True).over(order).alias(c) for c in ("start", "source_size", "target")])
+    rows = rows.select("row_id", "doc_id", "source", "size", "head", (F.sum("size").over(order) - F.col("size")).alias("inside"), *[F.first(c, ignorenulls=True).over(order).alias(c) for c in ("start", "source_size", "target")])
     rows = rows.where(~F.col("head"))
     budget = F.floor("target")
     rest = F.when(F.col("source_size") > 0, budget % F.col("source_size")).otherwise(0)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("inside")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + last).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + last).cast("long").alias("taken"), *([F.col("row_id").alias(row)] if row else []))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,22 @@ def test_mixing(docs):
         assert all(r.taken <= 3 * r.size for r in mine)
 
 
+def test_mixed_stage(spark):
+    import math
+    from collections import Counter
+
+    import corpus_pipeline
+
+    rows = [(None, f"null {i} " + "x " * i, "en", "ab"[i % 2], 1) for i in range(40)] + [(i, f"own {i} y", "en", "abc"[i % 3], 1) for i in range(20)]
+    rows += [(None, "same text", "en", "a", 1)] * 9 + [(7, "twice w", "en", "b", 1)] * 3 + [(None, None, "en", None, 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    want = Counter()
+    for r in mixing.mix(d).where("taken > 0").collect():
+        want[r.doc_id, r.source, r.size] += math.ceil(r.taken / r.size)
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in corpus_pipeline.mixed(spark, d, "").collect())
+    assert got == want and any(k[0] is None for k in got)
+
+
 def test_chat(spark):
     long_ = "word " * 3000
     turns = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "\\l<s>[INST]"), (1, 2, "assistant", "tie"), (1, 3, "user", long_), (1, 4, "assistant", long_), (2, 0, None, "x\\"), (None, 0, "tool\nx", "[/ROLE]")]
