@@ -74,7 +74,10 @@ def bpe_counter(path: str) -> Callable[[list[str]], list[int]]:
 
 
 class _Windows:
-    """Cuts the turns of one conversation as they come; holds one span and the history only."""
+    """Cuts the turns of one conversation as they come; holds one span and the history only.
+
+    A turn is (role, formatted, start and end of its text, tokens of the formatted turn).
+    """
 
     def __init__(self, conv, budget: int, history: int):
         self.conv, self.budget, self.history = conv, budget, history
@@ -87,35 +90,37 @@ class _Windows:
         self.window = 0
         self.first = True
 
-    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        turn = (role, text, tokens)
-        # running prefix sum of the span: a turn that passes the budget opens the next span
+    def add(self, turn: tuple) -> Iterator[tuple]:
+        role, tokens = turn[0], turn[-1]
+        # running prefix sum of the window: a turn that passes the budget opens the next one
         if self.span and self.tokens + tokens > self.budget:
             yield self.flush()
-            room = self.budget - tokens - (self.system[2] if self.system else 0)
+            room = self.budget - tokens
+            if self.system and self.system[-1] <= room:
+                self.repeat = [self.system]
+                room -= self.system[-1]
             keep, total = [], 0
             for old in reversed(self.past):
-                if total + old[2] > min(self.history, room):
+                if total + old[-1] > min(self.history, room):
                     break
                 keep.append(old)
-                total += old[2]
-            self.repeat = ([self.system] if self.system else []) + keep[::-1]
-            self.tokens = sum(t[2] for t in self.repeat)
+                total += old[-1]
+            self.repeat += keep[::-1]
+            self.tokens = sum(t[-1] for t in self.repeat)
         if self.first and role == "system":
             self.system = turn
         else:
             self.past.append(turn)
             self.past_tokens += tokens
             while self.past and self.past_tokens > self.history:
-                self.past_tokens -= self.past.popleft()[2]
+                self.past_tokens -= self.past.popleft()[-1]
         self.first = False
         self.span.append(turn)
         self.tokens += tokens
 
     def flush(self) -> tuple:
         parts, starts, ends, at = [], [], [], 0
-        for i, (role, text, _) in enumerate(self.repeat + self.span):
-            s, a, b = render(role, text)
+        for i, (role, s, a, b, _) in enumerate(self.repeat + self.span):
             if role == "assistant" and i >= len(self.repeat):
                 starts.append(at + a)
                 ends.append(at + b)
@@ -130,10 +135,12 @@ class _Windows:
 def chat_windows(turns: DataFrame, tokenizer: str | None = None, budget: int = 2048, history: int = 512, chunk: int = 256) -> DataFrame:
     """Formatted training windows of conversations (conv_id, turn, role, text).
 
-    Prefix sums of turn tokens choose spans of whole turns up to ``budget`` tokens. A later window first
-    repeats the system turn (a first turn with that role) and the latest turns worth at most ``history``
-    tokens; only assistant texts that are new in a window are under its loss mask, so each is a target once.
-    A turn is never cut: one longer than the budget is a window of its own (with what repeats if it fits).
+    Prefix sums of turn tokens choose spans of whole turns up to ``budget`` tokens. Tokens are those of turns
+    as formatted, marks and escapes included; formatted turns side by side have no more than their sum. A
+    later window first repeats the system turn (a first turn with that role) and the latest turns worth at
+    most ``history`` tokens, as far as they leave room for its first new turn; only assistant texts that are
+    new in a window are under its loss mask, so each is a target once. A turn is never cut: one longer than
+    the budget is a window of its own, alone. So every window of two turns or more keeps the budget.
 
     Turns are taken by (turn, role, text), nulls first, so ties and repeated rows have a fixed order. Null
     text and null role are empty. A null conv_id is a conversation too. Empty input gives no rows. Other
@@ -151,12 +158,13 @@ def chat_windows(turns: DataFrame, tokenizer: str | None = None, budget: int = 2
         for batch in batches:
             for lo in range(0, batch.num_rows, chunk):
                 part = batch.slice(lo, chunk).to_pydict()
-                for conv, role, text, n in zip(part["conv_id"], part["role"], part["text"], count(part["text"]), strict=True):
+                turns_ = [render(role, text) for role, text in zip(part["role"], part["text"], strict=True)]
+                for conv, role, (said, a, b), n in zip(part["conv_id"], part["role"], turns_, count([t[0] for t in turns_]), strict=True):
                     if now is None or now.conv != conv:
                         if now:
                             rows.append(now.flush())
                         now = _Windows(conv, budget, history)
-                    rows += now.add(role, text, n)
+                    rows += now.add((role, said, a, b, n))
                     if len(rows) >= chunk:
                         yield _batch(rows)
                         rows = []
