@@ -22,13 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Names that start so are this package's own: helper columns that no caller's column clashes with.
+OWN = "__docmill_"
+PACKED = OWN + "packed"
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a new local folder serves a master that runs in this process (tests); a cluster has no
+    folder of that kind, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docmill-", dir=os.environ.get("TMPDIR"))
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -50,6 +62,35 @@ def drop_stash(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def salted(big: DataFrame, small: DataFrame, hot: DataFrame, key: str, row: tuple[str, ...]) -> DataFrame:
+    """``big`` join ``small`` on ``key``; keys in ``hot`` (key, OWN + parts) are dealt by the hash of columns ``row`` to that many parts, small's rows of them repeated for each. ``hot`` is broadcast, so its size must be bounded."""
+    salt, parts, hot_key = (OWN + n for n in ("salt", "parts", "hot"))
+    hot = F.broadcast(hot.withColumnRenamed(key, hot_key))
+    n = F.coalesce(F.col(parts), F.lit(1).cast("long"))
+    dealt = big.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, F.pmod(F.xxhash64(*row), n)).drop(hot_key, parts)
+    each = small.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop(hot_key, parts)
+    # one kind of join whatever the size: the plan that is tested is the plan that runs at scale
+    return dealt.join(each.hint("merge"), [key, salt]).drop(salt)
+
+
+def hot_share(rows: int, least: int = 512, heavy: int = 4096) -> int:
+    """Rows of one key from which it is dealt to several tasks: at most ``heavy`` keys have more, whatever the number of rows."""
+    return max(least, -(-rows // heavy))
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, *row: str) -> DataFrame:
+    """``big`` join ``small`` on ``key`` (not null), with the hot keys of big dealt to many tasks. ``big`` is read three times, so it should be a stash or cheap."""
+    share = hot_share(big.count())
+    hot = big.groupBy(key).count().where(F.col("count") > share).select(key, F.ceil(F.col("count") / share).alias(OWN + "parts"))
+    return salted(big, small, stash(hot, "hot"), key, row)
+
+
+def shielded(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of ``names`` under reserved ones, and where each column is now: {column: its name now}."""
+    now = {c: (OWN + "kept_" + c if c in names else c) for c in df.columns}
+    return df.withColumnsRenamed({c: n for c, n in now.items() if c != n}), now
+
+
 def tidy(run):
     """``run`` over Arrow batches; at its end the worker, which Spark keeps for later tasks, gives freed memory back to the system."""
 
@@ -86,11 +127,23 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE = np.multiply.accumulate(np.full(1 << 16, np.uint64(0x9E3779B97F4A7C15)))
+_SALT = np.uint64(0x2545F4914F6CDD1D)
+
+
+def _multipliers(place: np.ndarray) -> np.ndarray:
+    """An odd multiplier of its own for each place in a word."""
+    return mix64(place.astype(np.uint64) + _SALT) | np.uint64(1)
+
+
+_PLACE = _multipliers(np.arange(1 << 16))
 
 
 def word_hashes(data: bytes, separators: np.ndarray = _SPACE, slice_: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of UTF-8 bytes, A-Z lower-cased; in slices, so that long texts need little besides."""
+    """Hashes, starts and ends of the words of UTF-8 bytes, A-Z lower-cased; in slices, so that long texts need little besides.
+
+    A hash is multilinear: the sum of byte values times multipliers drawn for each place, so words that differ
+    are equal by chance only (about 2**-62 a pair), whatever their pattern.
+    """
     raw = np.frombuffer(data, np.uint8)
     out, lo = [], 0
     while lo < len(raw):
@@ -109,6 +162,9 @@ def word_hashes(data: bytes, separators: np.ndarray = _SPACE, slice_: int = 1 <<
             place = np.arange(len(b))
             place -= np.repeat(start, np.diff(np.concatenate([start[:1] * 0, start[1:], [len(b)]])))
             v = _BYTE[b] * _PLACE[place & 0xFFFF]
+            far = np.flatnonzero(place > 0xFFFF)
+            if len(far):
+                v[far] = _BYTE[b[far]] * _multipliers(place[far])
             v[inside[1:-1] == 0] = 0
             out.append((mix64(np.add.reduceat(v, start)), start + lo, end + lo))
         lo = hi
@@ -125,7 +181,7 @@ def shingles(data: bytes, k: int) -> np.ndarray:
 
 
 def unpacked(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    """The rows with z decompressed to ``text``, in the columns of ``schema``; what was null is empty."""
+    """The rows of :func:`packed` with their text back, in the columns of ``schema``; what was null is empty."""
     names = schema.fieldNames()
 
     @tidy
@@ -135,14 +191,14 @@ def unpacked(rows: DataFrame, schema: T.StructType) -> DataFrame:
         z = zstandard.ZstdDecompressor()
         for b in slices(batches, 2048):
             at = {n: i for i, n in enumerate(b.schema.names)}
-            texts = pa.array([z.decompress(x.as_py()) for x in b.column(at["z"])], pa.binary()).cast(pa.string())
+            texts = pa.array([z.decompress(x.as_py()) for x in b.column(at[PACKED])], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == "text" else b.column(at[n]) for n in names], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
 def packed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with ``text`` replaced by z, compressed for a shuffle; null is empty."""
+    """The rows with ``text`` replaced by PACKED, compressed for a shuffle; null is empty."""
     rest = [c for c in docs.columns if c != text]
 
     @tidy
@@ -153,9 +209,9 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             *cols, texts = b.columns
             rows = [z.compress(x.as_buffer()) if x.is_valid else z.compress(b"") for x in texts]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, pa.binary())], names=[*rest, "z"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, pa.binary())], names=[*rest, PACKED])
 
-    return docs.select(*rest, text).mapInArrow(run, T.StructType([*docs.select(*rest).schema.fields, T.StructField("z", T.BinaryType())]))
+    return docs.select(*rest, text).mapInArrow(run, T.StructType([*docs.select(*rest).schema.fields, T.StructField(PACKED, T.BinaryType())]))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

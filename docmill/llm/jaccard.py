@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import i64, packed, shingles, slices, stash, table, text_or_empty, tidy
+from docmill.llm.common import PACKED, drop_stash, i64, packed, salted_join, shingles, slices, stash, table, text_or_empty, tidy
 from docmill.llm.components import components
 
 #: Frequent shingles that move to the end of the global order: at most so many. They only shape the order.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 BITS = 8  # words of 64 bits in a parity signature
 
 
@@ -102,64 +102,62 @@ def digests(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int, h
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], needed: np.ndarray, mu: float = 0.01) -> np.ndarray:
     """T-occurrence search: indexes of the sets that share at least ``needed`` elements with the query.
 
-    Inverted lists hold, for each element of the query, the sets with it. The longest lists, as many as the
-    least threshold allows, are set aside; the short ones are heap-merged into counts, and sets that can
-    still reach their threshold are looked up in the long lists by binary search.
+    The sets are an inverted index: for each element, the list of sets with it. Of the query's lists the
+    longest, as many as the least threshold allows, are set aside; the short ones are heap-merged into
+    counts, and sets that can still reach their threshold are looked up in the long lists by binary search.
     """
-    m = len(sets)
-    if not m or not len(query):
+    if not len(sets) or not len(query):
         return np.empty(0, np.int64)
-    where = [np.searchsorted(query, s) for s in sets]
-    keys = []
-    for c, (s, w) in enumerate(zip(sets, where, strict=True)):
-        hit = w[(w < len(query)) & (query[np.minimum(w, len(query) - 1)] == s)]
-        keys.append(hit.astype(np.int64) * m + c)
-    postings = np.sort(np.concatenate(keys))  # (element, set), so each element's list is a sorted run
-    bounds = np.searchsorted(postings, np.arange(len(query) + 1, dtype=np.int64) * m)
-    sizes = np.diff(bounds)
-    least = int(needed.min())
-    long_count = min(least - 1, len(query), int(least / (mu * math.log2(max(2, int(sizes.max(initial=0)))) + 1)))
+    elements = np.concatenate(sets)
+    order = np.argsort(elements, kind="stable")  # stable: each list is in order of sets
+    elements, owner = elements[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+    lo, hi = np.searchsorted(elements, query), np.searchsorted(elements, query, "right")
+    sizes = hi - lo
+    least = max(1, int(needed.min()))
+    long_count = max(0, min(least - 1, len(query), int(least / (mu * math.log2(max(2, int(sizes.max(initial=0)))) + 1))))
     by_size = np.argsort(sizes, kind="stable")
-    long_, short = by_size[len(query) - max(0, long_count) :], by_size[: len(query) - max(0, long_count)]
-    counts = np.zeros(m, np.int64)
-    lists = [(postings[bounds[e] : bounds[e + 1]] % m).tolist() for e in short if sizes[e]]
-    for c in heapq.merge(*lists):
+    short, long_ = by_size[: len(query) - long_count], by_size[len(query) - long_count :]
+    counts = np.zeros(len(sets), np.int64)
+    for c in heapq.merge(*(owner[lo[e] : hi[e]].tolist() for e in short if sizes[e])):
         counts[c] += 1
     alive = np.nonzero(counts >= needed - len(long_))[0]
-    if len(alive) and len(long_):
-        probe = (long_[:, None] * m + alive[None]).ravel()
-        place = np.minimum(np.searchsorted(postings, probe), len(postings) - 1)
-        counts[alive] += (postings[place] == probe).reshape(len(long_), -1).sum(0) if len(postings) else 0
+    for e in long_:
+        if not len(alive) or not sizes[e]:
+            continue
+        part = owner[lo[e] : hi[e]]
+        counts[alive] += part[np.minimum(np.searchsorted(part, alive), len(part) - 1)] == alive
     return alive[counts[alive] >= needed[alive]]
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, chunk: int = 256) -> DataFrame:
     """The pairs (a, b) of documents whose sets are similar, by T-occurrence search of each a among its b's.
 
-    The b's of one a are searched in chunks of about ``chunk``, so that no a gathers all of them.
+    The b's of one a are searched in chunks of about ``chunk``, so that no a gathers all of them. Of rows with one
+    doc_id each text counts, as a and as b. ``pairs`` is a stash.
     """
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     # the same kind of join whatever the size: texts go compressed to their pairs, and sets are made there
     known = packed(docs.select("doc_id", "text")).join(involved.hint("merge"), "doc_id", "left_semi")
     degrees = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    dealt = pairs.join(degrees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+    dealt = salted_join(pairs, degrees, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     asked = degrees.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).select("a", F.col("a").alias("b"), "chunk")
-    rows = dealt.unionByName(asked).join(known.hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "chunk", "z")
+    dealt = stash(dealt.unionByName(asked), "dealt")
+    rows = salted_join(dealt, known.withColumnRenamed("doc_id", "b"), "b", "a", "chunk").select("a", "b", "chunk", PACKED)
 
     @tidy
     def search(batches):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        now, query, ids, found = None, None, [], []
+        now, queries, ids, found = None, [], [], []
 
         def done():
-            if query is None or not ids:
+            if not queries or not ids:
                 return [], []
             n = np.array([len(s) for s in found], np.int64)
-            hits = divide_skip(query, found, overlap_needed(len(query), n, num, den))
-            return [now[0]] * len(hits), [ids[h] for h in hits]
+            hits = {ids[h] for q in queries for h in divide_skip(q, found, overlap_needed(len(q), n, num, den)).tolist()}
+            return [now[0]] * len(hits), sorted(hits)
 
         for batch in batches:
             a_out, b_out = [], []
@@ -168,10 +166,10 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, chunk:
                     x, y = done()
                     a_out += x
                     b_out += y
-                    now, query, ids, found = (a, c), None, [], []
+                    now, queries, ids, found = (a, c), [], [], []
                 s = shingles(z.decompress(e.as_py()), k)
                 if a == b:
-                    query = s
+                    queries.append(s)
                 else:
                     ids.append(b)
                     found.append(s)
@@ -202,37 +200,51 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     """
     docs = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
     frequent = frequent_shingles(docs, k)
+    used: list[DataFrame] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        used.append(stash(df, what))
+        return used[-1]
+
     known = stash(digests(docs, frequent, k, num, den), "digests")
-    classes = known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    equal = known.where("n > 0").select("doc_id", "sig").join(classes, "sig").select("doc_id", "rep")
+    classes = keep(known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
+    equal = salted_join(known.where("n > 0").select("doc_id", "sig"), classes, "sig", "doc_id").select("doc_id", "rep")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
+    # 2. one key tells a hash function and its minimum
     mins = known.where("n > 0").select("doc_id", "mins").join(reps, "doc_id", "left_semi").select("doc_id", F.posexplode("mins").alias("i", "h"))
-    hubs = mins.groupBy("i", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = mins.join(hubs, ["i", "h"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = stash(verify(stash(stars, "stars"), docs, k, num, den), "links")
-    so_far = stash(components(links), "components")
+    mins = keep(mins.select("doc_id", F.xxhash64("i", "h").alias("h")), "mins")
+    hubs = mins.groupBy("h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
+    stars = salted_join(mins, hubs, "h", "doc_id").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    links = keep(verify(keep(stars, "stars"), docs, k, num, den), "links")
+    so_far = keep(components(links), "components")
 
     # 3. prefixes with the component so far
     reps = reps.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
     own = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)) + 1  # prefix of the smaller of two
-    wide = stash(known.where("n > 0").select("doc_id", "n", "prefix", "bits").join(reps.hint("merge"), "doc_id").withColumn("own", own), "wide")
+    wide = keep(known.where("n > 0").select("doc_id", "n", "prefix", "bits").join(reps.hint("merge"), "doc_id").withColumn("own", own), "wide")
     p = wide.select("doc_id", "c", "own", F.posexplode("prefix").alias("pos", "s"))
     several = p.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("pos") < F.col("own")).alias("small")).where("lo <> hi AND small").select("s")
     p = p.select("doc_id", "pos", "s").join(several.hint("merge"), "s")
-    p = stash(p.join(wide.select("doc_id", "n", "c", "own", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITS)]), "doc_id"), "prefixes")
-    x, y = p.alias("x"), p.alias("y")
+    p = keep(p.join(wide.select("doc_id", "n", "c", "own", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITS)]), "doc_id"), "prefixes")
+    # a size class is a factor den / num wide: a set meets those of its own class and of the next larger one
+    size = F.log(F.col("n").cast("double")) / math.log(den / num)
+    above, below = F.floor(size + 1e-9), F.floor(size - 1e-9) - 1
+    x = p.where("pos < own").withColumn("g", F.floor(size)).alias("x")
+    y = p.withColumn("g", F.explode(F.array_distinct(F.array(above, above - 1, below)))).alias("y")
     X, Y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     both = X("n") + Y("n")
     needed = F.ceil(F.lit(num) * both / F.lit(num + den))
     apart = sum((F.bit_count(X(f"w{i}").bitwiseXOR(Y(f"w{i}"))) for i in range(BITS)), F.lit(0))
     condition = (
-        (X("s") == Y("s")) & (X("c") != Y("c")) & ((X("n") < Y("n")) | ((X("n") == Y("n")) & (X("doc_id") < Y("doc_id")))) & (X("pos") < X("own"))
+        (X("s") == Y("s")) & (X("g") == Y("g")) & (X("c") != Y("c")) & ((X("n") < Y("n")) | ((X("n") == Y("n")) & (X("doc_id") < Y("doc_id"))))
         & (Y("n") * num <= X("n") * den) & (F.least(X("n") - X("pos"), Y("n") - Y("pos")) >= needed) & (apart <= both - 2 * needed)
     )
     pairs = x.join(y, condition).select(X("doc_id").alias("a"), Y("doc_id").alias("b")).distinct()
-    more = verify(stash(pairs, "pairs"), docs, k, num, den)
+    more = verify(keep(pairs, "pairs"), docs, k, num, den)
     final = components(so_far.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")))
+    for old in used:  # the result reads the digests and the last components only
+        drop_stash(old)
     return known.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
