@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import table, windows, word_hashes
 
-#: Notices and texts of public licenses.
+#: Notices, headers of source files (of licenses too long to give whole) and whole texts of public licenses.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
@@ -54,6 +54,9 @@ class Index:
             h = windows(word_hashes(b" ".join(ws), _BETWEEN)[0], k)
             entries += [(int(h[p]), i, int(p)) for p in winnow(h, window)]
         entries.sort()
+        # words of the templates as numbers, and how often each template has them
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
+        self.counts = [np.bincount([self.vocabulary[w] for w in ws], minlength=len(self.vocabulary)) for ws in self.words]
         self.keys = np.array([e[0] for e in entries], np.uint64)
         self.where = [(i, p) for _, i, p in entries]
 
@@ -74,6 +77,17 @@ class Index:
         return out
 
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Words as numbers of the vocabulary; the number past its end for all others."""
+        none = len(self.vocabulary)
+        return np.array([self.vocabulary.get(w, none) for w in words], np.int64)
+
+    def may_match(self, t: int, numbers: np.ndarray, lo: int, hi: int, coverage: float) -> bool:
+        """Whether words lo to hi hold enough of template t's words, in any order, for a reported alignment: a bound that costs little."""
+        found = np.bincount(numbers[max(0, lo) : max(0, hi)], minlength=len(self.vocabulary))[: len(self.vocabulary)]
+        return int(np.minimum(found, self.counts[t]).sum()) >= coverage * len(self.words[t])
+
+
 def align(template: list[bytes], words: list[bytes], start: int, band: int, lo: int, hi: int, coverage: float) -> tuple[int, int, int] | None:
     """Matched, first and last word of a common subsequence of the template and of words lo to hi, within ``band`` of the diagonal from ``start``.
 
@@ -127,9 +141,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     Whole texts are looked through; words are runs of a-z and 0-9, A-Z lower-cased. Every three-word
     fingerprint of a text is looked up among the winnowed ones of the templates, so five equal words in a row
     always make a candidate. A candidate is aligned with its template in a band of diagonals; it is
-    reported where the matched words are at least ``coverage`` of the template's and of the span's. Spans of
-    one template don't overlap; a hit inside another template's span is reported too. Null or empty text gives no rows, as does
-    empty input. Repeated rows are reported each; other columns are ignored.
+    reported where the matched words are at least ``coverage`` of the template's and of the span's; what a
+    band holds too few words for is not aligned. Spans of one template don't overlap; a hit inside another
+    template's span is reported too. Of equally long alignments the shortest span, then the earliest is taken. Null or empty text
+    gives no rows, as does empty input. Repeated rows are reported each; other columns are ignored. A text is held
+    as a whole, with its words.
     """
     texts = templates or TEMPLATES
 
@@ -143,12 +159,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                     continue
                 data = x.as_py().encode("utf-8", "surrogatepass")
                 words = _TOKEN.findall(data.lower())
+                numbers = index.numbers(words)
                 ends: dict[int, int] = {}
                 offsets = None
                 for t, j, p in hits:
-                    if j < ends.get(t, 0):
-                        continue
                     template = index.words[t]
+                    # the band's words hold every match of an alignment
+                    if j < ends.get(t, 0) or not index.may_match(t, numbers, max(ends.get(t, 0), j - p - band), j - p + len(template) + band, coverage):
+                        continue
                     for n, a, b in spans(template, words, j, j - p, band, ends.get(t, 0), coverage):
                         if offsets is None:
                             offsets = [m.span() for m in _TOKEN.finditer(data.lower())]
