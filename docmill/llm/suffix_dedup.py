@@ -9,23 +9,24 @@ windows with one anchor move together until they must be told apart:
 3. what is left of repeated anchors, the first of each different run, is ordered window by window in digits
    of eight bytes, groups of one dropping out at each pass; the groups left after DEPTH bytes are
    exactly the repeated windows.
+
+Runs are equal when the 64-bit hash of the anchor and that of the run's text are, each over other multipliers: 128 bits.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import mix64, packed, slices, stash, table, tidy
+from docmill.llm.common import OWN, PACKED, mix64, packed, slices, stash, table, tidy
 
 DEPTH, GRAM, BLOCK = 100, 36, 1 << 18
-SPREAD = 64  # sub-keys of an anchor that a batch finds in many different runs
-GROUP = 20_000  # runs of one anchor that are ordered together; beyond, each window goes by its own text
+WIDE_AT, SPREAD = 8, 64  # an anchor that a batch finds in more different runs goes to so many sub-keys
+GROUP = 20_000  # runs of one anchor that are ordered together; beyond, equal windows meet in an aggregate instead. Both ways find the same
+T_, PLACES = OWN + "t", OWN + "places"
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE, _M = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -100,7 +101,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             new_k = np.concatenate([[True], k[1:] != k[:-1]])
             new = new_k | np.concatenate([[True], text[1:] != text[:-1]])
             group = np.cumsum(new_k) - 1
-            wide = np.bincount(group, weights=new)[group] > SPREAD
+            wide = np.bincount(group, weights=new)[group] > WIDE_AT
             # an anchor with many runs goes to sub-keys by run; one mark of it goes where other batches send it
             mark = wide & new_k
             key = np.where(wide, mix64(k ^ mix64(text % np.uint64(SPREAD) + np.uint64(1))), k)
@@ -189,25 +190,32 @@ def open_texts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
 
     place = F.shiftleft("first", 24).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 8)).bitwiseOR(F.col("anchor").cast("long"))
     lists = open_runs.groupBy("doc_id", "t").agg(F.collect_set(place).alias("places"))
-    return packed(docs.select("doc_id", "t", "text")).join(lists, ["doc_id", "t"]).select("doc_id", "t", "z", "places").mapInArrow(run, OPEN)
+    return packed(docs.select("doc_id", "t", "text")).join(lists, ["doc_id", "t"]).select("doc_id", "t", PACKED, "places").mapInArrow(run, OPEN)
 
 
-def windows_apart(rows: DataFrame) -> DataFrame:
-    """Each window of the runs as a row of its own, keyed by its text."""
+def crowded_windows(rows: DataFrame) -> DataFrame:
+    """Windows of runs that occur earlier, each as (doc_id, t, first, n = 1): all but the first place of each text.
+
+    A window's places are summed to their least before they are shuffled, and all other places are found by
+    their own position, so that no task holds the places of a window.
+    """
+    places = "doc_id long, t long, first long, w binary"
 
     @tidy
     def run(batches):
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
+        for b in slices(batches, 256):
+            out: list[list] = [[], [], [], []]
             for doc, t, first, n, x in zip(*(b.column(c).to_pylist() for c in range(1, 6)), strict=True):
-                for j in range(n):
-                    w = x[j : j + DEPTH]
-                    for col, v in zip(out, (int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big", signed=True), doc, t, first + j, w), strict=True):
-                        col.append(v)
-            k, doc, t, first, w = out
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(doc, pa.int64()), pa.array(t, pa.int64()), pa.array(first, pa.int64()), pa.array([1] * len(k), pa.int32()), pa.array(w, pa.binary())], names=["k", "doc_id", "t", "first", "n", "bytes"])
+                out[0] += [doc] * n
+                out[1] += [t] * n
+                out[2] += range(first, first + n)
+                out[3] += [x[j : j + DEPTH] for j in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "t", "first", "w"])
 
-    return rows.mapInArrow(run, OPEN)
+    apart = rows.mapInArrow(run, places)
+    at = ["doc_id", "t", "first"]
+    firsts = apart.groupBy("w").agg(F.min(F.struct(*at)).alias("x")).select("x.*")
+    return apart.select(*at).distinct().join(firsts.hint("merge"), at, "left_anti").withColumn("n", F.lit(1))
 
 
 def radix(buf: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,12 +287,12 @@ def order_windows(rows: DataFrame, bundle: int = 4096) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with column t, which tells texts of one doc_id apart; 0 where ids are unique, as they should be."""
-    twice = stash(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "twice")
-    docs = docs.drop("t")
+    """The rows with column T_, which tells texts of one doc_id apart; 0 where ids are unique, as they should be."""
+    other = OWN + "twice"
+    twice = stash(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(other)), "twice")
     if twice.isEmpty():
-        return docs.withColumn("t", F.lit(0).cast("long"))
-    return docs.join(twice, F.col("doc_id") == F.col("twice"), "left").withColumn("t", F.when(F.col("twice").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop("twice")
+        return docs.withColumn(T_, F.lit(0).cast("long"))
+    return docs.join(twice, F.col("doc_id") == F.col(other), "left").withColumn(T_, F.when(F.col(other).isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop(other)
 
 
 def once(docs: DataFrame) -> DataFrame:
@@ -298,9 +306,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     settled = stash(settle(anchors(docs)), "settled")
     opened = stash(open_texts(docs, settled.where("open")), "open")
     crowded = stash(opened.groupBy("k").count().where(F.col("count") > GROUP).select("k"), "crowded")
+    found = settled.where("NOT open").select("doc_id", "t", "first", "n")
     if not crowded.isEmpty():
-        opened = opened.join(crowded, "k", "left_anti").unionByName(windows_apart(opened.join(crowded, "k", "left_semi")))
-    return settled.where("NOT open").select("doc_id", "t", "first", "n").unionByName(order_windows(opened))
+        hot = F.broadcast(crowded)  # at most open runs / GROUP keys
+        found = found.unionByName(crowded_windows(stash(opened.join(hot, "k", "left_semi"), "crowded-runs")))
+        opened = opened.join(hot, "k", "left_anti")
+    return found.unionByName(order_windows(opened))
 
 
 def spans_of(runs_: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -323,14 +334,14 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     the input. ``text`` is what is left, with characters cut in half dropped. Texts shorter than DEPTH stay.
     Of rows with one doc_id, equal texts are one document (each row is cut alike) and different texts
     are ordered by a hash. Rows with null doc_id stay whole. Empty input gives no rows. Columns of these
-    names in the input are replaced.
+    names in the input are replaced, others kept.
     """
     own = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = keyed(docs.drop(*own))
-    found = repeats(once(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "t", "text")))
-    lists = found.groupBy("doc_id", "t").agg(F.collect_list(F.shiftleft("first", 24).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 8))).alias("places"))
-    rows = packed(docs).join(lists, ["doc_id", "t"], "left")
-    names = [c for c in docs.columns if c != "t"]
+    found = repeats(once(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(T_).alias("t"), "text")))
+    lists = found.select("doc_id", F.col("t").alias(T_), "first", "n").groupBy("doc_id", T_).agg(F.collect_list(F.shiftleft("first", 24).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 8))).alias(PLACES))
+    rows = packed(docs).join(lists, ["doc_id", T_], "left")
+    names = [c for c in docs.columns if c != T_]
     fields = {f.name: f for f in docs.schema.fields}
 
     @tidy
@@ -341,7 +352,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
             out: list[list] = [[], [], [], [], []]
-            for x, places in zip(b.column(at["z"]), b.column(at["places"]).to_pylist(), strict=True):
+            for x, places in zip(b.column(at[PACKED]), b.column(at[PLACES]).to_pylist(), strict=True):
                 text = z.decompress(x.as_py())
                 spans = spans_of([(p >> 24, (p >> 8) & 0xFFF) for p in places or ()])
                 kept, end = [], 0
@@ -367,7 +378,7 @@ OP7_SQL = """
 WITH t AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), d AS (
-  SELECT doc_id, h, (len(h) // 2)::BIGINT AS n FROM t
+  SELECT DISTINCT doc_id, h, (len(h) // 2)::BIGINT AS n FROM t
 ), starts AS (
   SELECT doc_id, unnest(range(0, n - 99)) AS s, h FROM d WHERE n >= 100
 ), windows AS (
@@ -385,6 +396,6 @@ WITH t AS (
     max(CASE WHEN k = 1 THEN substr(h, 1, 2 * a) END) || string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next_a, n) - b)), '' ORDER BY a) AS left_hex
   FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
 )
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(from_hex(coalesce(left_hex, h))) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(from_hex(coalesce(left_hex, h))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
 """
