@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import _SPACE, mix64, stash, table, word_hashes
+from docmill.llm.common import mix64, stash, table, word_hashes
 from docmill.llm.language_id import held_out
 
-#: Bounds of the fitted sample: rows of each label, bytes of text in all.
-ROWS, SAMPLE_BYTES = 1500, 32_000_000
+#: Bounds of the fitted sample: rows of each label, characters of a row (longer ones are not in the sample), characters in all.
+ROWS, LONGEST, SAMPLE_CHARS = 1500, 200_000, 32_000_000
 BUCKETS, DIM, SHORT, LONG = 1 << 16, 16, 3, 5
 SEED = np.uint64(0x51ED270B)
 
@@ -27,19 +27,31 @@ def features(data: bytes, piece: int = 1 << 19):
     """Arrays of bucket numbers of a text's UTF-8 bytes, piece by piece, so that long texts need little besides.
 
     Each word (A-Z lower-cased); each pair of neighbours, where a word and itself are one feature whatever the
-    word; each SHORT- to LONG-gram of bytes as they are, with white space at its ends only.
+    word; each SHORT- to LONG-gram of characters as they are, with white space at its ends only.
     """
     h = word_hashes(data)[0]
     yield buckets(h)
     if len(h) > 1:
         yield buckets(np.where(h[:-1] == h[1:], SEED, mix64(h[:-1] * np.uint64(3) ^ h[1:])))
     raw = np.frombuffer(data, np.uint8)
-    for lo in range(0, len(raw), piece):
-        b = raw[lo : lo + piece + LONG - 1]
-        space = _SPACE[b]
-        v = np.where(space, np.uint8(32), b).astype(np.uint64)
+
+    def edge(at: int) -> int:
+        """The first start of a character from byte ``at`` on."""
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+        return min(at, len(raw))
+
+    lo = 0
+    while lo < len(raw):
+        hi = edge(lo + piece)
+        own = len(bytes(raw[lo:hi]).decode("utf-8", "replace"))
+        # a piece looks LONG - 1 characters into the next one
+        chars = np.frombuffer(bytes(raw[lo : edge(hi + 4 * LONG)]).decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")[: own + LONG - 1]
+        lo = hi
+        space = (chars == 32) | ((chars >= 9) & (chars <= 13))
+        v = np.where(space, 32, chars).astype(np.uint64)
         seen = np.cumsum(space)
-        g, own = v, min(piece, len(b))
+        g = v
         for n in range(2, LONG + 1):
             if len(v) < n:
                 break
@@ -100,29 +112,34 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 4.
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[list[str], list[int]]:
-    """A bounded hash-random sample of labelled texts: ``rows`` of each label, as far as SAMPLE_BYTES go."""
+    """A bounded hash-random sample of labelled texts.
+
+    ``rows`` ids of each label (of an id with several, the larger counts) by hash, of which rows with more than LONGEST
+    characters or without id stay out; and SAMPLE_CHARS characters in all, rows that no longer fit being passed
+    over. So at most 2 * rows rows reach the driver. Ties go by id and text.
+    """
     key = F.xxhash64("doc_id")
-    y = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     picked = None
     for v in (0, 1):
         part = y.where(F.col("y") == v).orderBy(key, "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     ids = {r["doc_id"]: r["y"] for r in picked.collect()}  # at most 2 * rows small rows
+    found = docs.where(F.col("doc_id").isin(list(ids)) & (F.length(F.coalesce("text", F.lit(""))) <= LONGEST)) if ids else docs.where(F.lit(False))
+    found = stash(found.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "quality-sample")
     texts, ys, size = [], [], 0
-    found = stash(docs.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text"), "quality-sample") if ids else docs.where(F.lit(False)).select("doc_id", "text")
-    for r in found.orderBy(key, "doc_id", "text").toLocalIterator():
-        size += len(r["text"] or "")
-        if size > SAMPLE_BYTES:
-            break
-        texts.append(r["text"] or "")
-        ys.append(int(ids[r["doc_id"]]))
+    for r in found.orderBy(key, "doc_id", "text").limit(2 * rows).toLocalIterator():
+        if size + len(r["text"]) <= SAMPLE_CHARS:
+            size += len(r["text"])
+            texts.append(r["text"])
+            ys.append(int(ids[r["doc_id"]]))
     return texts, ys
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (higher: label 1 likelier) and predicted (score >= cut) of every whole text.
 
-    Null and empty texts get the score of a document without features. Repeated rows score alike. Empty input
+    Null and empty texts get the score of a document without features. Repeated rows score alike; a null id is held out. Empty input
     gives no rows; other columns are ignored. Without labelled rows the model is the even one: 0.5 for all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
