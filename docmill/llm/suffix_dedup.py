@@ -60,6 +60,31 @@ class Hasher:
         return (s[GRAM:] - s[:-GRAM]) * self.down[:n]
 
 
+def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of each window of ``width``, by doubling."""
+    k = 1
+    while 2 * k <= width:
+        x = pick(x[:-k], x[k:])
+        k *= 2
+    return pick(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
+
+
+def first_least(h: np.ndarray, width: int) -> np.ndarray:
+    """Of each window of ``width`` the place of its least value, the first of equals."""
+    least = sliding(h, width, np.minimum)
+    edge = np.zeros(width - 1, h.dtype)
+    # a place is least in some window where the largest of its windows' least values is its own
+    places = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h)
+    j = np.searchsorted(places, np.arange(len(least)))
+    at = places[j]
+    wrong = np.flatnonzero(h[at] != least)
+    while len(wrong):
+        j[wrong] += 1
+        at[wrong] = places[j[wrong]]
+        wrong = wrong[h[at[wrong]] != least[wrong]]
+    return at
+
+
 def runs(b: np.ndarray, hasher: Hasher):
     """For each block of a text: anchors, run texts' hashes, first starts, numbers of starts, places of the anchor in the first window."""
     span = DEPTH - GRAM + 1
@@ -67,7 +92,7 @@ def runs(b: np.ndarray, hasher: Hasher):
         part = b[lo : lo + BLOCK + DEPTH - 1]
         s = hasher.sums(part)
         h = hasher.grams(s)
-        at = np.lib.stride_tricks.sliding_window_view(h, span).argmin(1) + np.arange(len(h) - span + 1)
+        at = first_least(h, span)
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         n = np.diff(np.concatenate([first, [len(at)]]))
         p = at[first]
@@ -105,7 +130,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             # an anchor with many runs goes to sub-keys by run; one mark of it goes where other batches send it
             mark = wide & new_k
             key = np.where(wide, mix64(k ^ mix64(text % np.uint64(SPREAD) + np.uint64(1))), k)
-            key = np.where(new, key, mix64(text ^ place.astype(np.uint64)))
+            key = np.where(new, key, mix64(text ^ mix64(place.astype(np.uint64) ^ mix64(doc.astype(np.uint64)))))
             place = place | np.where(wide, WIDE, 0) | np.where(new, 0, DONE)
             cols = [np.concatenate([c, m[mark]]) for c, m in ((key, k), (text, text), (doc, doc), (t, t), (place, place))]
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=["k", "run", "doc_id", "t", "place"])
