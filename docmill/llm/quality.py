@@ -87,7 +87,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 4.
         ids = np.concatenate(list(features(t.encode("utf-8", "replace"))))
         u, c = np.unique(ids, return_counts=True)
         bags.append((u, (c / max(1, c.sum())).astype(np.float32)))
-    y = np.array(labels)
+    y = np.array(labels, np.int64)
     share = np.bincount(y, minlength=2) / max(1, len(y))
     weigh = np.array([0.5 / s if s else 0 for s in share], np.float32)
     steps, k = epochs * len(bags), 0
