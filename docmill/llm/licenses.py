@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -140,7 +141,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     Whole texts are looked through; words are runs of a-z and 0-9, A-Z lower-cased. Every three-word
     fingerprint of a text is looked up among the winnowed ones of the templates, so five equal words in a row
-    always make a candidate. A candidate is aligned with its template in a band of diagonals; it is
+    always make a candidate. A candidate is aligned with its template in a band of diagonals, ``band`` to
+    each side and at least as many as words may be missing or added at this coverage; it is
     reported where the matched words are at least ``coverage`` of the template's and of the span's; what a
     band holds too few words for is not aligned. Spans of one template don't overlap; a hit inside another
     template's span is reported too. Of equally long alignments the shortest span, then the earliest is taken. Null or empty text
@@ -164,10 +166,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 offsets = None
                 for t, j, p in hits:
                     template = index.words[t]
+                    width = max(band, math.ceil(len(template) * (1 / coverage - 1)))
                     # the band's words hold every match of an alignment
-                    if j < ends.get(t, 0) or not index.may_match(t, numbers, max(ends.get(t, 0), j - p - band), j - p + len(template) + band, coverage):
+                    if j < ends.get(t, 0) or not index.may_match(t, numbers, max(ends.get(t, 0), j - p - width), j - p + len(template) + width, coverage):
                         continue
-                    for n, a, b in spans(template, words, j, j - p, band, ends.get(t, 0), coverage):
+                    for n, a, b in spans(template, words, j, j - p, width, ends.get(t, 0), coverage):
                         if offsets is None:
                             offsets = [m.span() for m in _TOKEN.finditer(data.lower())]
                         ends[t] = b + 1
