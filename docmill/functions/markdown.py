@@ -9,6 +9,7 @@ from docmill.functions.jstext import PICTOGRAPHS, WS, B, remap, sub, trim, units
 from docmill.functions.text import decode_entities, normalize_whitespace
 
 _S = f"[{WS}]"
+#: What a link, and a link to another article, looks like.
 _LINK = r"\[[^\]]+\]\([^)]+\)"
 _MENU_LINK = r"\[[^\]]+\]\(/knowledge/article/[^)]+\)"
 _ANY = r"[\s\S]*?"
@@ -77,17 +78,25 @@ def plain_text(c: Column) -> Column:
 
 def link_line(line: Column) -> Column:
     """A line that is links in the main."""
+    held = F.contains(line, F.lit("]("))  # a search that costs little; most lines end here
     c = sub(trim(line), rf"\A[-*+]{_S}+")
     rest = sub(sub(c, _LINK), rf"[,{WS}|:;.\-]")
     size = units(F.array_join(F.regexp_extract_all(c, F.lit(_LINK), F.lit(0)), ""))
-    return (c != "") & (size > 0) & ((rest == "") | (size / F.greatest(F.lit(1), units(c)) >= 0.7))
+    return held & (c != "") & (size > 0) & ((rest == "") | (size / F.greatest(F.lit(1), units(c)) >= 0.7))
+
+
+def without_links(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit("](")), sub(c, _LINK, " ")).otherwise(c)
 
 
 def narrative_paragraphs(md: Column) -> Column:
     def keeps(p):
         lines = F.filter(F.split(p, "\n", -1), lambda x: trim(x) != "")
         image = F.contains(p, F.lit("[Image")) & F.contains(p, F.lit("contenu non extrait]"))
-        return (p != "") & ~F.regexp_like(p, F.lit(rf"\A#{{1,3}}{_S}+")) & ~image & ~((F.size(lines) > 0) & F.forall(lines, link_line)) & (units(normalize_whitespace(sub(p, _LINK, " "))) >= 40)
+        links = F.contains(p, F.lit("](")) & (F.size(lines) > 0) & F.forall(lines, link_line)
+        # so many visible characters are enough, whatever the blanks between them
+        long = F.regexp_like(without_links(p), F.lit(rf"(?:[^{WS}][{WS}]*){{40}}")) | (units(normalize_whitespace(without_links(p))) >= 40)
+        return (p != "") & ~F.regexp_like(p, F.lit(rf"\A#{{1,3}}{_S}+")) & ~image & ~links & long
 
     return F.size(F.filter(F.transform(F.split(md, r"\n{2,}", -1), trim), keeps))
 
@@ -98,7 +107,8 @@ def menu_metrics(md: Column) -> Column:
     n, only = F.size(lines), F.size(F.filter(lines, link_line))
     ratio = F.when(n > 0, only / n).otherwise(F.lit(0.0))
     links = F.regexp_count(md, F.lit(r"\]\(/knowledge/article/[^)]+\)"))
-    out = sub(sub(sub(sub(md, _MENU_LINK, " "), _LINK, " "), rf"(?md)^#{{1,3}}{_S}+.*$", " "), r"\[Image[^\]]*contenu non extrait\]", " ")
+    out = F.when(F.contains(md, F.lit("](")), without_links(sub(md, _MENU_LINK, " "))).otherwise(md)
+    out = sub(sub(out, rf"(?md)^#{{1,3}}{_S}+.*$", " "), r"\[Image[^\]]*contenu non extrait\]", " ")
     outside, told = units(normalize_whitespace(out)), narrative_paragraphs(md)
     menu = ((links >= 5) & (outside < 300)) | ((ratio >= 0.7) & (told < 3))
     return F.struct(links.alias("n_links"), n.alias("n_lines"), only.alias("n_link_lines"), ratio.alias("link_ratio"), told.alias("n_narrative"), outside.alias("n_outside"), menu.alias("is_menu"))

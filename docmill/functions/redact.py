@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.jstext import WS, B, literal
+from docmill.functions.jstext import WS, B, let, literal
 
 _S = f"[{WS}]"
 _REST = rf"""[^{WS}"',;)]+"""
@@ -20,27 +20,53 @@ RULES = (
     ("internalPath", rf"(?i){B}[A-Za-z]:\\(?:srv|server|data|apps|inetpub|www|var|opt|etc|users)\\{_REST}", "[INTERNAL_PATH_REDACTED]"),
     ("internalPath", rf"(?i)/(?:srv|var/www|opt|etc)/{_REST}", "[INTERNAL_PATH_REDACTED]"),
 )
+#: What a text must hold for a rule to match at all: a cheap search before the rule's own.
+_HINTS = (
+    rf"(?i)(?:password|passwd|pwd|token|key|secret|passe){_S}*[:=]",
+    r"(?i)\.(?:p12|pem|key)",
+    r"[0-9]\.[0-9]",
+    r"\\\\",
+    r":\\",
+    r"(?i)/(?:srv|var|opt|etc)/",
+)
 KINDS = ("secret", "certificate", "ip", "internalPath")
 PLACEHOLDER = {"secret": "[SECRET_REDACTED]", "certificate": "[CERTIFICATE_REDACTED]", "ip": "[IP_REDACTED]", "internalPath": "[INTERNAL_PATH_REDACTED]"}
 _SECRET_KEY = re.compile(r"(?:^|[._-])(?:password|passwd|pwd|token|api[_-]?key|secret|mot\s*de\s*passe)(?:$|[._-])", re.I)
 _CERT_KEY = re.compile(r"(?:cert|certificate|keystore|truststore|private[_-]?key|pem|p12)", re.I)
 
 
+def redacted(c: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """Struct of the redacted text and the number of matches of each kind, each counted just before it is replaced.
+
+    A text goes through the rules it gives a hint of; each step is worked out once.
+    """
+    state = F.struct(c.alias("text"), *[F.lit(0).alias(k) for k in KINDS])
+    for rule, hint in zip(RULES, _HINTS, strict=True):
+        if rule[0] in kinds:
+            state = let(state, _step(*rule, hint))
+    return state
+
+
+def _step(kind: str, pattern: str, to: str, hint: str):
+    def step(s: Column) -> Column:
+        put = F.regexp_replace(s["text"], F.lit(pattern), F.lit(to if "$1" in to else literal(to)))
+        done = F.struct(put.alias("text"), *[(s[k] + F.regexp_count(s["text"], F.lit(pattern)) if k == kind else s[k]).alias(k) for k in KINDS])
+        return F.when(F.regexp_like(s["text"], F.lit(hint)), done).otherwise(s)
+
+    return step
+
+
 def redact(c: Column, kinds: tuple[str, ...] = KINDS) -> tuple[Column, dict[str, Column]]:
-    """Redacted text and the number of matches of each kind, each counted just before it is replaced."""
-    counts = {k: F.lit(0) for k in KINDS}
-    for kind, pattern, to in RULES:
-        if kind in kinds:
-            counts[kind] = counts[kind] + F.regexp_count(c, F.lit(pattern))
-            c = F.regexp_replace(c, F.lit(pattern), F.lit(to if "$1" in to else literal(to)))
-    return c, counts
+    """Redacted text and the number of matches of each kind."""
+    out = redacted(c, kinds)
+    return out["text"], {k: out[k] for k in KINDS}
 
 
 def redact_columns(df: DataFrame, col: str, out: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """``df`` with the redacted text in ``out`` and n_secret, n_certificate, n_ip, n_path."""
-    text, counts = redact(F.col(col), kinds)
     names = {"secret": "n_secret", "certificate": "n_certificate", "ip": "n_ip", "internalPath": "n_path"}
-    return df.withColumns({names[k]: v.cast("long") for k, v in counts.items()} | {out: text})
+    df = df.withColumn("_redacted", redacted(F.col(col), kinds))
+    return df.withColumns({n: F.col("_redacted")[k].cast("long") for k, n in names.items()} | {out: F.col("_redacted")["text"]}).drop("_redacted")
 
 
 def findings(df: DataFrame, id_col: str, col: str, reveal: bool = False, kinds: tuple[str, ...] = KINDS) -> DataFrame:

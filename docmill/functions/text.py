@@ -13,6 +13,7 @@ IMAGE_PLACEHOLDER = "[Image — contenu non extrait]"
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 #: Characters that Windows-1252 has at 0x80-0x9F, and their bytes.
 CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: What mis-decoded text looks like.
 _BROKEN_EMOJI = r"\u00f0[\u0080-\u00ff]{1,3}"
 _AFTER_A = r"[\u0080-\u00ff\u20ac\u201a-\u201e\u2020-\u2022\u2013-\u201d\u2122\u0160\u0152\u017d\u0161\u0153\u017e\u0178]"
 MOJIBAKE = rf"\u00c3{DOT}|\u00c2{DOT}|\u00e2{_AFTER_A}|{_BROKEN_EMOJI}|\ufffd"
@@ -44,8 +45,12 @@ def strip_html(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    c = sub(sub(c, r"\r\n?", "\n"), r"\u00a0", " ")
-    c = sub(sub(c, r"[ \t]+", " "), r"[ \t]*\n[ \t]*", "\n")
+    """Line ends to \\n, no-break spaces to blanks, runs of blanks and tabs to one blank, none around line ends, two line ends at most, trimmed.
+
+    The patterns match only where something changes, so clean text is searched but not rebuilt.
+    """
+    c = F.replace(sub(c, r"\r\n?", "\n"), F.lit("\u00a0"), F.lit(" "))
+    c = sub(sub(c, r"(?:\t| [ \t])[ \t]*", " "), r"[ \t]+\n[ \t]*|\n[ \t]+", "\n")
     return trim(sub(c, r"\n{3,}", "\n\n"))
 
 

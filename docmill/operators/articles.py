@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill.functions.dates import parse_date
 from docmill.functions.jstext import PICTOGRAPHS, WS, let, sub, trim, units
 from docmill.functions.markdown import html_to_markdown, menu_metrics, plain_text
-from docmill.functions.redact import KINDS, redact
+from docmill.functions.redact import KINDS, redacted
 from docmill.functions.text import clean, normalize_whitespace, remove_inline_images, repaired, strip_control
 from docmill.operators.records import js_text
 from docmill.sources.readers import first_present
@@ -74,11 +74,7 @@ def category(c: Column) -> Column:
 def _redacted(c: Column) -> Column:
     """Struct of clean, redacted text and the number of matches of each kind; null stays null."""
 
-    def run(t: Column) -> Column:
-        text, counts = redact(t)
-        return F.struct(text.alias("text"), F.struct(*[counts[k].alias(k) for k in KINDS]).alias("found"))
-
-    return let(clean(c, control=True), run)
+    return let(redacted(clean(c, control=True)), lambda r: F.struct(r["text"].alias("text"), F.struct(*[r[k].alias(k) for k in KINDS]).alias("found")))
 
 
 def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool = False, include_menu: bool = False) -> DataFrame:

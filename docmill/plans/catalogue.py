@@ -27,7 +27,9 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer parts than cores (a single small file) is dealt out, as the rules cost far more than a shuffle."""
+    d, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if name in ("documents", "pages", "conversations") and d.rdd.getNumPartitions() < cores else d
 
 
 def tagged(df: DataFrame, key: str, col: str, parts: tuple[str, ...]) -> DataFrame:
@@ -96,7 +98,7 @@ def html_to_markdown(spark, sf_dir):
 
 
 LINKS = ("", "\n\n## T\n- [a](/knowledge/article/1)\n- [b](/knowledge/article/2)\n- [c](/knowledge/article/3)\n- [d](/knowledge/article/4)\n- [e](/knowledge/article/5)", "\n`code` and **bold** [x](http://y)\n\n```\nfenced\n```", "\n[only](/knowledge/article/9)")
-_MD = tagged_sql("doc_id", "substr(text, 1, CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 100000 END)", LINKS)
+_MD = tagged_sql("doc_id", "text", LINKS)
 _PLAIN = _MD
 for _a, _b in ((r"```[\s\S]*?```", " "), (r"`([^`]+)`", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"[*_#>`-]+", " ")):
     _PLAIN = f"regexp_replace({_PLAIN}, '{_a}', '{_b}', 'g')"
