@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.jstext import B, contains_any, search_text, sub, trim, units
-from docmill.functions.text import clean, normalize_whitespace
+from docmill.functions.dates import parse_date, rounded_hours
+from docmill.functions.jstext import WS, B, contains_any, let, search_text, sub, trim, units
+from docmill.functions.redact import KINDS, redacted
+from docmill.functions.text import clean, normalize_whitespace, repaired
+from docmill.operators.articles import COUNTERS, variant_text
+from docmill.sources.readers import first_present
 
 #: The terms of each signal, in search form.
 MONITORING = ("updown alert", "updown.io", "[down]", "[up]", "status page", "downtime details")
@@ -19,6 +23,21 @@ TECHNICAL = ("alerte", "alert", "down", "up", "downtime", "supervision", "cpu",
 SURVEY = ("demande d'evaluation du service", "evaluer nos services", "cliquez sur l'un de ces smileys", "enquete de satisfaction")
 BASE = {"support_case": 40, "internal_infra": 20, "notification": 10, "monitoring": 5, "spam_or_auto": -50, "empty": -50, "unknown": 0}
 TERMS = {"monitoring": MONITORING, "spam": SPAM, "notification": NOTIFICATION, "resolution": RESOLUTION, "procedure": PROCEDURE, "anomaly": ANOMALY, "technical": TECHNICAL, "downtime": ("downtime details",), "fix": ("mise a jour corrective", "maj corrective")}
+#: Names of a ticket's and a message's fields, the first one present wins; and what stands for a client.
+TICKET_KEYS = {
+    "ticket": ("sequence_des_id_des_tickets", "ticket_id", "id"),
+    "subject": ("sujet",),
+    "priority": ("gravite", "priorite"),
+    "category": ("categorie_perimetre", "categorie"),
+    "team": ("equipe_d_assistance",),
+    "type": ("type",),
+    "labels": ("etiquettes",),
+    "client": ("client",),
+    "hours": ("heures_passees",),
+    "created": ("cree_le",),
+}
+MESSAGE_KEYS = {"content": ("contenu_texte",), "subject": ("sujet",), "author": ("auteur",), "date": ("date",)}
+CLIENT_PLACEHOLDER = "[CLIENT_REDACTED]"
 VAGUE_CATEGORIES = ("divers", "autre", "general", "n/a")
 VAGUE_SUBJECTS = ("test", "client critique", "divers")
 
@@ -48,16 +67,40 @@ def weak_reason(text: Column, search: Column) -> Column:
     )
 
 
-def clean_messages(messages: DataFrame) -> DataFrame:
-    """Messages (ticket_id, pos, sort_time, subject, content, author) with text, search, drop_reason and place.
+def cleaned(c: Column, redaction: bool) -> Column:
+    """Struct of a field's text (repaired, cleaned and, if asked, redacted), n (corrections) and the matches of each kind."""
 
-    Reasons: empty, auto, weak, duplicate (of an earlier one with the same search subject and text). Kept ones
-    have their place from 1: dated ones by time, then undated ones, each in source order.
+    def run(r: Column) -> Column:
+        text = clean(r["text"], control=True)
+        done = redacted(text) if redaction else F.struct(text.alias("text"), *[F.lit(0).alias(k) for k in KINDS])
+        return let(done, lambda d: F.struct(d["text"].alias("text"), r["n"].alias("n"), *[d[k].alias(k) for k in KINDS]))
+
+    return let(repaired(F.coalesce(c, F.lit(""))), run)
+
+
+def same_subject(message: Column, ticket: Column) -> Column:
+    """Subjects with the same words, whatever their case, marks and blanks; an empty one is like no other."""
+    fold = lambda c: trim(sub(search_text(c), f"[{WS}]+", " "))
+    return (fold(message) != "") & (fold(message) == fold(ticket))
+
+
+def clean_messages(messages: DataFrame, ticket_subject: str | None = None) -> DataFrame:
+    """Messages (ticket_id, pos, sort_time, subject, content, author) with text, topic, search, drop_reason, place and counters.
+
+    ``text`` and ``topic`` (the subject, empty where it is that of the ticket, column ``ticket_subject``) are repaired,
+    cleaned and redacted. Reasons: empty, auto, weak, duplicate (of an earlier one with the same topic and text). Kept
+    ones have their place from 1: dated ones by time, then undated ones, each in source order. Counters (n_fixes and one of each
+    kind) count the topic only of messages that got past the first three reasons.
     """
-    m = messages.withColumn("text", clean(F.coalesce("content", F.lit("")), control=True))
+    m = messages.withColumns({"_text": cleaned(F.col("content"), True), "_topic": cleaned(F.col("subject"), True)})
+    m = m.withColumn("text", F.col("_text.text"))
     m = m.withColumn("search", search_text(F.col("text")))
     m = m.withColumn("reason", F.when(F.col("text") == "", "empty").otherwise(weak_reason(F.col("text"), F.col("search"))))
-    same = Window.partitionBy("ticket_id", search_text(clean(F.coalesce("subject", F.lit("")), control=True)), "text", F.col("reason").isNull()).orderBy("pos")
+    topic = F.col("_topic.text")
+    m = m.withColumn("topic", F.when(same_subject(topic, F.col(ticket_subject)), "").otherwise(topic) if ticket_subject else topic)
+    judged = F.col("reason").isNull()
+    m = m.withColumns({n: F.col("_text")[k] + F.when(judged, F.col("_topic")[k]).otherwise(0) for k, n in ({"n": "n_fixes"} | COUNTERS).items()}).drop("_text", "_topic")
+    same = Window.partitionBy("ticket_id", "topic", "text", judged).orderBy("pos")
     m = m.withColumn("drop_reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.row_number().over(same) > 1, "duplicate")).drop("reason")
     order = Window.partitionBy("ticket_id", F.col("drop_reason").isNull()).orderBy(F.col("sort_time").asc_nulls_last(), "pos")
     return m.withColumn("place", F.when(F.col("drop_reason").isNull(), F.row_number().over(order)))
@@ -83,6 +126,7 @@ def summarize(cleaned: DataFrame) -> DataFrame:
         F.count_if(F.col("drop_reason") == "auto").alias("n_auto"),
         F.count_if(F.col("drop_reason") == "duplicate").alias("n_duplicate"),
         F.count_if(~kept).alias("n_removed"),
+        *[F.sum(c).alias(c) for c in ("n_fixes", *COUNTERS.values())],
         *held,
         F.bool_or(version(F.col("said"))).alias("said_version"),
     )
@@ -137,18 +181,98 @@ def score(t: DataFrame) -> DataFrame:
     return t.withColumn("rag_candidate", (F.col("score") >= 70) & (kind == "support_case"))
 
 
+FIELDS = ("ticket", "subject", "priority", "category", "team", "type", "labels", "client")
+COUNTS = ("n_messages", "n_useful", "n_solid", "n_auto", "n_duplicate", "n_removed", "n_fixes", *COUNTERS.values())
+
+
+def clean_tickets(tickets: DataFrame) -> DataFrame:
+    """Tickets (ticket_id, hours, and any of FIELDS and created, as text) with clean fields, dates and counters; absent fields are empty. Only the subject is redacted."""
+    held = {f: cleaned(F.col(f) if f in tickets.columns else F.lit(""), f == "subject") for f in FIELDS}
+    t = tickets.withColumns({f"_{f}": c for f, c in held.items()})
+    t = t.withColumns({f: F.col(f"_{f}.text") for f in FIELDS} | {"own_fixes": sum((F.col(f"_{f}.n") for f in FIELDS), F.lit(0))} | {f"own_{n}": F.col("_subject")[k] for k, n in COUNTERS.items()})
+    t = t.withColumn("created", parse_date(F.col("created") if "created" in tickets.columns else F.lit(None).cast("string"), ticket=True))
+    return t.drop(*[f"_{f}" for f in FIELDS])
+
+
 def process(tickets: DataFrame, messages: DataFrame) -> DataFrame:
-    """Classified and scored tickets (ticket_id, subject, category, type, team, hours) with their messages' counts."""
-    s = summarize(clean_messages(messages))
-    t = tickets.join(s, "ticket_id", "left").fillna(0, ["n_messages", "n_useful", "n_solid", "n_auto", "n_duplicate", "n_removed"]).fillna(False, [c for c in s.columns if c.startswith(("said_", "who_"))])
+    """Classified and scored tickets with clean fields, their messages' counts, and what was corrected and redacted in both."""
+    t = clean_tickets(tickets)
+    subjects = t.select("ticket_id", F.col("subject").alias("ticket_subject"))
+    s = summarize(clean_messages(messages.join(subjects, "ticket_id", "left"), "ticket_subject"))
+    t = t.join(s, "ticket_id", "left").fillna(0, list(COUNTS)).fillna(False, [c for c in s.columns if c.startswith(("said_", "who_"))])
+    t = t.withColumns({"n_fixes": F.col("n_fixes") + F.col("own_fixes")} | {n: F.col(n) + F.col(f"own_{n}") for n in COUNTERS.values()})
     for name in ("subject", "category", "type", "team"):
-        t = t.withColumn(f"{name}_search", search_text(clean(F.coalesce(name, F.lit("")), control=True)))
+        t = t.withColumn(f"{name}_search", search_text(F.col(name)))
     return score(classify(t))
 
 
+def exported(processed: DataFrame, min_score: int = 0, only_candidates: bool = False) -> DataFrame:
+    """Tickets that go out: of ``min_score`` at least and, if asked, candidates only."""
+    d = processed.where(F.col("score") >= min_score)
+    return d.where("rag_candidate") if only_candidates else d
+
+
+def ticket_records(processed: DataFrame, keep_client: bool = True, redact_client: bool = False) -> DataFrame:
+    """Tickets in their output form; what is empty is null, and so left out by to_json. Messages are rows of their own (message_records)."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    client = blank("client") if keep_client else F.lit(None).cast("string")
+    return processed.select(
+        F.col("ticket_id").alias("key"),
+        blank("ticket").alias("ticket_id"),
+        blank("priority").alias("priorite"),
+        blank("subject").alias("sujet"),
+        blank("category").alias("categorie"),
+        blank("team").alias("equipe_d_assistance"),
+        (F.when(client.isNotNull(), F.lit(CLIENT_PLACEHOLDER)) if redact_client else client).alias("client"),
+        F.col("hours").alias("heures_passees"),
+        F.col("created.iso").alias("cree_le"),
+        F.col("created.raw").alias("cree_le_raw"),
+        blank("type").alias("type"),
+        blank("labels").alias("etiquettes"),
+        "ticket_kind",
+        F.col("score").alias("relevance_score"),
+        F.col("flags").alias("relevance_flags"),
+        "rag_candidate",
+    )
+
+
+def message_records(cleaned_messages: DataFrame, keep_author: bool = False) -> DataFrame:
+    """Kept messages in their output form, with their ticket's key and place; ``date`` (a column of parse_date, if there) gives the date."""
+    d = cleaned_messages.where("drop_reason IS NULL")
+    author = F.nullif(cleaned(F.col("author"), False)["text"], F.lit("")) if keep_author else F.lit(None).cast("string")
+    date = (F.col("date.iso"), F.col("date.raw")) if "date" in d.columns else (F.lit(None).cast("string"),) * 2
+    return d.select(F.col("ticket_id").alias("key"), "place", F.col("topic").alias("sujet"), F.col("text").alias("contenu_texte"), date[0].alias("date"), date[1].alias("date_raw"), author.alias("auteur"))
+
+
+def from_items(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tickets, messages and warnings of JSON items (pos from 1, item variant); tickets are keyed by position.
+
+    Items and messages that are no objects are left out with a warning (an ignored message still counts as removed: column
+    ``ignored`` of the tickets). Warnings: pos, seq, text, in the order of the items.
+    """
+    is_object = lambda c: F.coalesce(F.startswith(F.schema_of_variant(c), F.lit("OBJECT")), F.lit(False))
+    as_map = lambda c: F.try_variant_get(c, "$", "map<string,variant>")
+    d = items.withColumn("m", F.when(is_object(F.col("item")), as_map(F.col("item"))))
+    t = d.where("m IS NOT NULL").select(F.col("pos").alias("ticket_id"), *[variant_text(first_present(F.col("m"), k)).alias(n) for n, k in TICKET_KEYS.items()], F.coalesce(F.try_variant_get(first_present(F.col("m"), ("messages",)), "$", "array<variant>"), F.array().cast("array<variant>")).alias("said"))
+    name = lambda text, pos: F.when(text != "", F.concat(F.lit("Ticket "), text)).otherwise(F.concat(F.lit("Ticket at index "), pos.cast("string")))
+    label = name(cleaned(F.col("ticket"), False)["text"], F.col("ticket_id"))
+    m = t.select("ticket_id", label.alias("label"), F.posexplode("said").alias("at", "x"))
+    told = lambda text: F.concat(F.col("label"), F.lit(": message "), (F.col("at") + 1).cast("string"), F.lit(text))
+    bad = m.where(~is_object(F.col("x"))).select(F.col("ticket_id").alias("pos"), (F.col("at") + 1).alias("seq"), told(" ignored because it is not an object.").alias("text"))
+    m = m.where(is_object(F.col("x"))).withColumn("x", as_map(F.col("x")))
+    m = m.select("ticket_id", "label", F.col("at"), (F.col("at") + 1).alias("pos"), *[variant_text(first_present(F.col("x"), k)).alias(n) for n, k in MESSAGE_KEYS.items()])
+    m = m.withColumn("date", parse_date(F.col("date"), ticket=True)).withColumn("sort_time", F.col("date.ms"))
+    dates = m.where(F.col("date.raw").isNotNull()).select(F.col("ticket_id").alias("pos"), F.col("pos").alias("seq"), told(" date not converted.").alias("text"))
+    created = t.where(parse_date(F.col("created"), ticket=True)["raw"].isNotNull()).select(F.col("ticket_id").alias("pos"), F.lit(2**31 - 1).alias("seq"), F.concat(label, F.lit(": cree_le date not converted.")).alias("text"))
+    ignored = d.where("m IS NULL").select("pos", F.lit(0).alias("seq"), F.concat(F.lit("Ticket at index "), F.col("pos").cast("string"), F.lit(" ignored because it is not an object.")).alias("text"))
+    t = t.withColumn("ignored", F.size(F.filter("said", lambda x: ~is_object(x)))).withColumn("hours", rounded_hours(F.col("hours"))).drop("said")
+    return t, m.drop("label", "at"), ignored.unionByName(bad).unionByName(dates).unionByName(created)
+
+
 def report(processed: DataFrame, min_score: int = 0, only_candidates: bool = False) -> DataFrame:
     """One row: candidates among exported tickets, removals over all."""
     out = F.col("score") >= min_score
     if only_candidates:
         out = out & F.col("rag_candidate")
-    return processed.agg(F.count("*").alias("n_tickets"), F.count_if(out).alias("n_exported"), F.count_if(out & F.col("rag_candidate")).alias("n_candidates"), F.sum("n_removed").alias("n_removed"), F.sum("n_auto").alias("n_auto"), F.sum("n_duplicate").alias("n_duplicate"))
+    ignored = F.sum("ignored") if "ignored" in processed.columns else F.lit(0)
+    return processed.agg(F.count("*").alias("n_tickets"), F.count_if(out).alias("n_exported"), F.count_if(out & F.col("rag_candidate")).alias("n_candidates"), (F.sum("n_removed") + ignored).alias("n_removed"), F.sum("n_auto").alias("n_auto"), F.sum("n_duplicate").alias("n_duplicate"), F.count_if(F.col("n_messages") == 0).alias("n_without_messages"), *[F.sum(c).alias(c) for c in ("n_fixes", *COUNTERS.values())])

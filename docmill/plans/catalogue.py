@@ -159,13 +159,13 @@ _STEPS = (
 )
 
 
-def redact_sql(source: str, kinds: tuple[str, ...] = ("n_secret", "n_certificate", "n_ip", "n_path")) -> str:
-    """A query of doc_id, text and the counts, each step on the text of the one before."""
-    inner = f"SELECT doc_id, {source} AS t, 0 AS n_secret, 0 AS n_certificate, 0 AS n_ip, 0 AS n_path FROM documents"
+def redact_sql(source: str, kinds: tuple[str, ...] = ("n_secret", "n_certificate", "n_ip", "n_path"), keys: str = "doc_id", table: str = "documents") -> str:
+    """A query of the keys, text and the counts, each step on the text of the one before."""
+    inner = f"SELECT {keys}, {source} AS t, 0 AS n_secret, 0 AS n_certificate, 0 AS n_ip, 0 AS n_path FROM {table}"
     for name, pattern, to in _STEPS:
         if name in kinds:
             counts = ", ".join(f"{c} + len(regexp_extract_all(t, '{pattern}')) AS {c}" if c == name else c for c in ("n_secret", "n_certificate", "n_ip", "n_path"))
-            inner = f"SELECT doc_id, regexp_replace(t, '{pattern}', '{to}', 'g') AS t, {counts} FROM ({inner})"
+            inner = f"SELECT {keys}, regexp_replace(t, '{pattern}', '{to}', 'g') AS t, {counts} FROM ({inner})"
     return inner
 
 
@@ -340,16 +340,25 @@ def qualify_batch(spark, sf_dir):
 
 # --- tickets --------------------------------------------------------------------------------------------
 
-SAID = ("", " erreur et solution, verifier la version 2.10", " merci, le service support", " UPDOWN ALERT serveur", " antispam", "")
+SAID = ("", " erreur et solution, vÃ©rifier la version 2.10", " merci, le service support", " UPDOWN ALERT serveur", " antispam", " password: hunter2, incident sur 10.1.2.3", "", " voir /etc/passwd")
+#: Messages whose whole text is this: repeats in one ticket.
+AGAIN = "Le serveur ne rÃ©pond plus"
+TOPICS = ("", "TÊST", "Eté", "Ete", "token: abc")
 _CONV = tagged_sql("conv_id * 7 + turn", "text", SAID)
+CREATED = ("2025-01-07 08:39", "07/01/2025", "bientôt", "", "45000,5", "Tue, 07 Jan 2025 08:39:30 GMT")
 
 
 def _tickets(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     c = c.withColumn("k", F.col("conv_id") * 7 + F.col("turn"))
-    m = tagged(c, "k", "text", SAID)
-    messages = m.select(F.col("conv_id").alias("ticket_id"), F.col("turn").alias("pos"), F.when(F.col("turn") % 2 == 0, -F.col("turn")).alias("sort_time"), F.lit("").alias("subject"), F.col("text").alias("content"), F.col("role").alias("author"))
-    t = c.groupBy("conv_id").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("ticket_id"), F.when(F.col("conv_id") % 3 == 0, "test").otherwise("").alias("subject"), F.when(F.col("conv_id") % 2 == 0, "Facturation").otherwise("divers").alias("category"), F.lit("").alias("type"), F.when(F.col("conv_id") % 5 == 0, "Infra").otherwise("").alias("team"), (F.col("conv_id") % 3 * 0.25).alias("hours"))
+    m = tagged(c, "k", "text", SAID).withColumn("subject", F.lit(""))
+    # a message more after each of four: the same words in each of its ticket
+    more = m.where("k % 4 = 0").withColumns({"text": F.lit(AGAIN), "turn": F.col("turn") + 1000000})
+    m = tagged(m.unionByName(more), "k", "subject", TOPICS)
+    messages = m.select(F.col("conv_id").alias("ticket_id"), F.col("turn").alias("pos"), F.when(F.col("turn") % 2 == 0, -F.col("turn")).alias("sort_time"), "subject", F.col("text").alias("content"), F.col("role").alias("author"))
+    t = c.groupBy("conv_id").agg(F.count("*").alias("n")).withColumns({"created": F.lit(""), "client": F.lit("")})
+    t = tagged(tagged(t, "conv_id", "created", CREATED), "conv_id", "client", ("ACME", "", " M. Noël "))
+    t = t.select(F.col("conv_id").alias("ticket_id"), F.concat(F.lit("T-"), "conv_id").alias("ticket"), F.when(F.col("conv_id") % 3 == 0, " Test ").otherwise("").alias("subject"), F.when(F.col("conv_id") % 2 == 0, "Facturation").otherwise("divers").alias("category"), F.lit("").alias("type"), F.when(F.col("conv_id") % 5 == 0, "Infra").otherwise("").alias("team"), (F.col("conv_id") % 3 * 0.25).alias("hours"), "created", "client")
     return t, messages
 
 
@@ -367,10 +376,14 @@ for _p in (r"https?://\S+", r"\[[^\]]+\]\([^)]+\)", r"\bvoir le ticket\b"):
     _BARE = f"regexp_replace({_BARE}, '{_p}', ' ', 'gi')"
 _ALERT = f"(len({ws_sql(_BARE)}) < 20 OR ({_any('s', tickets.TECHNICAL)} AND NOT {_any('s', tickets.PROCEDURE)}))"
 _COMPACT = "trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))"
+# mis-decoded parts are repaired where all else is ASCII; one good letter beside them keeps them all
+_REPAIRED = "CASE WHEN regexp_matches(base, '[^\\x00-\\x7F]') THEN content ELSE replace(replace(content, 'Ã©', 'é'), 'Ã¨', 'è') END"
 MESSAGES_SQL = f"""
-WITH m AS (SELECT conv_id AS ticket_id, turn AS pos, role, {_CONV} AS content, CASE WHEN turn % 2 = 0 THEN -turn END AS sort_time FROM conversations),
-c AS (SELECT *, {ws_sql(control_sql('content'))} AS t FROM m),
-s AS (SELECT *, {_search_sql('t')} AS s FROM c),
+WITH b AS (SELECT conv_id AS ticket_id, turn AS pos, role, conv_id * 7 + turn AS k, {_CONV} AS content, coalesce(text, '') AS base FROM conversations
+  UNION ALL SELECT conv_id, turn + 1000000, role, conv_id * 7 + turn, {_q(AGAIN)}, '' FROM conversations WHERE (conv_id * 7 + turn) % 4 = 0),
+m AS MATERIALIZED (SELECT *, {tagged_sql('k', "''", TOPICS)} AS subject, CASE WHEN pos % 2 = 0 THEN -pos END AS sort_time, {_REPAIRED} AS fixed FROM b),
+c AS ({redact_sql(ws_sql(control_sql("fixed")), keys="ticket_id, pos, role, k, content, subject, sort_time", table="m")}),
+s AS (SELECT *, {_search_sql('t')} AS s, CASE WHEN subject = 'TÊST' AND ticket_id % 3 = 0 THEN '' WHEN subject LIKE 'token%' THEN 'token: [SECRET_REDACTED]' ELSE subject END AS topic FROM c),
 r AS (SELECT *, {_ALERT} AS alert, {_any('s', _SIG)} AS signal, CASE WHEN t = '' THEN 'empty'
   WHEN {_COMPACT} IN ('a faire terminee', 'a faire termine', 'voir le ticket', 'merci le service support') THEN 'weak'
   WHEN {_any('s', tickets.SPAM + tickets.SURVEY)} THEN 'auto'
@@ -378,15 +391,17 @@ r AS (SELECT *, {_ALERT} AS alert, {_any('s', _SIG)} AS signal, CASE WHEN t = ''
   WHEN contains(s, 'pas de retour client') AND contains(s, 'cloture') AND NOT {_any('s', _SIG)} THEN 'weak'
   WHEN contains(s, 'merci') AND contains(s, 'le service support') AND len(t) < 160 AND NOT {_any('s', _SIG)} THEN 'weak'
   WHEN {_ALERT} AND NOT {_any('s', _SIG)} THEN 'weak' END AS reason FROM s),
-d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY ticket_id, t, reason IS NULL ORDER BY pos) > 1 THEN 'duplicate' END AS drop_reason FROM r),
+d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY ticket_id, topic, t, reason IS NULL ORDER BY pos) > 1 THEN 'duplicate' END AS drop_reason FROM r),
 o AS (SELECT *, CASE WHEN drop_reason IS NULL THEN row_number() OVER (PARTITION BY ticket_id, drop_reason IS NULL ORDER BY sort_time NULLS LAST, pos) END::INT AS place FROM d)
 """
 
 
-@query(MESSAGES_SQL + "SELECT ticket_id, pos, drop_reason, place FROM o")
+@query(MESSAGES_SQL + "SELECT ticket_id, pos, drop_reason, place, topic, t AS text, (n_secret + CASE WHEN reason IS NULL AND subject LIKE 'token%' THEN 1 ELSE 0 END)::INT AS n_secret, n_ip::INT AS n_ip, n_path::INT AS n_path FROM o")
 def ticket_messages(spark, sf_dir):
-    _, m = _tickets(spark, sf_dir)
-    return tickets.clean_messages(m).select("ticket_id", "pos", "drop_reason", "place")
+    t, m = _tickets(spark, sf_dir)
+    subjects = tickets.clean_tickets(t).select("ticket_id", F.col("subject").alias("ticket_subject"))
+    d = tickets.clean_messages(m.join(subjects, "ticket_id", "left"), "ticket_subject")
+    return d.select("ticket_id", "pos", "drop_reason", "place", "topic", "text", "n_secret", "n_ip", "n_path")
 
 
 _ALL = "subject || chr(10) || authors || chr(10) || content"
@@ -397,7 +412,7 @@ TICKETS_SQL = (
     + f""", a AS (SELECT ticket_id, count(*) FILTER (WHERE drop_reason IS NULL) AS n_messages, count(*) FILTER (WHERE drop_reason IS NULL AND (len(t) >= 40 OR signal)) AS n_useful,
   count(*) FILTER (WHERE drop_reason IS NULL AND NOT alert) AS n_solid, count(*) FILTER (WHERE drop_reason = 'duplicate') AS n_duplicate, count(*) FILTER (WHERE drop_reason = 'auto') AS n_auto,
   count(*) FILTER (WHERE drop_reason IS NOT NULL) AS n_removed,
-  {_search_sql("string_agg(content || chr(10), chr(10) ORDER BY pos)")} AS content, {_search_sql("string_agg(role, chr(10) ORDER BY pos)")} AS authors FROM o GROUP BY ticket_id),
+  {_search_sql("string_agg(content || chr(10) || subject, chr(10) ORDER BY pos)")} AS content, {_search_sql("string_agg(role, chr(10) ORDER BY pos)")} AS authors FROM o GROUP BY ticket_id),
 t AS (SELECT *, CASE WHEN ticket_id % 3 = 0 THEN 'test' ELSE '' END AS subject, CASE WHEN ticket_id % 2 = 0 THEN 'facturation' ELSE 'divers' END AS category, CASE WHEN ticket_id % 5 = 0 THEN 'infra' ELSE '' END AS team, (ticket_id % 3 * 0.25)::DOUBLE AS hours FROM a),
 k AS (SELECT *, CASE WHEN {_any("subject || chr(10) || authors", _T.MONITORING)} OR contains(content, 'downtime details') THEN 'monitoring' WHEN {_any(_ALL, _T.SPAM)} THEN 'spam_or_auto'
   WHEN {_any(_ALL, _T.NOTIFICATION)} THEN 'notification' WHEN contains(team, 'infra') AND {_any(_ALL, _T.TECHNICAL)} THEN CASE WHEN {_any(_ALL, _T.MONITORING)} THEN 'monitoring' ELSE 'internal_infra' END
@@ -418,7 +433,22 @@ def ticket_score(spark, sf_dir):
 
 @query(TICKETS_SQL + "SELECT count(*) AS n_tickets, count(*) FILTER (WHERE score >= 40) AS n_exported, count(*) FILTER (WHERE score >= 70 AND ticket_kind = 'support_case') AS n_candidates, sum(n_removed)::BIGINT AS n_removed, sum(n_auto)::BIGINT AS n_auto, sum(n_duplicate)::BIGINT AS n_duplicate FROM f")
 def ticket_report(spark, sf_dir):
-    return tickets.report(tickets.process(*_tickets(spark, sf_dir)), 40)
+    r = tickets.report(tickets.process(*_tickets(spark, sf_dir)), 40)
+    return r.select("n_tickets", "n_exported", "n_candidates", "n_removed", "n_auto", "n_duplicate")
+
+
+_CREATED_SQL = "CASE ticket_id % 6 WHEN 0 THEN '2025-01-07T08:39:00.000Z' WHEN 1 THEN '2025-01-07T00:00:00.000Z' WHEN 4 THEN '2023-03-15T12:00:00.000Z' WHEN 5 THEN '2025-01-07T08:39:30.000Z' END"
+
+
+@query(
+    TICKETS_SQL
+    + f"""SELECT 'T-' || ticket_id AS ticket_id, CASE WHEN ticket_id % 3 = 0 THEN 'Test' END AS sujet, CASE WHEN ticket_id % 2 = 0 THEN 'Facturation' ELSE 'divers' END AS categorie,
+    CASE WHEN ticket_id % 5 = 0 THEN 'Infra' END AS equipe_d_assistance, CASE WHEN ticket_id % 3 <> 1 THEN '[CLIENT_REDACTED]' END AS client, hours AS heures_passees,
+    {_CREATED_SQL} AS cree_le, CASE WHEN ticket_id % 6 = 2 THEN 'bientôt' END AS cree_le_raw, ticket_kind, score AS relevance_score FROM f WHERE score >= 20"""
+)
+def ticket_records(spark, sf_dir):
+    d = tickets.exported(tickets.process(*_tickets(spark, sf_dir)), 20)
+    return tickets.ticket_records(d, redact_client=True).select("ticket_id", "sujet", "categorie", "equipe_d_assistance", "client", "heures_passees", "cree_le", "cree_le_raw", "ticket_kind", "relevance_score")
 
 
 # --- articles -------------------------------------------------------------------------------------------

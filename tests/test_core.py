@@ -45,12 +45,31 @@ def test_markdown(spark):
     assert d.first()["markdown"] == "# T x\n\na [l](/u)\n\n- i\n\n```\nc\n```"
 
 
-def test_dates(spark):
-    got = lambda v: one(spark, v, lambda c: dates.parse_date(c, ticket=True)["iso"])
-    assert got("45000") == "2023-03-15T00:00:00.000Z"
-    assert got("2024-13-45") == "2025-02-14T00:00:00.000Z"
-    assert got("07/01/2025 08:39") == "2025-01-07T08:39:00.000Z"
-    assert got("soon") is None
+@pytest.mark.parametrize(
+    "value, article, ticket",
+    [
+        ("45000", "2023-03-15T00:00:00.000Z", "2023-03-15T00:00:00.000Z"),
+        ("45000,5", None, "2023-03-15T12:00:00.000Z"),
+        ("1736239170123", "2025-01-07T08:39:30.123Z", "2025-01-07T08:39:30.123Z"),
+        ("2024-13-45", None, None),
+        ("2024-13-45 10:00", None, "2025-02-14T10:00:00.000Z"),
+        ("2025-01-07T08:39:30+02:00", "2025-01-07T06:39:30.000Z", "2025-01-07T06:39:30.000Z"),
+        ("2025-01-07T08:39:30.123Z", "2025-01-07T08:39:30.123Z", "2025-01-07T08:39:30.123Z"),
+        ("2025-01-07 08:39", "2025-01-07T08:39:00.000Z", "2025-01-07T08:39:00.000Z"),
+        ("07/01/2025 08:39", "2025-07-01T08:39:00.000Z", "2025-01-07T08:39:00.000Z"),
+        ("7/1/2025", "2025-07-01T00:00:00.000Z", "2025-07-01T00:00:00.000Z"),
+        ("99/99/2024", None, "2032-06-07T00:00:00.000Z"),
+        ("Jan 5, 2025", "2025-01-05T00:00:00.000Z", "2025-01-05T00:00:00.000Z"),
+        ("Tue, 07 Jan 2025 08:39:30 GMT", "2025-01-07T08:39:30.000Z", "2025-01-07T08:39:30.000Z"),
+        ("7 January 2025 08:39 -0130", "2025-01-07T10:09:00.000Z", "2025-01-07T10:09:00.000Z"),
+        ("soon", None, None),
+        ("5", None, None),
+    ],
+)
+def test_dates(spark, value, article, ticket):
+    for want, is_ticket in ((article, False), (ticket, True)):
+        got = one(spark, value, lambda c, t=is_ticket: dates.parse_date(c, ticket=t))
+        assert got["iso"] == want and got["raw"] == (None if want else value)
 
 
 def test_keys():
