@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.jstext import WS, trim
@@ -26,5 +26,5 @@ def diagnostics(docs: DataFrame, content: str = "content", fields: tuple[str, ..
 def capped(df: DataFrame, order: list[str], text: str, limit: int = 500, omitted: str = "Other warnings omitted.") -> DataFrame:
     """The first ``limit`` lines by ``order``, and one line for all others."""
     top = df.orderBy(*order).limit(limit + 1)
-    ranked = top.select(F.row_number().over(__import__("pyspark").sql.Window.orderBy(*order)).alias("place"), text)
+    ranked = top.select(F.row_number().over(Window.orderBy(*order)).alias("place"), text)
     return ranked.select("place", F.when(F.col("place") > limit, F.lit(omitted)).otherwise(F.col(text)).alias(text))

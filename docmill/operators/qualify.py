@@ -36,7 +36,9 @@ def parse_answer(text: str) -> dict:
 
 
 def hide_secrets(error: object) -> str:
-    return re.sub(r"Bearer\s+\S+", "Bearer ***", re.sub(r"sk-[A-Za-z0-9_-]+", "sk-***", str(error)))[:240]
+    """An error's text with keys and bearer tokens masked, 240 characters at most."""
+    text = re.sub(r"sk-[A-Za-z0-9_-]+", "[SECRET_REDACTED]", str(error))
+    return re.sub(r"(?i)Bearer\s+[A-Za-z0-9._-]+", "Bearer [SECRET_REDACTED]", text)[:240]
 
 
 def qualify(items: DataFrame, caller: Callable[[dict], str], retries: int = 2, backoff_ms: int = 400, threads: int = 5) -> DataFrame:

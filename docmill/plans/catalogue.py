@@ -114,7 +114,36 @@ def _linked(d: DataFrame) -> DataFrame:
     return tagged(d, "doc_id", "text", LINKS)
 
 
-@query()
+_LINK_SQL = r"\[[^\]]+\]\([^)]+\)"
+
+
+def trim_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '\A{_WS_SQL}+', ''), '{_WS_SQL}+\z', '')"
+
+
+def link_line_sql(x: str) -> str:
+    c = rf"regexp_replace({trim_sql(x)}, '\A[-*+]{_WS_SQL}+', '')"
+    size = f"len(array_to_string(regexp_extract_all({c}, '{_LINK_SQL}'), ''))"
+    rest = rf"regexp_replace(regexp_replace({c}, '{_LINK_SQL}', '', 'g'), '[,|:;.\-]|{_WS_SQL}', '', 'g')"
+    return f"(contains({x}, '](') AND {size} > 0 AND ({rest} = '' OR {size} / greatest(1, len({c})) >= 0.7))"
+
+
+def menu_sql(md: str, keys: str, source: str) -> str:
+    """A query of the keys and the metrics of Markdown ``md`` in ``source``."""
+    blank = lambda p, flags="g": f", '{p}', ' ', '{flags}')"
+    outside = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(md{blank(r'\[[^\]]+\]\(/knowledge/article/[^)]+\)')}{blank(_LINK_SQL)}{blank(rf'(?m)^#{{1,3}}{_WS_SQL}+.*$')}{blank(r'\[Image[^\]]*contenu non extrait\]')}"
+    told = (
+        rf"p <> '' AND NOT regexp_matches(p, '\A#{{1,3}}{_WS_SQL}+') AND NOT (contains(p, '[Image') AND contains(p, 'contenu non extrait]')) "
+        rf"AND NOT (len([x FOR x IN str_split(p, chr(10)) IF {trim_sql('x')} <> '' AND NOT {link_line_sql('x')}]) = 0) AND len({ws_sql(f'regexp_replace(p{blank(_LINK_SQL)}')}) >= 40"
+    )
+    return rf"""SELECT {keys}, n_links, len(lines)::INT AS n_lines, only_links AS n_link_lines, CASE WHEN len(lines) > 0 THEN only_links / len(lines)::DOUBLE ELSE 0 END AS link_ratio, n_narrative, n_outside,
+    (n_links >= 5 AND n_outside < 300) OR (len(lines) > 0 AND only_links / len(lines)::DOUBLE >= 0.7 AND n_narrative < 3) AS is_menu FROM (
+      SELECT *, len([x FOR x IN lines IF {link_line_sql('x')}])::INT AS only_links, len([p FOR p IN paragraphs IF {told}])::INT AS n_narrative FROM (
+        SELECT {keys}, len(regexp_extract_all(md, '\]\(/knowledge/article/[^)]+\)'))::INT AS n_links, [y FOR y IN [{trim_sql('x')} FOR x IN str_split(md, chr(10))] IF y <> ''] AS lines,
+        [{trim_sql('x')} FOR x IN regexp_split_to_array(md, '\n{{2,}}')] AS paragraphs, len({ws_sql(outside)})::INT AS n_outside FROM (SELECT *, {md} AS md FROM {source})))"""
+
+
+@query(menu_sql(_MD, "doc_id", "documents"))
 def menu_metrics(spark, sf_dir):
     d = _linked(read(spark, sf_dir, "documents")).withColumn("m", markdown.menu_metrics(F.col("text")))
     return d.select("doc_id", "m.*")
@@ -133,14 +162,19 @@ def remove_inline_images(spark, sf_dir):
 
 
 BROKEN = (("Ã©tÃ©", "été", 2), ("Âge", "Âge", 0), ("lâ€™eau", "l’eau", 1), ("plain", "plain", 0), ("rÃ©solu déjà", "rÃ©solu déjà", 0))
-_FIXED = ", ".join(f"({i}, {_q(b)}, {n})" for i, (_, b, n) in enumerate(BROKEN))
+_PICK = f"[{{}}][(doc_id % {len(BROKEN)} + 1)::INT]"
+_ACCENTS = r"regexp_matches(text, '[^\x00-\x7F]')"
+_KEEPS = _PICK.format(", ".join(_q(b) for b, _, _ in BROKEN))
+_GIVES = _PICK.format(", ".join(_q(f) for _, f, _ in BROKEN))
+_COUNTS = _PICK.format(", ".join(str(n) for _, _, n in BROKEN))
 
 
-@query(f"SELECT nation.n_nationkey, t.fixed, t.corrections FROM nation JOIN (VALUES {_FIXED}) t(k, fixed, corrections) ON nation.n_nationkey % {len(BROKEN)} = t.k")
+# a text with good letters beyond ASCII would lose them, so it stays as it is; others are repaired as a whole
+@query(f"SELECT doc_id, CASE WHEN {_ACCENTS} THEN text || ' ' || {_KEEPS} ELSE text || ' ' || {_GIVES} END AS fixed, CASE WHEN {_ACCENTS} THEN 0 ELSE {_COUNTS} END::INT AS corrections FROM documents")
 def fix_encoding(spark, sf_dir):
-    n = tagged(read(spark, sf_dir, "nation").select("n_nationkey", F.lit("").alias("s")), "n_nationkey", "s", tuple(b[0] for b in BROKEN))
-    out, fixes = text.fix_encoding(F.col("s"))
-    return n.select("n_nationkey", out.alias("fixed"), fixes.alias("corrections"))
+    d = tagged(read(spark, sf_dir, "documents"), "doc_id", "text", tuple(" " + b[0] for b in BROKEN))
+    out = d.select("doc_id", text.repaired(F.col("text")).alias("r"))
+    return out.select("doc_id", F.col("r.text").alias("fixed"), F.col("r.n").alias("corrections"))
 
 
 # --- redaction ------------------------------------------------------------------------------------------
@@ -196,7 +230,17 @@ def redaction_counts(spark, sf_dir):
     return d.agg(*[F.sum(n).alias(n) for n in names], F.count_if(sum((F.col(n) for n in names), F.lit(0)) > 0).alias("n_documents"))
 
 
-@query()
+def findings_sql(source: str) -> str:
+    inner = f"SELECT doc_id, {source} AS t, [] AS f FROM documents"
+    kinds = {"n_secret": "secret", "n_certificate": "certificate", "n_ip": "ip", "n_path": "internalPath"}
+    for name, pattern, to in _STEPS:
+        kind = kinds[name]
+        found = f"[{{'type': '{kind}', 'placeholder': '{redact.PLACEHOLDER[kind]}', 'preview': substr(x, 1, 2) || '***'}} FOR x IN regexp_extract_all(t, '{pattern}')]"
+        inner = f"SELECT doc_id, regexp_replace(t, '{pattern}', '{to}', 'g') AS t, list_concat(f, {found}) AS f FROM ({inner})"
+    return f"SELECT doc_id, (k - 1)::INT AS seq, x.type AS type, x.placeholder AS placeholder, x.preview AS preview FROM (SELECT doc_id, unnest(f) AS x, generate_subscripts(f, 1) AS k FROM ({inner}))"
+
+
+@query(findings_sql(_SEC))
 def redaction_findings(spark, sf_dir):
     return redact.findings(tagged(read(spark, sf_dir, "documents"), "doc_id", "text", SECRETS), "doc_id", "text")
 
@@ -298,16 +342,24 @@ def capped_warnings(spark, sf_dir):
     return diagnostics.capped(w, ["doc_id"], "warning")
 
 
-@query("SELECT '# ' || CASE WHEN source = '' THEN 'Document PDF' ELSE source END || chr(10) || chr(10) || string_agg('## Page ' || doc_id || chr(10) || chr(10) || substr(text, 1, 50), chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS markdown, source || '.pdf' AS file FROM documents GROUP BY source")
+@query(
+    """SELECT DISTINCT source || '.pdf' AS file, 0::BIGINT AS page, '# ' || CASE WHEN source = '' THEN 'Document PDF' ELSE source END AS markdown FROM documents
+    UNION ALL SELECT source || '.pdf', doc_id + 1, chr(10) || '## Page ' || (doc_id + 1) || chr(10) || chr(10) || text FROM documents"""
+)
 def pdf_markdown(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.concat("source", F.lit(".pdf")).alias("file"), F.col("doc_id").alias("page"), F.substring("text", 1, 50).alias("text"))
+    d = read(spark, sf_dir, "documents").select(F.concat("source", F.lit(".pdf")).alias("file"), (F.col("doc_id") + 1).alias("page"), "text")
     return sinks.pages_to_markdown(d)
 
 
+@query("SELECT source || '.pdf' AS source_file, 'pdf' AS source_type, 'pdf-to-markdown' AS tool, doc_id + 1 AS page, text AS content FROM documents")
+def page_documents(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("source", (F.col("doc_id") + 1).alias("page"), "text")
+    return sinks.page_documents(d, F.concat("source", F.lit(".pdf"))).select("metadata.*", "content")
+
+
 @query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation ORDER BY nation.n_nationkey LIMIT 10")
 def preview(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").orderBy("n_nationkey").limit(10)
-    return n.select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name")
+    return sinks.preview(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
 
 
 # --- labels ---------------------------------------------------------------------------------------------
@@ -325,7 +377,10 @@ def qualification_merge(spark, sf_dir):
     return qualify.merge(items, labels).select(F.col("id").alias("doc_id"), "level", F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(
+    """SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 10 = 7 THEN 'UNKNOWN' WHEN len(text) > 1000 THEN 'N1' ELSE 'N2' END AS level, CASE WHEN doc_id % 10 = 7 THEN '' ELSE 'a,b' END AS tags, '' AS summary,
+    CASE WHEN doc_id % 10 = 7 THEN 'Bearer [SECRET_REDACTED] [SECRET_REDACTED] refused' END AS error FROM documents"""
+)
 def qualify_batch(spark, sf_dir):
     """Labels from a caller that needs no network: the level is by length."""
 
@@ -335,7 +390,7 @@ def qualify_batch(spark, sf_dir):
         return '```json\n{"id": "%s", "level": "%s", "tags": ["A", "a", "B"]}\n```' % (item["id"], "N1" if len(item["content"]) > 1000 else "N2")
 
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), F.lit("").alias("categorie"), F.col("text").alias("content"))
-    return qualify.qualify(d, caller, retries=0)
+    return qualify.qualify(d, caller, retries=0).withColumn("tags", F.array_join("tags", ","))
 
 
 # --- tickets --------------------------------------------------------------------------------------------
@@ -453,7 +508,10 @@ def ticket_records(spark, sf_dir):
 
 # --- articles -------------------------------------------------------------------------------------------
 
-MENU_PAGE = "<h2>Sommaire</h2><ul>" + "".join(f'<li><a href="/knowledge/article/{i}">Une page de la documentation {i}</a></li>' for i in range(6)) + "</ul>"
+_MENU_LINKS = [(f"/knowledge/article/{i}", f"Une page de la documentation {i}") for i in range(6)]
+#: What is added to a body, by id; the same as Markdown, before it is tidied.
+EXTRA = ("", "<h2>Sommaire</h2><ul>" + "".join(f'<li><a href="{u}">{t}</a></li>' for u, t in _MENU_LINKS) + "</ul>", "<p>court</p>", "", "<!-- c --><p>x &amp; <b>y</b><br>z</p>", "")
+EXTRA_MD = ("", "\n\n## Sommaire\n\n\n" + "".join(f"\n- [{t}]({u})" for u, t in _MENU_LINKS) + "\n", "court\n\n", "", " x & **y**\nz\n\n", "")
 #: What the first key of an item says of its being active, by id.
 ACTIVE_JSON = ("", '"actif":false,', '"active":"non",', '"actif":0,', '"actif":"Oui ",', '"actif":true,', '"actif":null,', "")
 TITLE_JSON = ('"titre":" Note \u00e9  x",', '"display_name":"Nom",', "")
@@ -461,19 +519,20 @@ DATE_JSON = ('"created_at":45000,', '"created_at":"bientot",')
 
 
 def _articles(spark, sf_dir):
-    """Documents as items of a JSON export: every eighth is no object, others vary in what they hold."""
-    d = tagged(read(spark, sf_dir, "documents"), "doc_id", "text", SECRETS)
-    body = F.when(F.col("doc_id") % 7 == 0, F.lit(MENU_PAGE)).when(F.col("doc_id") % 7 == 1, F.lit("<p>court</p>")).otherwise(F.col("text"))
+    """Documents as items of a JSON export, whole texts with parts added, and items of id -1 - doc_id that are no object; what items hold varies."""
+    d = tagged(tagged(read(spark, sf_dir, "documents"), "doc_id", "text", SECRETS), "doc_id", "text", EXTRA)
+    body = F.col("text")
     ids = F.when(F.col("doc_id") % 4 > 1, F.col("doc_id")).alias("id"), F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("x-"), F.col("doc_id"))).alias("external_id")
     rest = F.to_json(F.struct(*ids, F.concat(F.lit("\u2022 \u2b50 "), F.col("lang"), F.lit("/aide *")).alias("categorie"), body.alias("corps")))
     d = d.select("doc_id", F.lit("{").alias("head"), rest.alias("rest"))
     for parts in (ACTIVE_JSON, TITLE_JSON, DATE_JSON):
         d = tagged(d, "doc_id", "head", parts)
-    item = F.when(F.col("doc_id") % 8 == 0, F.lit('"a text"')).otherwise(F.concat("head", F.substr("rest", F.lit(2))))
-    return articles.process(d.select(F.col("doc_id").alias("pos"), F.parse_json(item).alias("item")))
+    items = d.select(F.col("doc_id").alias("pos"), F.parse_json(F.concat("head", F.substr("rest", F.lit(2)))).alias("item"))
+    others = d.where("doc_id % 8 = 0").select((-1 - F.col("doc_id")).alias("pos"), F.parse_json(F.lit('"a text"')).alias("item"))
+    return articles.process(items.unionByName(others))
 
 
-_BODY = _SEC
+_BODY = f"({_SEC} || [{', '.join(_q(x) for x in EXTRA_MD)}][(doc_id % {len(EXTRA)} + 1)::INT])"
 for _a, _b in ((r"[ \t]+\n", "chr(10)"), (r"\n[ \t]+", "chr(10)"), (rf"\n-{_WS_SQL}+", "chr(10) || '- '"), (r"\n{3,}", "chr(10) || chr(10)")):
     _BODY = f"regexp_replace({_BODY}, '{_a}', {_b}, 'g')"
 _TEXT = "t"
@@ -481,11 +540,13 @@ for _a, _b in ((r"```[\s\S]*?```", " "), (r"`([^`]+)`", r"\1"), (r"\[([^\]]+)\]\
     _TEXT = f"regexp_replace({_TEXT}, '{_a}', '{_b}', 'g')"
 ARTICLES_SQL = f"""
 WITH r AS MATERIALIZED ({redact_sql(ws_sql(control_sql(ws_sql(_BODY))))}),
-s AS (SELECT *, CASE WHEN doc_id % 8 = 0 THEN 'not_object' WHEN doc_id % 8 IN (1, 2, 3) THEN 'inactive' WHEN doc_id % 7 = 1 THEN 'short' WHEN doc_id % 7 = 0 THEN 'menu' WHEN len({ws_sql(_TEXT)}) < 100 THEN 'short' ELSE 'kept' END AS status FROM r),
+g AS MATERIALIZED ({menu_sql("t", "doc_id", "r")}),
+s AS (SELECT r.*, n_links, link_ratio, is_menu, CASE WHEN doc_id % 8 IN (1, 2, 3) THEN 'inactive' WHEN len({ws_sql(_TEXT)}) < 100 THEN 'short' WHEN is_menu THEN 'menu' ELSE 'kept' END AS status FROM r JOIN g USING (doc_id)),
 a AS MATERIALIZED (SELECT doc_id AS pos, status, CASE doc_id % 4 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'x-' || doc_id ELSE doc_id::VARCHAR END AS article_id,
   CASE doc_id % 3 WHEN 0 THEN 'Note é x' WHEN 1 THEN 'Nom' ELSE 'Article ' || doc_id END AS title, lang || '/aide' AS categorie,
-  CASE WHEN doc_id % 2 = 0 THEN '2023-03-15T00:00:00.000Z' END AS created_at, t AS body_markdown, n_secret, n_certificate, n_ip, n_path,
-  CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Article ' || doc_id || ': date de creation non convertie.' END AS warnings FROM s JOIN documents USING (doc_id))
+  CASE WHEN doc_id % 2 = 0 THEN '2023-03-15T00:00:00.000Z' END AS created_at, t AS body_markdown, n_secret, n_certificate, n_ip, n_path, n_links, link_ratio,
+  CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Article ' || doc_id || ': date de creation non convertie.' END AS warnings FROM s JOIN documents USING (doc_id)
+  UNION ALL SELECT -1 - doc_id, 'not_object', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 8 = 0)
 """
 _ARTICLE = ("article_id", "title", "categorie", "created_at", "body_markdown", "n_secret", "n_certificate", "n_ip", "n_path", "warnings")
 
@@ -501,9 +562,21 @@ def article_documents(spark, sf_dir):
     return articles.to_documents(_articles(spark, sf_dir)).select("pos", "metadata.article_id", "content")
 
 
-_TIMES = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {n}" for s, n in (("kept", "n_articles"), ("inactive", "n_inactive"), ("short", "n_short"), ("menu", "n_menu_excluded"), ("menu", "n_menu"), ("menu", "n_mostly_links")))
+_TIMES = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {n}" for s, n in (("kept", "n_articles"), ("inactive", "n_inactive"), ("short", "n_short"), ("menu", "n_menu_excluded"), ("menu", "n_menu")))
 
 
-@query(ARTICLES_SQL + f"SELECT count(*) AS n_items, {_TIMES}, round(6 * count(*) FILTER (WHERE status = 'menu') / count(*) FILTER (WHERE status IN ('kept', 'menu'))::DOUBLE, 2) AS avg_links FROM a")
+@query(
+    ARTICLES_SQL
+    + f"""SELECT count(*) AS n_items, {_TIMES}, count(*) FILTER (WHERE status IN ('kept', 'menu') AND link_ratio >= 0.7) AS n_mostly_links,
+    round(sum(n_links) FILTER (WHERE status IN ('kept', 'menu')) / count(*) FILTER (WHERE status IN ('kept', 'menu'))::DOUBLE, 2) AS avg_links FROM a"""
+)
 def article_report(spark, sf_dir):
     return articles.report(_articles(spark, sf_dir)).select("n_items", "n_articles", "n_inactive", "n_short", "n_menu_excluded", "n_menu", "n_mostly_links", "avg_links")
+
+
+@query()
+def article_pages(spark, sf_dir):
+    """Whole web pages as articles: their Markdown, with what was found; no SQL states HTML to Markdown."""
+    p = read(spark, sf_dir, "pages")
+    items = p.select((F.col("page_id") + 1).alias("pos"), F.parse_json(F.to_json(F.struct("url", F.col("html").alias("html")))).alias("item"))
+    return articles.process(items).select("pos", "status", "title", "url", "body_markdown", "is_menu", "n_links", "link_ratio", "n_secret", "n_certificate", "n_ip", "n_path")

@@ -18,7 +18,78 @@ def markdown_title(name: Column) -> Column:
 
 
 def pages_to_markdown(pages: DataFrame, file: str = "file", page: str = "page", text: str = "text") -> DataFrame:
-    """A Markdown document of each file: its title, then a section for each page in order."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t"))))
-    body = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("## Page "), r["p"].cast("string"), F.lit("\n\n"), r["t"])), "\n\n")
-    return pages.groupBy(file).agg(body.alias("body")).select(file, F.concat(F.lit("# "), markdown_title(F.col(file)), F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("markdown"))
+    """Sections of a Markdown document of each file: (file, page, markdown), the title as page 0.
+
+    A document is its sections in order, one line end between them and one at its end, which is what the text
+    sink writes; so no file is held as a whole. Pages are numbered from 1.
+    """
+    titles = pages.select(file).distinct().select(file, F.lit(0).cast("long").alias(page), F.concat(F.lit("# "), markdown_title(F.col(file))).alias("markdown"))
+    body = F.concat(F.lit("\n## Page "), F.col(page).cast("string"), F.lit("\n\n"), F.coalesce(F.col(text), F.lit("")))
+    return titles.unionByName(pages.select(file, F.col(page).cast("long").alias(page), body.alias("markdown")))
+
+
+def write_markdown(sections: DataFrame, path: str, file: str = "file", page: str = "page") -> None:
+    """Sections as text under ``path``, in a folder for each file: parts in the order of their names are the document."""
+    rows = sections.repartitionByRange(file, page).sortWithinPartitions(file, page)
+    rows.select(file, F.col("markdown").alias("value")).write.mode("overwrite").partitionBy(file).text(path)
+
+
+def page_documents(pages: DataFrame, source_file: Column, tool: str = "pdf-to-markdown") -> DataFrame:
+    """A document (metadata, content) of each page."""
+    head = F.struct(source_file.alias("source_file"), F.lit("pdf").alias("source_type"), F.lit(tool).alias("tool"), F.col("page"))
+    return pages.select(head.alias("metadata"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def write_json_array(lines: DataFrame, path: str, order: list[str], pretty: bool = True) -> None:
+    """One JSON array of the objects in column ``value``, in order, indented by two unless told otherwise.
+
+    Rows are laid out and written by Spark, range by range; parts in the order of their names are the array.
+    """
+    n = lines.count()
+    place = "_place"
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the first and the last row carry the brackets: found by their order, not by a numbering of all rows
+    edges = lines.agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"))
+    rows = rows.crossJoin(F.broadcast(edges)).withColumn(place, F.struct(*order))  # one row
+    value = indented(F.col("value")) if pretty else F.col("value")
+    opens, ends = F.when(F.col(place) == F.col("first"), F.lit("[\n")).otherwise(F.lit("")), F.when(F.col(place) == F.col("last"), F.lit("\n]")).otherwise(F.lit(","))
+    empty = lines.sparkSession.createDataFrame([("[]",)], "value string")
+    (rows.select(F.concat(opens, value, ends).alias("value")) if n else empty).write.mode("overwrite").text(path)
+
+
+def indented(value: Column, step: int = 2) -> Column:
+    """JSON texts laid out with an indent, one level in."""
+    import json
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def lay(texts: pd.Series) -> pd.Series:
+        # parse and write again keeps the order of keys; numbers are kept as they are written
+        out = (json.dumps(json.loads(t, parse_float=_Literal, parse_int=_Literal), indent=step, ensure_ascii=False) for t in texts)
+        return pd.Series(["\n".join(" " * step + line for line in t.split("\n")) for t in out])
+
+    return lay(value)
+
+
+class _Literal(float):
+    """A number that is written as it was read."""
+
+    def __new__(cls, text: str):
+        self = super().__new__(cls, text)
+        self.text = text
+        return self
+
+    def __repr__(self) -> str:
+        return self.text
+
+
+def preview(df: DataFrame, order: list[str], rows: int = 10, columns: int = 12, chars: int = 12_000) -> DataFrame:
+    """The first rows and columns as text, each cell cut to ``chars`` characters."""
+    return df.orderBy(*order).limit(rows).select(*[F.substring(F.col(c).cast("string"), 1, chars).alias(c) for c in df.columns[:columns]])
+
+
+def format_bytes(n: Column) -> Column:
+    """A size in bytes, KiB or MiB, with one decimal from a KiB on."""
+    told = lambda x, unit: F.concat(F.format_number(x, "0.0"), F.lit(unit))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" o"))).when(n < 1024 * 1024, told(n / 1024, " Ko")).otherwise(told(n / (1024 * 1024), " Mo"))

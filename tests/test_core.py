@@ -86,7 +86,7 @@ def test_failed_labels_are_kept(spark):
         raise RuntimeError("Bearer abc")
 
     d = spark.createDataFrame([("1", "", "", "t")], "id string, title string, categorie string, content string")
-    assert tuple(qualify.qualify(d, caller, retries=1, backoff_ms=1).first()) == ("1", "UNKNOWN", [], "", "Bearer ***")
+    assert tuple(qualify.qualify(d, caller, retries=1, backoff_ms=1).first()) == ("1", "UNKNOWN", [], "", "Bearer [SECRET_REDACTED]")
 
 
 def test_stream(spark, tmp_path):
