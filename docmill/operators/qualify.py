@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEVELS = ("N0", "N1", "N2", "UNKNOWN")
 SCHEMA = "id string, level string, tags array<string>, summary string, error string"
@@ -41,11 +42,57 @@ def hide_secrets(error: object) -> str:
     return re.sub(r"(?i)Bearer\s+[A-Za-z0-9._-]+", "Bearer [SECRET_REDACTED]", text)[:240]
 
 
-def qualify(items: DataFrame, caller: Callable[[dict], str], retries: int = 2, backoff_ms: int = 400, threads: int = 5) -> DataFrame:
-    """A label for each item (id, title, categorie, content); an item whose calls all fail is UNKNOWN with its error.
+def clamp(value, default: int, least: int, most: int) -> int:
+    """A whole number within bounds; what is no finite number is the default."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or value in (float("inf"), float("-inf")):
+        return default
+    return min(most, max(least, int(value)))
 
-    Calls in flight are at most partitions times ``threads``.
+
+def item_fields(df: DataFrame, content: str = "body_markdown", title: str = "title", category: str = "categorie", record: str = "record") -> DataFrame:
+    """pos, id, title, categorie and content of JSON objects (variant): a named field, else the usual ones; nulls fall through, absent ones are empty."""
+    of = lambda *keys: F.coalesce(*[_text(F.try_variant_get(record, f"$['{k}']", "variant")) for k in keys], F.lit(""))
+    return df.select("pos", of("id").alias("id"), of(title, "title").alias("title"), of(category, "categorie").alias("categorie"), of(content, "body_markdown", "content").alias("content"))
+
+
+def _text(v: Column) -> Column:
+    """A JSON value as text: scalars as they are, others as JSON; null stays null."""
+    kind = F.schema_of_variant(v)
+    return F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("string")).when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+
+def request(item: dict, prompt_id: str | None, version: str | None = None) -> dict:
+    """What is sent for an item: a stored prompt, which must be named, and the item as JSON text."""
+    if not prompt_id:
+        raise ValueError("a prompt id is needed")
+    prompt = {"id": prompt_id} | ({"version": version} if version else {})
+    return {"prompt": prompt, "input": [{"role": "user", "content": [{"type": "input_text", "text": json.dumps(item, ensure_ascii=False, separators=(",", ":"))}]}]}
+
+
+def response_text(response: object) -> str:
+    """The text of an answer: output_text if it says anything, else the texts of all parts of the output, a line each."""
+    if not isinstance(response, dict):
+        return ""
+    said = response.get("output_text")
+    if isinstance(said, str) and said.strip():
+        return said
+    dicts = lambda x: [y for y in x if isinstance(y, dict)] if isinstance(x, list) else []
+    parts = (p for item in dicts(response.get("output")) for p in dicts(item.get("content")))
+    return "\n".join(p["text"] for p in parts if isinstance(p.get("text"), str)).strip()
+
+
+def client_caller(send: Callable[[dict], object], prompt_id: str, version: str | None = None) -> Callable[[dict], str]:
+    """A caller of :func:`qualify` over an injected client that takes a request and gives a response."""
+    return lambda item: response_text(send(request(item, prompt_id, version)))
+
+
+def qualify(items: DataFrame, caller: Callable[[dict], str], retries: int = 2, backoff_ms: int = 400, threads: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A label for each item (id, title, categorie, content); an item whose calls all fail is UNKNOWN with its error. Columns in ``keep`` stay.
+
+    Calls in flight are at most partitions times ``threads``. Retries are clamped to 0 to 5, the back-off to 0 to 30,000 ms, threads to 1 to 20.
     """
+    retries, backoff_ms, threads = clamp(retries, 2, 0, 5), clamp(backoff_ms, 400, 0, 30_000), clamp(threads, 5, 1, 20)
+    fields = ("id", "title", "categorie", "content")
 
     def one(item: dict) -> tuple:
         for attempt in range(retries + 1):
@@ -66,12 +113,14 @@ def qualify(items: DataFrame, caller: Callable[[dict], str], retries: int = 2, b
     def run(batches):
         with ThreadPoolExecutor(threads) as pool:
             for b in batches:
-                rows = list(pool.map(one, b.to_pylist()))
+                rows = list(pool.map(one, b.select(list(fields)).to_pylist()))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "level", "tags", "summary", "error"])
+                made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, "id", "level", "tags", "summary", "error"])
 
-    return items.select("id", "title", "categorie", "content").mapInArrow(run, SCHEMA)
+    kept = items.select(*keep).schema.fields
+    return items.select(*keep, *fields).mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL(SCHEMA).fields]))
 
 
 def merge(items: DataFrame, labels: DataFrame, position: str = "pos") -> DataFrame:

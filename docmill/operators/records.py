@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -47,18 +48,43 @@ def js_text(c: Column, kind: str) -> Column:
     return c.cast("string") if kind in ("string", "boolean") or "int" in kind or "decimal" in kind else F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
 
 
+HEAD = ("source_file", "source_type", "tool", "row")
+
+
+def json_value(c: Column) -> Column:
+    """A column as JSON text; null is ``null``."""
+    whole = F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})
+    return whole.substr(F.lit(6), F.length(whole) - 6)
+
+
+def json_object(pairs: list[tuple[str, Column]]) -> Column:
+    """A JSON object of keys and JSON texts, in order; a key whose text is null is left out."""
+    held = [F.when(v.isNotNull(), F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ":"), v)) for k, v in pairs]
+    return F.concat(F.lit("{"), F.concat_ws(",", *held), F.lit("}"))
+
+
 def to_document(df: DataFrame, position: str, source_file: str, source_type: str, tool: str) -> DataFrame:
-    """metadata (struct) and content ("key: value" lines) of each record; texts over 80 units are not metadata."""
+    """metadata (struct), content ("key: value" lines) and value (the document as JSON) of each record.
+
+    Numbers, booleans, nulls and texts of at most 80 units are metadata. Longer texts and nested values are not: they
+    are absent from ``value`` and null in the struct, which has one shape for all rows. A field named like one of HEAD takes
+    its place.
+    """
     fields = [f for f in df.schema.fields if f.name != position]
     kinds = {f.name: f.dataType.simpleString() for f in fields}
     lines = [F.when(~is_empty(F.col(n)), F.concat(F.lit(f"{n}: "), js_text(F.col(n), k))) for n, k in kinds.items()]
-    scalar = [n for n, k in kinds.items() if not k.startswith(("array", "struct", "map"))]
-    meta = [F.when(units(F.col(n)) <= SHORT, F.col(n)).alias(n) if kinds[n] == "string" else F.col(n).alias(n) for n in scalar]
-    head = [F.lit(source_file).alias("source_file"), F.lit(source_type).alias("source_type"), F.lit(tool).alias("tool"), F.col(position).alias("row")]
-    named = {"source_file", "source_type", "tool", "row"}
-    head = [h for h, n in zip(head, ("source_file", "source_type", "tool", "row"), strict=True) if n not in scalar or n not in named]
-    return df.select(position, F.struct(*head, *meta).alias("metadata"), F.concat_ws("\n", *lines).alias("content"))
+    scalar = [n for n, k in kinds.items() if not k.startswith(("array", "struct", "map", "variant"))]
+    short = {n: F.coalesce(units(F.col(n)) <= SHORT, F.lit(True)) if kinds[n] == "string" else F.lit(True) for n in scalar}
+    told = dict(zip(HEAD, (F.lit(source_file), F.lit(source_type), F.lit(tool), F.col(position)), strict=True))
+    meta = {n: F.when(short[n], F.col(n)) for n in scalar}
+    every = told | meta  # a later value of one name takes the earlier one's place
+    number = lambda n: F.when(F.col(n).isNull(), F.lit("null")).otherwise(js_text(F.col(n), kinds[n]))
+    text = {n: json_value(c) for n, c in told.items()} | {n: F.when(short[n], json_value(F.col(n)) if kinds[n] in ("string", "date", "timestamp") else number(n)) for n in scalar}
+    content = F.concat_ws("\n", *lines)
+    value = json_object([("metadata", json_object([(n, text[n]) for n in every])), ("content", json_value(content))])
+    return df.select(position, F.struct(*[c.alias(n) for n, c in every.items()]).alias("metadata"), content.alias("content"), value.alias("value"))
 
 
 def to_jsonl(docs: DataFrame) -> DataFrame:
-    return docs.select(F.to_json(F.struct("metadata", "content"), {"ignoreNullFields": "false"}).alias("value"))
+    """A document a line."""
+    return docs.select("value")

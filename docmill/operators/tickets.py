@@ -256,16 +256,17 @@ def from_items(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = d.where("m IS NOT NULL").select(F.col("pos").alias("ticket_id"), *[variant_text(first_present(F.col("m"), k)).alias(n) for n, k in TICKET_KEYS.items()], F.coalesce(F.try_variant_get(first_present(F.col("m"), ("messages",)), "$", "array<variant>"), F.array().cast("array<variant>")).alias("said"))
     name = lambda text, pos: F.when(text != "", F.concat(F.lit("Ticket "), text)).otherwise(F.concat(F.lit("Ticket at index "), pos.cast("string")))
     label = name(cleaned(F.col("ticket"), False)["text"], F.col("ticket_id"))
-    m = t.select("ticket_id", label.alias("label"), F.posexplode("said").alias("at", "x"))
+    t = t.withColumn("label", label)
+    m = t.select("ticket_id", "label", F.posexplode("said").alias("at", "x"))
     told = lambda text: F.concat(F.col("label"), F.lit(": message "), (F.col("at") + 1).cast("string"), F.lit(text))
     bad = m.where(~is_object(F.col("x"))).select(F.col("ticket_id").alias("pos"), (F.col("at") + 1).alias("seq"), told(" ignored because it is not an object.").alias("text"))
     m = m.where(is_object(F.col("x"))).withColumn("x", as_map(F.col("x")))
     m = m.select("ticket_id", "label", F.col("at"), (F.col("at") + 1).alias("pos"), *[variant_text(first_present(F.col("x"), k)).alias(n) for n, k in MESSAGE_KEYS.items()])
     m = m.withColumn("date", parse_date(F.col("date"), ticket=True)).withColumn("sort_time", F.col("date.ms"))
     dates = m.where(F.col("date.raw").isNotNull()).select(F.col("ticket_id").alias("pos"), F.col("pos").alias("seq"), told(" date not converted.").alias("text"))
-    created = t.where(parse_date(F.col("created"), ticket=True)["raw"].isNotNull()).select(F.col("ticket_id").alias("pos"), F.lit(2**31 - 1).alias("seq"), F.concat(label, F.lit(": cree_le date not converted.")).alias("text"))
+    created = t.where(parse_date(F.col("created"), ticket=True)["raw"].isNotNull()).select(F.col("ticket_id").alias("pos"), F.lit(2**31 - 1).alias("seq"), F.concat(F.col("label"), F.lit(": cree_le date not converted.")).alias("text"))
     ignored = d.where("m IS NULL").select("pos", F.lit(0).alias("seq"), F.concat(F.lit("Ticket at index "), F.col("pos").cast("string"), F.lit(" ignored because it is not an object.")).alias("text"))
-    t = t.withColumn("ignored", F.size(F.filter("said", lambda x: ~is_object(x)))).withColumn("hours", rounded_hours(F.col("hours"))).drop("said")
+    t = t.withColumn("ignored", F.size(F.filter("said", lambda x: ~is_object(x)))).withColumn("hours", rounded_hours(F.col("hours"))).drop("said", "label")
     return t, m.drop("label", "at"), ignored.unionByName(bad).unionByName(dates).unionByName(created)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import dates, keys, markdown, redact, text
-from docmill.operators import articles, diagnostics, qualify, records, tickets
+from docmill.operators import articles, diagnostics, dynamic, qualify, records, tickets
 from docmill.sources import sinks
 
 QUERIES: dict = {}
@@ -297,6 +297,65 @@ def first_present_key(spark, sf_dir):
     return n.select("n_nationkey", first_present(F.from_json("j", "map<string,string>"), ("titre", "title")).alias("value"))
 
 
+@query(
+    """SELECT c_custkey, '{"metadata":{"source_file":"c.csv","source_type":"csv","tool":"table","row":' || (c_custkey + 1) || ',"name":' || to_json(c_name)
+      || CASE WHEN c_custkey % 2 = 0 THEN ',"note":' || to_json(rpad(c_name, 80, 'x')) ELSE '' END || ',"segment":' || CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE to_json(c_mktsegment) END
+      || ',"half":' || (c_custkey // 2) || CASE WHEN c_custkey % 2 = 1 THEN '.5' ELSE '' END || '},"content":' || to_json('name: ' || c_name || chr(10) || 'note: ' || rpad(c_name, (80 + c_custkey % 2)::INT, 'x')
+      || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE chr(10) || 'segment: ' || c_mktsegment END || chr(10) || 'half: ' || (c_custkey // 2) || CASE WHEN c_custkey % 2 = 1 THEN '.5' ELSE '' END) || '}' AS value FROM customer"""
+)
+def document_lines(spark, sf_dir):
+    """Documents with texts of 80 and 81 units, nulls and doubles."""
+    k = F.col("c_custkey")
+    fields = F.col("c_name").alias("name"), F.rpad("c_name", (80 + k % 2).cast("int"), F.lit("x")).alias("note"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("segment"), (k / 2).alias("half")
+    c = read(spark, sf_dir, "customer").select((k + 1).alias("row"), *fields)
+    return records.to_document(c, "row", "c.csv", "csv", "table").select((F.col("row") - 1).alias("c_custkey"), "value")
+
+
+_RECORD = "'{\"2\":5,\"b\":' || to_json(t) || ',\"a\":{\"x\":[' || to_json(lang) || ',\"\"]},\"password\":\"[SECRET_REDACTED]\"}'"
+JSON_SQL = f"""
+WITH r AS MATERIALIZED ({redact_sql(ws_sql(control_sql(_SEC)))}),
+j AS MATERIALIZED (SELECT doc_id, {_RECORD} AS record, n_secret + 1 AS n_secret, n_certificate, n_ip, n_path FROM r JOIN documents USING (doc_id))
+"""
+
+
+def _json_clean(spark, sf_dir):
+    d = tagged(read(spark, sf_dir, "documents"), "doc_id", "text", SECRETS)
+    record = F.to_json(F.struct(F.col("text").alias("b"), F.struct(F.array("lang", F.lit(" ")).alias("x")).alias("a"), F.lit(5.0).alias("2"), F.col("source").alias("password"), F.lit(" ").alias("blank"), F.lit("x").alias("drop")))
+    return dynamic.transform(d.select(F.col("doc_id").alias("pos"), record.alias("text")), exclude=("drop",), html=False)
+
+
+@query(JSON_SQL + "SELECT doc_id, record, n_secret::BIGINT AS n_secret, n_certificate::BIGINT AS n_certificate, n_ip::BIGINT AS n_ip, n_path::BIGINT AS n_path, 1::BIGINT AS n_empty, (n_secret + n_certificate + n_ip + n_path)::BIGINT AS n_findings FROM j")
+def json_clean(spark, sf_dir):
+    """Nested records: keys in ECMAScript's order, every text cleaned, counts and findings."""
+    d = _json_clean(spark, sf_dir)
+    return d.select(F.col("pos").alias("doc_id"), "record", "n_secret", "n_certificate", "n_ip", "n_path", "n_empty", F.size("findings").cast("long").alias("n_findings"))
+
+
+@query(
+    JSON_SQL
+    + f"""SELECT count(*) AS row_count, count(*) AS empty_fields, sum(n_secret)::BIGINT AS secret, sum(n_certificate)::BIGINT AS certificate, sum(n_ip)::BIGINT AS ip, sum(n_path)::BIGINT AS path,
+    ceil((1 + sum(len(regexp_extract_all(record, '{_WS_SQL}+')))) * 1.3)::BIGINT AS estimated_tokens FROM j"""
+)
+def json_diagnostics(spark, sf_dir):
+    r = dynamic.diagnostics(_json_clean(spark, sf_dir), ["documents.json"])
+    c = F.col("redactionCounts")
+    return r.select(F.col("rowCount").alias("row_count"), F.col("emptyFieldCount").alias("empty_fields"), c["secret"].alias("secret"), c["certificate"].alias("certificate"), c["ip"].alias("ip"), c["internalPath"].alias("path"), F.col("estimatedTokens").alias("estimated_tokens"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, replace(props::VARCHAR, ' ', '') AS p FROM events)
+    SELECT event_id, 1 AS pos, CASE WHEN event_id % 3 = 2 THEN '{"value":"text"}' ELSE p END AS text FROM e
+    UNION ALL SELECT event_id, 2, '{"b":null,"a":[1,{}]}' FROM e WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 3, '{"value":5}' FROM e WHERE event_id % 3 = 1"""
+)
+def json_records(spark, sf_dir):
+    """Values of JSON texts as records: one object, arrays, texts that are no object."""
+    from docmill.sources.readers import json_records as split
+
+    k = F.col("event_id") % 3
+    value = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("["), "props", F.lit(', {"b": null, "a": [1.0, {}]}, 5]'))).otherwise(F.lit('"text"'))
+    return split(read(spark, sf_dir, "events").select("event_id", value.alias("value"))).select("event_id", "pos", "text")
+
+
 # --- dates and numbers ----------------------------------------------------------------------------------
 
 _ISO_SQL = "strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || '.' || lpad((({us} // 1000) % 1000)::VARCHAR, 3, '0') || 'Z'"

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.jstext import sub, trim
+from docmill.functions.jsvalue import parse, write
 
 
 def write_jsonl(lines: DataFrame, path: str) -> None:
@@ -41,47 +46,31 @@ def page_documents(pages: DataFrame, source_file: Column, tool: str = "pdf-to-ma
 
 
 def write_json_array(lines: DataFrame, path: str, order: list[str], pretty: bool = True) -> None:
-    """One JSON array of the objects in column ``value``, in order, indented by two unless told otherwise.
+    """One JSON array of the objects in column ``value``, in the order of columns that no two rows share, indented by two unless told otherwise.
 
     Rows are laid out and written by Spark, range by range; parts in the order of their names are the array.
     """
-    n = lines.count()
-    place = "_place"
-    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    # the first and the last row carry the brackets: found by their order, not by a numbering of all rows
-    edges = lines.agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"))
-    rows = rows.crossJoin(F.broadcast(edges)).withColumn(place, F.struct(*order))  # one row
-    value = indented(F.col("value")) if pretty else F.col("value")
-    opens, ends = F.when(F.col(place) == F.col("first"), F.lit("[\n")).otherwise(F.lit("")), F.when(F.col(place) == F.col("last"), F.lit("\n]")).otherwise(F.lit(","))
-    empty = lines.sparkSession.createDataFrame([("[]",)], "value string")
-    (rows.select(F.concat(opens, value, ends).alias("value")) if n else empty).write.mode("overwrite").text(path)
-
-
-def indented(value: Column, step: int = 2) -> Column:
-    """JSON texts laid out with an indent, one level in."""
-    import json
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def lay(texts: pd.Series) -> pd.Series:
-        # parse and write again keeps the order of keys; numbers are kept as they are written
-        out = (json.dumps(json.loads(t, parse_float=_Literal, parse_int=_Literal), indent=step, ensure_ascii=False) for t in texts)
-        return pd.Series(["\n".join(" " * step + line for line in t.split("\n")) for t in out])
-
-    return lay(value)
+    edges = lines.agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last")).first()
+    if edges["first"] is None:
+        lines.sparkSession.createDataFrame([("[]",)], "value string").write.mode("overwrite").text(path)
+        return
+    # the first and the last row carry the brackets: known by their order, not by a numbering of all rows
+    at = lambda edge: functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.lit(edge[c])) for c in order))
+    opens, ends = F.when(at(edges["first"]), F.lit("[\n")).otherwise(F.lit("")), F.when(at(edges["last"]), F.lit("\n]")).otherwise(F.lit(","))
+    rows = (indented(lines) if pretty else lines).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select(F.concat(opens, "value", ends).alias("value")).write.mode("overwrite").text(path)
 
 
-class _Literal(float):
-    """A number that is written as it was read."""
+def indented(lines: DataFrame, step: int = 2) -> DataFrame:
+    """The rows with the JSON texts in ``value`` laid out with an indent, one level in."""
+    at = lines.columns.index("value")
 
-    def __new__(cls, text: str):
-        self = super().__new__(cls, text)
-        self.text = text
-        return self
+    def run(batches):
+        for b in batches:
+            out = [" " * step + write(parse(t), step, 1) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, "value", pa.array(out, pa.string()))
 
-    def __repr__(self) -> str:
-        return self.text
+    return lines.mapInArrow(run, lines.schema)
 
 
 def preview(df: DataFrame, order: list[str], rows: int = 10, columns: int = 12, chars: int = 12_000) -> DataFrame:
@@ -91,5 +80,5 @@ def preview(df: DataFrame, order: list[str], rows: int = 10, columns: int = 12,
 
 def format_bytes(n: Column) -> Column:
     """A size in bytes, KiB or MiB, with one decimal from a KiB on."""
-    told = lambda x, unit: F.concat(F.format_number(x, "0.0"), F.lit(unit))
+    told = lambda x, unit: F.format_string("%.1f" + unit, x)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" o"))).when(n < 1024 * 1024, told(n / 1024, " Ko")).otherwise(told(n / (1024 * 1024), " Mo"))
