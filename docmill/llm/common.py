@@ -91,18 +91,23 @@ def shielded(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str
     return df.withColumnsRenamed({c: n for c, n in now.items() if c != n}), now
 
 
+def give_back() -> None:
+    """The worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def tidy(run):
-    """``run`` over Arrow batches; at its end the worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+    """``run`` over Arrow batches; freed memory is given back at its end."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back()
 
     return wrapped
 

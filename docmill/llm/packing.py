@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import stash, table, tidy
+from docmill.llm.common import give_back, stash, table, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -262,6 +262,7 @@ def pack(pieces: DataFrame, size: int = 2048, group: int = 4096, rooms: int = 16
                     place += lengths[i]
                 if not last and size - place > rooms:
                     again[b] = True
+            give_back()
             return pdf[names].assign(sequence_id=seq, offset=offset, open=again)
 
         return run
