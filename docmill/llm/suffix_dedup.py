@@ -25,7 +25,7 @@ from docmill.llm.common import OWN, PACKED, mix64, packed, slices, stash, table,
 
 DEPTH, GRAM, BLOCK = 100, 36, 1 << 18
 WIDE_AT, SPREAD = 8, 64  # an anchor that a batch finds in more different runs goes to so many sub-keys
-GROUP = 20_000  # runs of one anchor that are ordered together; beyond, equal windows meet in an aggregate instead. Both ways find the same
+GROUP = 1000  # runs of one anchor that are ordered together; beyond, equal windows meet in an aggregate instead. Both ways find the same
 T_, PLACES = OWN + "t", OWN + "places"
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -407,7 +407,7 @@ WITH t AS (
 ), starts AS (
   SELECT doc_id, unnest(range(0, n - 99)) AS s, h FROM d WHERE n >= 100
 ), windows AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY md5(substr(h, 2 * s + 1, 200)) ORDER BY doc_id, s) AS r FROM starts
+  SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS r FROM (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS w FROM starts)
 ), later AS (
   SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true) AS opens FROM windows WHERE r > 1
 ), numbered AS (
