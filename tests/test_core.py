@@ -294,3 +294,56 @@ def test_command_line(spark, tmp_path, capsys):
         with pytest.raises(SystemExit):
             cli.parser().parse_args(["json-cleaner", "a", "b", *bad])
     assert cli.yes_no("Oui") and not cli.yes_no("non") and cli.name_list(" a, ,b") == ("a", "b")
+
+
+def model_markdown(html):
+    """HTML to Markdown step by step with Python's re: an independent plain model."""
+    import re
+
+    ws = "[\t-\r    -     　﻿]"
+    run = lambda p, to, s: re.sub(p, to, s, flags=re.I | re.A)
+    trim = lambda s: re.sub(rf"\A{ws}+|{ws}+\Z", "", s)
+
+    def entities(s):
+        for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+            s = run(a, b, s)
+        s = run(r"&#([0-9]+);", lambda m: chr(int(m[1])), s)
+        return run(r"&#x([0-9a-f]+);", lambda m: chr(int(m[1], 16)), s)
+
+    tags = lambda s: re.sub(r"<[^>]+>", " ", s)
+    inline = lambda s: trim(re.sub(r"[ \t]+", " ", entities(tags(s)).replace(" ", " ")))
+
+    def link(m):
+        label = trim(re.sub(rf"\A(?:{ws}|[-–—•·|>])+", "", inline(m[2])))
+        href = re.search(rf"""href{ws}*={ws}*["']([^"']+)["']""", m[1], re.I)
+        return "" if not label else f"[{label}]({href[1]})" if href else label
+
+    s = html
+    for p in (r"<!--[\s\S]*?-->", r"<script\b[^>]*>[\s\S]*?</script>", r"<style\b[^>]*>[\s\S]*?</style>"):
+        s = run(p, " ", s)
+    s = run(r"<pre\b[^>]*>([\s\S]*?)</pre>", lambda m: (lambda x: f"\n\n```\n{x}\n```\n\n" if x else "\n\n")(trim(entities(tags(m[1])))), s)
+    s = run(r"<code\b[^>]*>([\s\S]*?)</code>", lambda m: f"`{inline(m[1])}`" if inline(m[1]) else "", s)
+    for n in (1, 2, 3):
+        s = run(rf"<h{n}\b[^>]*>([\s\S]*?)</h{n}>", lambda m, n=n: f"\n\n{'#' * n} {inline(m[1])}\n\n", s)
+    s = run(r"<a\b([^>]*)>([\s\S]*?)</a>", link, s)
+    s = run(r"<(strong|b)\b[^>]*>([\s\S]*?)</\1>", lambda m: f"**{inline(m[2])}**", s)
+    s = run(r"<(em|i)\b[^>]*>([\s\S]*?)</\1>", lambda m: f"_{inline(m[2])}_", s)
+    s = run(r"<li\b[^>]*>([\s\S]*?)</li>", lambda m: f"\n- {inline(m[1])}", s)
+    for p, to in ((r"</?(ul|ol)\b[^>]*>", "\n"), (rf"<br{ws}*/?>", "\n"), (r"</(p|div|section|article|tr)>", "\n\n"), (r"<(p|div|section|article|span|table|tbody|thead|tr|td|th)\b[^>]*>", "")):
+        s = run(p, to, s)
+    s = entities(tags(s))
+    for p, to in ((r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (rf"\n-{ws}+", "\n- "), (r"\n{3,}", "\n\n"), (r"\r\n?", "\n"), (" ", " "), (r"[ \t]+", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n")):
+        s = re.sub(p, to, s)
+    return trim(s)
+
+
+def test_markdown_against_model(spark):
+    """Every whole page of the smallest tables, and hand-made ones, against the plain model."""
+    odd = ["<p>a<b>c</p><i>x</b></i> &amp;lt; &#233;&#xE9;", "<h2>T <a href='/x'>l</a></h2><A HREF = \"/y\"> • m </a><a>n</a><a href='/z'> </a>", "<pre> a\n <b>x</b></pre><code></code><ul>\n<li> p <li>q</li></ul>", "  x\r\n\r\n\r\ny <br/>z<script>1</script >", "</p></div>", ""]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("html").unionByName(spark.createDataFrame([(x,) for x in odd], "html string"))
+    rows = markdown.html_to_markdown(pages, "html").collect()
+    assert len(rows) > 10 and all(r.markdown == model_markdown(r.html) for r in rows)
+    p = {r.url: r for r in QUERIES["article_pages"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = p[r.url].body_markdown
+        assert body is not None and (body == model_markdown(r.html) or p[r.url].n_secret + p[r.url].n_certificate + p[r.url].n_ip + p[r.url].n_path > 0 or p[r.url].status == "short")
