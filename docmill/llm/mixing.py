@@ -38,7 +38,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, prefix: int = 3, row: str | None = None) -> DataFrame:
     """Words that a mix takes of each document: doc_id, source, size, source_size, target, taken, and the long column ``row`` if named.
 
-    Keys are md5 of the id, so the order in a source is random and reruns agree. The first ``prefix`` hex
+    Keys are md5 of the id, of the text where the id is null, so the order in a source is random and reruns agree. The first ``prefix`` hex
     digits of the key range-partition each source (16 ** prefix ranges); sums of ranges give each range its
     start, and a running sum inside a range places each document. A source whose target is q times its size
     and a rest takes every document q times, then cuts the order at the rest, inside one document if need be.
@@ -46,7 +46,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, prefi
     Null text is of size 0, null source is a source (last), rows with equal keys are ordered by size; repeated
     rows count each. Sizes 0 take 0. Empty input gives no rows. Other columns are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     row_id = [F.col(row).alias("row_id")] if row else [F.lit(None).cast("long").alias("row_id")]
     d = docs.select(*row_id, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, prefix))
     ranges = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -72,7 +72,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS key FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS key FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (

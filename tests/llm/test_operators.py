@@ -231,6 +231,10 @@ def test_mixed_stage(spark):
         want[r.doc_id, r.source, r.size] += math.ceil(r.taken / r.size)
     got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in corpus_pipeline.mixed(spark, d, "").collect())
     assert got == want and any(k[0] is None for k in got)
+    # rows without id are ordered by their texts: the order of the input doesn't matter
+    names = [(None, w, "en", "a", 1) for w in "one two three four five six".split()] + [(None, "x " * 50, "en", "b", 1)]
+    taken = [Counter(t.text for t in corpus_pipeline.mixed(spark, spark.createDataFrame(r, DOCS), "").collect()) for r in (names, names[::-1])]
+    assert taken[0] == taken[1]
 
 
 def test_chat(spark):
