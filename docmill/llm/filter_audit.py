@@ -89,38 +89,26 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows of one doc_id with one text are not copies of each other. Other columns are not read. Null ids: see :func:`failure_counts`.
     """
     joint = joint_failures(failure_counts(docs, labels))
-    every = range(SETS)
-    size = [s.bit_count() for s in every]
-
-    def summed(col: str, terms: list[tuple[int, int]]):
-        """The sum of sign * J over (set, sign)."""
-        return functools.reduce(operator.add, [F.col(col)[s] * F.lit(sign) for s, sign in terms], F.lit(0).cast("long"))
-
-    def survivors(col: str):
-        return F.array(*[summed(col, [(s, (-1) ** size[s]) for s in every if s & t == s]) for t in every])
-
-    filters = range(len(FILTERS))
-    unique = F.array(*[summed("n", [(s, (-1) ** (size[s] - 1)) for s in every if s >> f & 1]) for f in filters])
-    orders = 120
-    shapley = F.array(*[summed("n", [(s, (-1) ** (size[s] + 1) * (orders // size[s])) for s in every if s >> f & 1]) for f in filters])
-    fails = F.array(*[F.col("n")[1 << f] for f in filters])
-    names = ("left_n", "left_good", "left_toxic")
-    parts = joint.select("part", *[survivors(c).alias(a) for c, a in zip(("n", "good", "toxic"), names, strict=True)], unique.alias("unique"), shapley.alias("shap"), fails.alias("fails"))
-    steps = [F.struct(F.lit("".join(FILTERS[f] for f in order)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(f).alias("f"), F.lit(sum(1 << g for g in order[:k])).alias("before")) for order in itertools.permutations(filters) for k, f in enumerate(order)]
-    after = F.col("before") + F.shiftleft(F.lit(1), F.col("f"))
-    lost = [F.col(c)[F.col("before")] - F.col(c)[after] for c in names]
-    rows = parts.withColumn("s", F.explode(F.array(*steps))).select("*", "s.*")
-    return rows.select(
+    filters, orders = len(FILTERS), ["".join(o) for o in itertools.permutations(FILTERS)]
+    sets = f"sequence(0, {SETS - 1})"
+    survivors = f"transform({sets}, t -> aggregate({sets}, 0L, (sum, s) -> sum + if(s & t = s, if(bit_count(s) % 2 = 0, 1, -1) * {{0}}[s], 0L)))"
+    alone = f"transform(sequence(0, {filters - 1}), f -> aggregate({sets}, 0L, (sum, s) -> sum + if(getbit(s, f) = 1, if(bit_count(s) % 2 = 1, 1, -1) * n[s], 0L)))"
+    shapley = f"transform(sequence(0, {filters - 1}), f -> aggregate({sets}, 0L, (sum, s) -> sum + if(getbit(s, f) = 1, if(bit_count(s) % 2 = 1, 1, -1) * ({len(orders)} div bit_count(s)) * n[s], 0L)))"
+    parts = joint.select("part", *[F.expr(survivors.format(c)).alias(f"left_{c}") for c in ("n", "good", "toxic")], F.expr(alone).alias("alone"), F.expr(shapley).alias("shares"), F.expr(f"transform(sequence(0, {filters - 1}), f -> n[shiftleft(1, f)])").alias("fails"))
+    ordered = parts.withColumn("filter_order", F.explode(F.array(*map(F.lit, orders)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(filters))))
+    steps = ordered.selectExpr("*", f"ascii(substr(filter_order, step, 1)) - {ord(FILTERS[0])} AS f", f"aggregate(sequence(1, step), 0, (m, k) -> m | shiftleft(1, ascii(substr(filter_order, k, 1)) - {ord(FILTERS[0])})) AS after").selectExpr("*", "after ^ shiftleft(1, f) AS before")
+    lost = "left_{0}[before] - left_{0}[after]"
+    return steps.selectExpr(
         "part",
         "filter_order",
         "step",
-        F.col("left_n")[after].alias("kept"),
-        lost[0].alias("removed"),
-        (F.col("fails")[F.col("f")] - lost[0]).alias("redundant"),
-        F.col("unique")[F.col("f")].alias("unique_fails"),
-        lost[1].alias("good_lost"),
-        lost[2].alias("toxic_lost"),
-        F.col("shap")[F.col("f")].alias("shapley"),
+        "left_n[after] AS kept",
+        f"{lost.format('n')} AS removed",
+        f"fails[f] - ({lost.format('n')}) AS redundant",
+        "alone[f] AS unique_fails",
+        f"{lost.format('good')} AS good_lost",
+        f"{lost.format('toxic')} AS toxic_lost",
+        "shares[f] AS shapley",
     )
 
 
@@ -153,7 +141,7 @@ WITH d AS (
 ), steps AS (
   SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders
 ), met AS (  -- the step at which each kind of document goes, 9 if it stays
-  SELECT alike.*, filter_order, list_min(list_transform(['A', 'B', 'C', 'D', 'E'], x -> CASE WHEN contains(fails, x) THEN instr(filter_order, x) ELSE 9 END)) AS gone FROM alike, orders
+  SELECT alike.*, filter_order, list_min(list_transform(['A', 'B', 'C', 'D', 'E'], lambda x: CASE WHEN contains(fails, x) THEN instr(filter_order, x) ELSE 9 END)) AS gone FROM alike, orders
 ), counted AS (
   SELECT part, filter_order, step,
     sum(CASE WHEN gone > step THEN n ELSE 0 END)::BIGINT AS kept,
