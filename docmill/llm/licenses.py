@@ -57,6 +57,7 @@ class Index:
         entries.sort()
         # words of the templates as numbers, and how often each template has them
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
+        self.numbered = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in self.words]
         self.counts = [np.bincount([self.vocabulary[w] for w in ws], minlength=len(self.vocabulary)) for ws in self.words]
         self.keys = np.array([e[0] for e in entries], np.uint64)
         self.where = [(i, p) for _, i, p in entries]
@@ -89,40 +90,46 @@ class Index:
         return int(np.minimum(found, self.counts[t]).sum()) >= coverage * len(self.words[t])
 
 
-def align(template: list[bytes], words: list[bytes], start: int, band: int, lo: int, hi: int, coverage: float) -> tuple[int, int, int] | None:
+def align(template: np.ndarray, words: np.ndarray, start: int, band: int, lo: int, hi: int, coverage: float) -> tuple[int, int, int] | None:
     """Matched, first and last word of a common subsequence of the template and of words lo to hi, within ``band`` of the diagonal from ``start``.
 
-    It is the longest one that is at least ``coverage`` of the template and of its span; of equals the shortest, then the earliest. None if there is none.
+    Both are arrays of numbers. It is the longest one that is at least ``coverage`` of the template and of its span; of equals the
+    shortest, then the earliest. None if there is none. A whole copy in the band is that; without one, all diagonals take a
+    template word in one step.
     """
-    size = len(template)
+    size, n = len(template), len(words)
+    for s in range(max(lo, start - band), min(hi - size, start + band) + 1):
+        if words[s] == template[0] and words[s + size - 1] == template[-1] and np.array_equal(words[s : s + size], template):
+            return size, s, s + size - 1
     # best[d, m]: latest first word of m matches on a path that ends on diagonal d - band
     best = np.full((2 * band + 1, size + 1), -1)
-    found = None
-    for i, w in enumerate(template):
-        new = best.copy()
-        for d in range(2 * band + 1):
-            j = start + i + d - band
-            if lo <= j < hi and words[j] == w:
-                here = best[d, :-1].copy()
-                here[0] = j
-                np.maximum(new[d, 1:], here, out=new[d, 1:])
-                m = np.flatnonzero(here >= 0) + 1
-                span = j - here[m - 1] + 1
-                good = np.flatnonzero((m >= coverage * size) & (m >= coverage * span))
+    found, least = None, max(1, math.ceil(coverage * size - 1e-9))
+    for i in range(size):
+        first = start + i - band  # the word on the lowest diagonal
+        a, b = max(lo, first, 0), min(hi, first + 2 * band + 1, n)
+        on = np.flatnonzero(words[a:b] == template[i]) + a if a < b else ()
+        new = best[:, : i + 2].copy()
+        # a template word without partner moves a path one diagonal down; it ends on the same word, which can't match again
+        np.maximum(new[:-1], best[1:, : i + 2], out=new[:-1])
+        for j in on:
+            d = j - first
+            here = best[d, : i + 1].copy()
+            here[0] = j
+            np.maximum(new[d, 1:], here, out=new[d, 1:])
+            if i + 1 >= least:  # so many matches can be enough
+                m = np.arange(least, i + 2)
+                at = here[m - 1]
+                good = np.flatnonzero((at >= 0) & (m >= coverage * size) & (m >= coverage * (j - at + 1)))
                 if len(good):
-                    n, first = int(m[good[-1]]), int(here[m[good[-1]] - 1])
-                    key = (n, first - j, -first)
+                    got, head = int(m[good[-1]]), int(at[good[-1]])
+                    key = (got, head - int(j), -head)
                     if found is None or key > found[0]:
-                        found = key, (n, first, j)
-            if d:
-                np.maximum(new[d], new[d - 1], out=new[d])
-        # a template word without partner moves a path one diagonal down
-        best = new
-        best[:-1] = np.maximum(new[:-1], new[1:])
+                        found = key, (got, head, int(j))
+        np.maximum.accumulate(new, axis=0, out=best[:, : i + 2])
     return found[1] if found else None
 
 
-def spans(template: list[bytes], words: list[bytes], at: int, start: int, band: int, lo: int, coverage: float) -> list[tuple[int, int, int]]:
+def spans(template: np.ndarray, words: np.ndarray, at: int, start: int, band: int, lo: int, coverage: float) -> list[tuple[int, int, int]]:
     """Alignments around the equal fingerprint at word ``at``, in order: the best one, and towards ``at`` those that it leaves room for."""
     out, hi = [], len(words)
     while got := align(template, words, start, band, lo, hi, coverage):
@@ -165,16 +172,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 ends: dict[int, int] = {}
                 offsets = None
                 for t, j, p in hits:
-                    template = index.words[t]
+                    template = index.numbered[t]
                     width = max(band, math.ceil(len(template) * (1 / coverage - 1)))
                     # the band's words hold every match of an alignment
                     if j < ends.get(t, 0) or not index.may_match(t, numbers, max(ends.get(t, 0), j - p - width), j - p + len(template) + width, coverage):
                         continue
-                    for n, a, b in spans(template, words, j, j - p, width, ends.get(t, 0), coverage):
+                    for n, a, b in spans(template, numbers, j, j - p, width, ends.get(t, 0), coverage):
                         if offsets is None:
                             offsets = [m.span() for m in _TOKEN.finditer(data.lower())]
+                            # a byte's character: its place less the bytes before it that go on with a character
+                            inner = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)
                         ends[t] = b + 1
-                        lo, hi = (len(data[:e].decode("utf-8", "ignore")) for e in (offsets[a][0], offsets[b][1]))
+                        lo, hi = (e - int(np.searchsorted(inner, e)) for e in (offsets[a][0], offsets[b][1]))
                         for col, v in zip(out, (doc, index.names[t], n, n / len(template), lo, hi), strict=True):
                             col.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

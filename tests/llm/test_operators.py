@@ -319,7 +319,62 @@ def test_licenses_stray_words(spark):
 def test_licenses_far_word():
     template = b"licensed under the apache license version 2 0".split()
     words = b"licensed under the apache license version 2 a b c d e 0".split()
-    assert licenses.align(template, words, 0, 8, 0, len(words), 0.8) == (7, 0, 6)
+    assert licenses.align(*numbered(template, words), 0, 8, 0, len(words), 0.8) == (7, 0, 6)
+
+
+def numbered(template, words):
+    number = {w: i for i, w in enumerate(dict.fromkeys([*template, *words]))}
+    return (np.array([number[w] for w in x]) for x in (template, words))
+
+
+def plain_align(template, words, start, band, lo, hi, coverage):
+    """All common subsequences in the band, pair by pair: a pair of places, its matches so far and its first word."""
+    size, paths, found = len(template), {}, None
+    for i in range(size):
+        for j in range(max(lo, start + i - band, 0), min(hi, start + i + band + 1)):
+            if words[j] != template[i]:
+                continue
+            mine = {1: j}
+            for (i2, j2), held in paths.items():
+                # between two matches a path skips words of both, within the band
+                if i2 < i and j2 < j:
+                    for m, first in held.items():
+                        mine[m + 1] = max(mine.get(m + 1, -1), first)
+            paths[i, j] = mine
+            for m, first in mine.items():
+                if m >= coverage * size and m >= coverage * (j - first + 1):
+                    key = (m, first - j, -first)
+                    if found is None or key > found[0]:
+                        found = key, (m, first, j)
+    return found and found[1]
+
+
+def test_align_against_plain_paths():
+    rng = random.Random(9)
+    for _ in range(300):
+        template = [rng.randrange(4) for _ in range(rng.randrange(1, 12))]
+        words = [rng.randrange(5) for _ in range(rng.randrange(0, 8))] + [w for w in template if rng.random() < 0.9] + [rng.randrange(5) for _ in range(rng.randrange(0, 8))]
+        start, band, coverage = rng.randrange(-3, 12), rng.randrange(1, 6), rng.choice((0.5, 0.8, 1.0))
+        lo = rng.randrange(0, 3)
+        hi = rng.randrange(max(lo, len(words) - 3), len(words) + 1) if len(words) >= lo else lo
+        assert licenses.align(np.array(template), np.array(words, int), start, band, lo, hi, coverage) == plain_align(template, words, start, band, lo, hi, coverage)
+
+
+def test_licenses_in_long_notices():
+    """Time grows with the text: no hit looks at what lies before it."""
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES)
+    took = []
+    for n in (2000, 16000):
+        data = b"All rights reserved. " * n
+        words = licenses._TOKEN.findall(data.lower())
+        numbers, t = index.numbers(words), index.names.index("All rights reserved") if "All rights reserved" in index.names else 0
+        began = time.perf_counter()
+        for at in range(0, len(words) - 3, 3):
+            licenses.spans(index.numbered[t], numbers, at, at, 8, at, 0.8)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
 
 
 def vectors(spark, n=120, dim=24):
@@ -400,6 +455,21 @@ def test_topk(spark):
     assert set(got) == {*range(0, 120, 20), 1020}
 
 
+def test_topk_large_components_and_repeats(spark):
+    big = 2**40
+    rows = [(1, [big, big]), (2, [big, 1]), (3, [-big, 5]), (3, [-big, 5]), (2, [big, 1]), (None, [1, 1]), (4, [1, 2, 3])]
+    v = spark.createDataFrame(rows, "vec_id long, ints array<long>").withColumns({"rank": F.lit("own"), "dim": F.lit("own"), "score": F.lit("own")})
+    small = spark.createDataFrame([(9, [2, 1])], "vec_id long, ints array<long>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(v, small, k=9).orderBy("rank").collect()]
+    assert got == [(1, 1, 3 * big), (2, 2, 2 * big + 1), (3, 2, 2 * big + 1), (4, 3, 5 - 2 * big), (5, 3, 5 - 2 * big)]
+    with pytest.raises(Exception, match="OverflowError|too large"):
+        topk.top_k(v, v.where("vec_id = 1")).collect()
+    floats = spark.createDataFrame([(1, [1e300, 0.5]), (2, [0.5, -0.1])], "vec_id long, embedding array<double>")
+    assert [r.ints for r in topk.quantize(floats.where("vec_id = 2")).collect()] == [[128, -26]]
+    with pytest.raises(Exception, match="past 2"):
+        topk.quantize(floats).collect()
+
+
 def test_empty(spark, empty):
     assert jaccard.near_classes(empty).count() == 0
     assert suffix_dedup.cut_repeats(empty).count() == 0
