@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import jaccard, language_id, mixing, packing, suffix_dedup
-from docmill.llm.common import OWN, PACKED, packed, shielded, stash, table, unpacked
+from docmill.llm.common import OWN, PACKED, drop_stash, packed, shielded, stash, table, unpacked
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,15 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier; documents of which nothing but blanks is left go.
 
-    n_chars is the length of what is left where something went. Rows with null doc_id stay whole, repeated
+    n_chars, if it is a column, is the length of what is left where something went. Rows with null doc_id stay whole, repeated
     rows are cut alike; null text comes out empty. Empty input gives no rows. All columns are kept, whatever their names.
     """
     free, now = shielded(docs, ("n_bytes", "n_removed", "n_spans", "kept"))
     cut = suffix_dedup.cut_repeats(free)
-    size = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-    cut = cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(size))
+    cut = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(size))
     return cut.select(*[F.col(n).alias(c) for c, n in now.items()])
 
 
@@ -80,9 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stash(docs, "stage")
+            if last is not None:  # what the stage has read is written anew
+                drop_stash(last)
+            last = docs
     return docs
