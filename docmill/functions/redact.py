@@ -56,6 +56,25 @@ def _step(kind: str, pattern: str, to: str, hint: str):
     return step
 
 
+def matches(c: Column, kinds: tuple[str, ...] = KINDS, reveal: bool = False) -> Column:
+    """An array of (type, preview) of what each rule matches, in the order of rules, each on the text of the one before."""
+    state = F.struct(c.alias("text"), F.array().cast("array<struct<type:string,preview:string>>").alias("found"))
+    for kind, pattern, to in RULES:
+        if kind in kinds:
+            state = let(state, _match_step(kind, pattern, to if "$1" in to else literal(to), reveal))
+    return state["found"]
+
+
+def _match_step(kind: str, pattern: str, to: str, reveal: bool):
+    seen = lambda m: F.struct(F.lit(kind).alias("type"), (m if reveal else F.concat(F.substring(m, 1, 2), F.lit("***"))).alias("preview"))
+
+    def step(s: Column) -> Column:
+        found = F.concat(s["found"], F.transform(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), seen))
+        return F.struct(F.regexp_replace(s["text"], F.lit(pattern), F.lit(to)).alias("text"), found.alias("found"))
+
+    return step
+
+
 def redact(c: Column, kinds: tuple[str, ...] = KINDS) -> tuple[Column, dict[str, Column]]:
     """Redacted text and the number of matches of each kind."""
     out = redacted(c, kinds)

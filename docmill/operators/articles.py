@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from docmill.functions.dates import parse_date
 from docmill.functions.jstext import PICTOGRAPHS, WS, let, sub, trim, units
 from docmill.functions.markdown import html_to_markdown, menu_metrics, plain_text
-from docmill.functions.redact import KINDS, redacted
-from docmill.functions.text import clean, normalize_whitespace, remove_inline_images, repaired, strip_control
+from docmill.functions.redact import KINDS, PLACEHOLDER
+from docmill.functions.text import normalize_whitespace, remove_inline_images, strip_control
 from docmill.operators.records import js_text
+from docmill.operators.rules import COUNTERS, Rules, fixed, safe, tidy
 from docmill.sources.readers import first_present
 
 #: Names of each field, the first one present wins; and texts that mean active.
@@ -27,7 +28,8 @@ DATE_KEYS = {"created": ("cra_a_le", "cree_le", "created_at", "create_date"), "u
 ACTIVE = ("true", "1", "yes", "oui", "vrai")
 DATE_WARNING = {"created": "date de creation non convertie.", "updated": "date de mise a jour non convertie."}
 MIN_BODY = 100
-COUNTERS = {"secret": "n_secret", "certificate": "n_certificate", "ip": "n_ip", "internalPath": "n_path"}
+#: What findings call the fields, in the order in which they are told.
+PATHS = {"title": "titre", "display": "nom_d_affichage", "categorie": "article_parent", "url": "url_de_l_article", "body": "corps"}
 
 
 def _kind(v: Column) -> Column:
@@ -71,18 +73,12 @@ def category(c: Column) -> Column:
     return normalize_whitespace(sub(c, rf"\A[{WS}\-–—•·|>]+"))
 
 
-def _redacted(c: Column) -> Column:
-    """Struct of clean, redacted text and the number of matches of each kind; null stays null."""
-
-    return let(redacted(clean(c, control=True)), lambda r: F.struct(r["text"].alias("text"), F.struct(*[r[k].alias(k) for k in KINDS]).alias("found")))
-
-
-def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool = False, include_menu: bool = False) -> DataFrame:
+def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool = False, include_menu: bool = False, rules: Rules = Rules()) -> DataFrame:
     """One row for each item (pos from 1, item variant), with its status and what was found in it.
 
     Status: not_object, inactive (nothing of it is cleaned or counted), short (plain body under ``min_body``
     units; its counters count), menu, or kept. Of kept and menu articles: article_id, title, categorie, url
-    and dates (null where there is none), body_markdown, is_menu, and warnings on dates.
+    and dates (null where there is none), body_markdown, is_menu, and warnings on dates; and what was redacted (type, preview, path), if ``rules`` asks.
     """
     item, m = F.col("item"), F.col("m")
     d = items.withColumn("m", F.when(_kind(item).startswith("OBJECT"), F.try_variant_get(item, "$", "map<string,variant>")))
@@ -91,17 +87,20 @@ def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool =
     d = d.withColumns({n: F.when(F.col("live"), variant_text(first_present(m, k))) for n, k in fields.items()} | {"no_id": F.coalesce(_kind(first_present(m, ID_KEYS)), F.lit("VOID")) == "VOID"})
     texts = (*TEXT_KEYS, "body")
     # one lambda over all fields, so that the plan holds the repair once
-    d = d.withColumn("_fixed", F.transform(F.array(*texts), repaired))
+    d = d.withColumn("_fixed", F.transform(F.array(*texts), lambda c: F.when(c.isNotNull(), fixed(c, rules))))
     d = d.withColumns({t: F.col("_fixed")[i]["text"] for i, t in enumerate(texts)} | {"n_fixes": sum((F.col("_fixed")[i]["n"] for i in range(len(texts))), F.lit(0))}).drop("_fixed")
-    body, images = remove_inline_images(F.col("body"))
+    body, images = remove_inline_images(F.col("body")) if rules.images else (F.col("body"), F.when(F.col("body").isNotNull(), F.lit(0)))
     d = html_to_markdown(d.withColumns({"body": body, "n_images": images}), "body", "body")
-    d = d.withColumn("_safe", F.transform(F.array(*texts), _redacted))
-    d = d.withColumns({t: F.col("_safe")[i]["text"] for i, t in enumerate(texts)} | {f"{t}_found": F.col("_safe")[i]["found"] for i, t in enumerate(texts)}).drop("_safe")
+    d = d.withColumn("_safe", F.transform(F.array(*texts), lambda c: F.when(c.isNotNull(), let(tidy(c, rules), lambda t: safe(t, rules)))))
+    d = d.withColumns({t: F.col("_safe")[i]["text"] for i, t in enumerate(texts)} | {f"{t}_found": F.col("_safe")[i] for i, t in enumerate(texts)}).drop("_safe")
     d = d.withColumn("categorie", category(F.col("categorie"))).withColumn("plain", plain_text(F.col("body"))).withColumn("menu", menu_metrics(F.col("body")))
     d = d.withColumns({n: parse_date(F.col(n)) for n in DATE_KEYS})
     counters = {n: sum((F.col(f"{t}_found.{k}") for t in texts), F.lit(0)) for k, n in COUNTERS.items()}
     short = units(trim(F.col("plain"))) < min_body
     status = F.when(m.isNull(), "not_object").when(~F.col("live"), "inactive").when(short, "short").when(F.col("menu.is_menu") & F.lit(not include_menu), "menu").otherwise("kept")
+    place = {"body": F.concat(F.lit("article_"), F.col("pos").cast("string"), F.lit(".corps"))}
+    told = lambda t: F.transform(F.coalesce(F.col(f"{t}_found.found"), F.array()), lambda f: F.struct(f["type"].alias("type"), f["preview"].alias("preview"), place.get(t, F.lit(PATHS[t])).alias("path")))
+    found = F.concat(*[told(t) for t in PATHS]) if rules.find else F.array().cast("array<struct<type:string,preview:string,path:string>>")
     named = F.concat(F.lit("Article "), F.col("pos").cast("string"))
     warnings = [F.when(F.col(f"{n}.raw").isNotNull(), F.concat(named, F.lit(": " + w))) for n, w in DATE_WARNING.items()]
     ignored = F.concat(F.lit("Element "), F.col("pos").cast("string"), F.lit(": article ignore car ce n'est pas un objet."))
@@ -122,12 +121,19 @@ def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool =
         "n_fixes",
         "n_images",
         *[c.alias(n) for n, c in counters.items()],
+        found.alias("found"),
         F.when(F.col("status").isin("menu", "kept"), F.array_compact(F.array(*warnings))).when(F.col("status") == "not_object", F.array(ignored)).alias("warnings"),
     )
     # a generator, so that filters on what it gives stay above it: pushed below, they would repeat the whole clean-up
     return d.withColumn("status", status).select(F.inline(F.array(out)))
 
 
+def findings(processed: DataFrame) -> DataFrame:
+    """What was redacted, a row each: pos, k, type, fieldPath, placeholder, preview."""
+    placeholder = F.element_at(F.create_map(*[F.lit(x) for kv in PLACEHOLDER.items() for x in kv]), F.col("f.type"))
+    return processed.select("pos", F.posexplode("found").alias("k", "f")).select("pos", "k", "f.type", F.col("f.path").alias("fieldPath"), placeholder.alias("placeholder"), "f.preview")
+
+
 def to_documents(processed: DataFrame, source_file: str = "articles.json", tool: str = "articles") -> DataFrame:
     """metadata and content of kept articles: title as heading (unless the body has it), category, address, body."""
     d = processed.where("status = 'kept'")

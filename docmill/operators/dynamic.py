@@ -5,6 +5,7 @@ The text rules are Catalyst expressions over the texts of a record; Python only
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions import jsvalue
-from docmill.functions.jstext import let, literal
-from docmill.functions.redact import KINDS, PLACEHOLDER, RULES, key_kind, redacted
+from docmill.functions.jstext import let
+from docmill.functions.redact import KINDS, PLACEHOLDER, key_kind, matches, redacted
 from docmill.functions.text import clean, remove_inline_images, repaired
 from docmill.operators.diagnostics import tokens
 from docmill.operators.records import SHORT
@@ -77,28 +78,17 @@ def clean_text(c: Column, fix_encoding: bool, images: bool, html: bool, control:
         return let(F.struct(text.alias("text"), r["n"].alias("n"), (n if images else F.lit(0)).alias("images")), told)
 
     def told(t: Column) -> Column:
-        return let(redacted(t["text"], kinds), lambda d: F.struct(d["text"].alias("text"), t["n"].alias("fixes"), t["images"].alias("images"), *[d[k].alias(k) for k in KINDS], _matches(t["text"], kinds, reveal).alias("found")))
+        return let(redacted(t["text"], kinds), lambda d: F.struct(d["text"].alias("text"), t["n"].alias("fixes"), t["images"].alias("images"), *[d[k].alias(k) for k in KINDS], matches(t["text"], kinds, reveal).alias("found")))
 
     return let(first, run)
 
 
-def _matches(c: Column, kinds: tuple[str, ...], reveal: bool) -> Column:
-    """What each rule matches, in the order of rules, each on the text of the one before."""
-    state = F.struct(c.alias("text"), F.array().cast("array<struct<type:string,preview:string>>").alias("found"))
-    for kind, pattern, to in RULES:
-        if kind in kinds:
-            state = let(state, _match_step(kind, pattern, to if "$1" in to else literal(to), reveal))
-    return state["found"]
+_WORD = re.compile(f"[^{''.join(sorted(_BLANK))}]+")
 
 
-def _match_step(kind: str, pattern: str, to: str, reveal: bool):
-    seen = lambda m: F.struct(F.lit(kind).alias("type"), (m if reveal else F.concat(F.substring(m, 1, 2), F.lit("***"))).alias("preview"))
-
-    def step(s: Column) -> Column:
-        found = F.concat(s["found"], F.transform(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), seen))
-        return F.struct(F.regexp_replace(s["text"], F.lit(pattern), F.lit(to)).alias("text"), found.alias("found"))
-
-    return step
+def findings(done: DataFrame, order: str = "pos") -> DataFrame:
+    """What was redacted, a row each: pos, k, type, fieldPath, placeholder, preview."""
+    return done.select(F.col(order).alias("pos"), F.posexplode("findings").alias("k", "f")).select("pos", "k", "f.*")
 
 
 def transform(
@@ -183,13 +173,14 @@ def transform(
 
 
 def documents(df: DataFrame, source_file: str, source_type: str, tool: str, position: str = "pos", record: str = "record") -> DataFrame:
-    """content and value (a document as JSON) of records in JSON: as for typed records, numbers in ECMAScript's form."""
+    """content, value (a document as JSON), n_words (of the content) and n_empty (nulls and blank texts) of records in JSON: as for typed records, numbers in ECMAScript's form."""
 
     def run(batches):
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
             out = [document(*x) for x in zip(b.column(at[position]).to_pylist(), b.column(at[record]).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(at[position]), pa.array([o[0] for o in out]), pa.array([o[1] for o in out])], names=[position, "content", "value"])
+            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(at[position]), *cols], names=[position, "content", "value", "n_words", "n_empty"])
 
     def document(row, text):
         meta: dict[str, object] = {"source_file": source_file, "source_type": source_type, "tool": tool, "row": float(row)}
@@ -201,10 +192,11 @@ def documents(df: DataFrame, source_file: str, source_type: str, tool: str, posi
             if v is None or isinstance(v, (bool, float)) or (isinstance(v, str) and len(v.encode("utf-16-le")) // 2 <= SHORT):
                 meta[k] = v
         content = "\n".join(lines)
-        return content, jsvalue.write({"metadata": meta, "content": content})
+        whole = {"metadata": meta, "content": content}
+        return content, jsvalue.write(whole), len(_WORD.findall(content)), count_empty(whole)
 
     d = df.select(position, record)
-    return d.mapInArrow(run, T.StructType([d.schema[position], T.StructField("content", T.StringType()), T.StructField("value", T.StringType())]))
+    return d.mapInArrow(run, T.StructType([d.schema[position], T.StructField("content", T.StringType()), T.StructField("value", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_empty", T.LongType())]))
 
 
 def diagnostics(done: DataFrame, files: list[str], most_findings: int | None = None, order: str = "pos") -> DataFrame:

@@ -13,8 +13,26 @@ from docmill.functions.jstext import sub, trim
 from docmill.functions.jsvalue import parse, write
 
 
-def write_jsonl(lines: DataFrame, path: str) -> None:
-    lines.select("value").write.mode("overwrite").text(path)
+def write_jsonl(lines: DataFrame, path: str, order: tuple[str, ...] = ("pos",)) -> None:
+    """A line a row, by the columns of ``order`` that there are: parts in the order of their names are the text."""
+    by = [c for c in order if c in lines.columns]
+    rows = lines.repartitionByRange(*by).sortWithinPartitions(*by) if by else lines
+    rows.select("value").write.mode("overwrite").text(path)
+
+
+def write_lines(lines: DataFrame, path: str, key: str = "key", at: str = "at") -> None:
+    """One JSON array of objects that are several rows each (key, at, value), such as those of ticket_lines, in that order.
+
+    Rows are written by Spark, range by range: an object may lie in many parts. Parts in the order of their names are the array.
+    """
+    edges = lines.agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max(at).alias("end")).first()
+    if edges["first"] is None:
+        lines.sparkSession.createDataFrame([("[]",)], "value string").write.mode("overwrite").text(path)
+        return
+    opens = F.when((F.col(key) == edges["first"]) & (F.col(at) == 0), F.lit("[\n")).otherwise(F.lit(""))
+    ends = F.when(F.col(at) != edges["end"], F.lit("")).when(F.col(key) == edges["last"], F.lit("\n]")).otherwise(F.lit(","))
+    rows = lines.repartitionByRange(key, at).sortWithinPartitions(key, at)
+    rows.select(F.concat(opens, "value", ends).alias("value")).write.mode("overwrite").text(path)
 
 
 def markdown_title(name: Column) -> Column:
