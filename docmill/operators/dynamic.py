@@ -28,24 +28,16 @@ _BLANK = {c for r in (range(9, 14), (32, 0xA0, 0x1680), range(0x2000, 0x200B), (
 
 def texts(value, path: str, out: list[tuple[str, str]]) -> None:
     """The texts of a value with their paths (a.b[0]), in order."""
-    if isinstance(value, str):
-        out.append((path, value))
-    elif isinstance(value, list):
-        for i, x in enumerate(value):
-            texts(x, f"{path}[{i}]", out)
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            texts(x, f"{path}.{k}" if path else k, out)
+    out += [(p, holder[k]) for holder, k, p in jsvalue.places(value, path) if isinstance(holder[k], str)]
 
 
 def rebuilt(value, new) -> object:
-    """The value with its texts taken from the iterator ``new``, in order."""
+    """The value with its texts taken from the iterator ``new``, in order; lists and objects are changed where they are."""
     if isinstance(value, str):
         return next(new)
-    if isinstance(value, list):
-        return [rebuilt(x, new) for x in value]
-    if isinstance(value, dict):
-        return {k: rebuilt(x, new) for k, x in value.items()}
+    for holder, k, _ in jsvalue.places(value, ""):
+        if isinstance(holder[k], str):
+            holder[k] = next(new)
     return value
 
 
@@ -55,11 +47,7 @@ def is_blank(value) -> bool:
 
 def count_empty(value) -> int:
     """Nulls and blank texts in a value; an empty array or object counts nothing."""
-    if isinstance(value, list):
-        return sum(map(count_empty, value))
-    if isinstance(value, dict):
-        return sum(map(count_empty, value.values()))
-    return int(is_blank(value))
+    return sum(is_blank(holder[k]) for holder, k, _ in jsvalue.places(value, ""))
 
 
 def blank_runs(text: str) -> int:
@@ -125,7 +113,7 @@ def transform(
                     for k, x in jsvalue.parse(value).items():
                         if k not in left:
                             texts(x, k, found)
-                out.append([{"path": p, "text": t} for p, t in found])
+                out.append([{"path": jsvalue.carried(p), "text": jsvalue.carried(t)} for p, t in found])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*b.schema.names, "_texts"])
 
     d = df.mapInArrow(apart, T.StructType([*schema.fields, T.StructField("_texts", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])))]))
@@ -144,7 +132,7 @@ def transform(
         if source is None:
             return (None, *[0] * 8, [])
         counts = {"fixes": 0, "images": 0} | dict.fromkeys(KINDS, 0)
-        findings, new = [], iter([x["text"] for x in done])
+        findings, new = [], iter([jsvalue.uncarried(x["text"]) for x in done])
         told = iter(zip(paths, done, strict=True))
         out: dict[str, object] = {}
         for key, value in jsvalue.parse(source).items():
@@ -161,7 +149,7 @@ def transform(
             kind = key_kind(key)
             if kind in kinds and isinstance(value, str) and value != PLACEHOLDER[kind]:
                 counts[kind] += 1
-                findings.append((kind, key, PLACEHOLDER[kind], value if reveal else value[:2] + "***"))
+                findings.append((kind, jsvalue.carried(key), PLACEHOLDER[kind], jsvalue.carried(value if reveal else value[:2] + "***")))
                 value = PLACEHOLDER[kind]
             if not (remove_empty and is_blank(value)):
                 out[new_names.get(key) or key] = value
@@ -191,7 +179,7 @@ def documents(df: DataFrame, source_file: str, source_type: str, tool: str, posi
                 lines.append(f"{k}: {shown}")
             if v is None or isinstance(v, (bool, float)) or (isinstance(v, str) and len(v.encode("utf-16-le")) // 2 <= SHORT):
                 meta[k] = v
-        content = "\n".join(lines)
+        content = jsvalue.carried("\n".join(lines))
         whole = {"metadata": meta, "content": content}
         return content, jsvalue.write(whole), len(_WORD.findall(content)), count_empty(whole)
 

@@ -268,7 +268,7 @@ def qualifier(caller: Callable[[dict], str], backoff_ms: int = 400) -> Tool:
         spark, began = df.sparkSession, time.monotonic()
         df = kept(df.select("pos", "text"), "items")
         nothing = spark.createDataFrame([], "pos int, level string, tags array<string>, summary string, error string, id string")
-        items = qualify.item_fields(df.withColumn("record", F.parse_json("text")), c.content_field, c.title_field, c.category_field)
+        items = qualify.item_fields(df.withColumn("record", F.try_parse_json("text")), c.content_field, c.title_field, c.category_field)
         asked = answers.ask(items, caller, c.answers, c.prompt, c.concurrency, c.max_retries, backoff_ms) if c.enable_qualification else None
         labels = asked.labels if asked else nothing
         labelled = qualify.with_labels(qualify.merge(items.select("pos", "id").join(df, "pos"), labels))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import dates, keys, markdown, redact, text
-from docmill.operators import articles, diagnostics, dynamic, qualify, records, tickets
+from docmill.operators import answers, articles, diagnostics, dynamic, qualify, records, tickets, tools
+from docmill.sources import preview as previews
 from docmill.sources import sinks
 
 QUERIES: dict = {}
@@ -421,6 +422,24 @@ def preview(spark, sf_dir):
     return sinks.preview(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
 
 
+@query(
+    """WITH e AS (SELECT event_type AS file, event_id AS pos, event_id % 7 AS k, json_extract_string(props, 'k') AS v FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos) AS place, count(*) OVER (PARTITION BY file) AS n_items FROM e),
+    f AS (SELECT * FROM r WHERE place <= 10),
+    o AS (SELECT *, CASE k WHEN 0 THEN ['b', 'k'] WHEN 1 THEN ['k', 'c'] ELSE ['k'] END AS names FROM f WHERE k <> 2),
+    u AS (SELECT file, name, min(place * 10 + i) AS seen FROM (SELECT file, place, unnest(names) AS name, unnest(range(1, len(names) + 1)) AS i FROM o) GROUP BY ALL),
+    h AS (SELECT file, list(name ORDER BY seen)[:12] AS headers FROM u GROUP BY file)
+    SELECT file, n_items, array_to_string(headers, '|') AS headers, string_agg(array_to_string(list_transform(headers, lambda x: CASE WHEN x = 'k' THEN v WHEN x = 'b' AND k = 0 THEN 'text' WHEN x = 'c' AND k = 1 THEN '[1,null]' ELSE '""' END), '|'), chr(10) ORDER BY place) AS "rows"
+    FROM o JOIN h USING (file) GROUP BY ALL"""
+)
+def preview_tables(spark, sf_dir):
+    """Tables of the first items of each type of event: objects of several shapes, some items that are none."""
+    k, e = F.col("event_id") % 7, read(spark, sf_dir, "events")
+    item = F.when(k == 0, F.concat(F.lit('{"b": "text", '), F.substr("props", F.lit(2)))).when(k == 1, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "c": [1, null]}'))).when(k == 2, F.lit("[5]")).otherwise(F.col("props"))
+    t = previews.preview_tables(e.select(F.col("event_type").alias("file"), F.col("event_id").alias("pos"), item.alias("text")))
+    return t.select("file", "n_items", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"))
+
+
 # --- labels ---------------------------------------------------------------------------------------------
 
 
@@ -452,6 +471,26 @@ def qualify_batch(spark, sf_dir):
     return qualify.qualify(d, caller, retries=0).withColumn("tags", F.array_join("tags", ","))
 
 
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 'UNKNOWN' WHEN len(text) > 1000 THEN 'N1' ELSE 'N2' END AS level, CASE WHEN doc_id % 10 = 7 THEN 'refused' END AS error,
+    (SELECT count(*) FROM documents) AS n_calls, 0::BIGINT AS n_again FROM documents"""
+)
+def labels_once(spark, sf_dir):
+    """Labels through the log of answers, asked for twice: each document costs one call in all, by a caller that counts."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def caller(item):
+        calls.add(1)
+        if item["id"].endswith("7"):
+            raise RuntimeError("refused")
+        return '{"level": "%s"}' % ("N1" if len(item["content"]) > 1000 else "N2")
+
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), F.lit("").alias("categorie"), F.col("text").alias("content"))
+    first = answers.ask(d, caller, concurrency=8, retries=0, wave=1 << 20)
+    again = answers.ask(d, caller, first.log.path)
+    return again.labels.select(F.col("pos").alias("doc_id"), "level", "error", F.lit(calls.value).cast("long").alias("n_calls"), F.lit(again.n_asked).cast("long").alias("n_again"))
+
+
 # --- tickets --------------------------------------------------------------------------------------------
 
 SAID = ("", " erreur et solution, vÃ©rifier la version 2.10", " merci, le service support", " UPDOWN ALERT serveur", " antispam", " password: hunter2, incident sur 10.1.2.3", "", " voir /etc/passwd")
@@ -565,6 +604,69 @@ def ticket_records(spark, sf_dir):
     return tickets.ticket_records(d, redact_client=True).select("ticket_id", "sujet", "categorie", "equipe_d_assistance", "client", "heures_passees", "cree_le", "cree_le_raw", "ticket_kind", "relevance_score")
 
 
+_LEFT = "o.drop_reason IS NULL AND f.score >= 20"
+_FLAGS = ", ".join(
+    f"CASE WHEN {when} THEN '{name}' END"
+    for when, name in (
+        ("solved", "resolution_explicit"),
+        (f"solved AND ({_any(_SAID, _T.TERMS['fix'])} OR regexp_matches({_SAID}, '\\b[0-9]+\\.[0-9]+'))", "correction_version"),
+        ("how", "procedure_reproductible"),
+        ("wrong", "anomalie_metier"),
+        ("category = 'facturation'", "categorie_exploitable"),
+        ("n_useful >= 2", "echanges_humains_utiles"),
+        ("hours > 0.25", "heures_passees"),
+        ("ticket_kind = 'spam_or_auto'", "spam_auto"),
+        ("ticket_kind = 'monitoring' AND NOT how AND NOT solved", "monitoring_pur"),
+        ("ticket_kind = 'notification' AND NOT how AND NOT solved", "notification_auto"),
+        ("hours = 0", "heures_nulles"),
+        ("n_useful = 0", "aucun_message_utile"),
+        ("n_useful > 0", "messages_utiles"),
+        ("n_solid = 0", "contenu_faible"),
+        ("n_duplicate > 0", "doublon_probable"),
+        ("subject = 'test'", "sujet_vague"),
+    )
+)
+
+
+def _ticket_run(spark, sf_dir):
+    t, m = _tickets(spark, sf_dir)
+    tool = tools.TOOLS["support-ticket-cleaner"]
+    return tools.clean_tickets(t, m, None, tools.with_options(tool, min_score=20, redact_client=True, pretty=False))
+
+
+@query(
+    TICKETS_SQL
+    + f""", head AS (SELECT ticket_id AS key, 0::BIGINT AS "at", '{{"ticket_id":"T-' || ticket_id || '"' || CASE WHEN ticket_id % 3 = 0 THEN ',"sujet":"Test"' ELSE '' END || ',"categorie":' || CASE WHEN ticket_id % 2 = 0 THEN '"Facturation"' ELSE '"divers"' END
+      || CASE WHEN ticket_id % 5 = 0 THEN ',"equipe_d_assistance":"Infra"' ELSE '' END || CASE WHEN ticket_id % 3 <> 1 THEN ',"client":"[CLIENT_REDACTED]"' ELSE '' END || ',"heures_passees":' || CASE ticket_id % 3 WHEN 0 THEN '0' WHEN 1 THEN '0.25' ELSE '0.5' END
+      || coalesce(',"cree_le":"' || {_CREATED_SQL} || '"', '') || CASE WHEN ticket_id % 6 = 2 THEN ',"cree_le_raw":"bientôt"' ELSE '' END || ',"messages":[' || CASE WHEN n_messages = 0 THEN '],' ELSE '' END AS value FROM f WHERE score >= 20),
+    tail AS (SELECT ticket_id, 4611686018427387904, CASE WHEN n_messages > 0 THEN '],' ELSE '' END || '"ticket_kind":"' || ticket_kind || '","relevance_score":' || score || ',"relevance_flags":' || to_json(list_filter([{_FLAGS}], lambda x: x IS NOT NULL)) || ',"rag_candidate":' || (score >= 70 AND ticket_kind = 'support_case') || '}}' FROM f WHERE score >= 20),
+    said AS (SELECT o.ticket_id, 2305843009213693952 - row_number() OVER (PARTITION BY o.ticket_id ORDER BY place DESC), '{{"sujet":' || to_json(topic) || ',"contenu_texte":' || to_json(t) || '}}' || CASE WHEN place = max(place) OVER (PARTITION BY o.ticket_id) THEN '' ELSE ',' END FROM o JOIN f ON f.ticket_id = o.ticket_id WHERE {_LEFT})
+    SELECT * FROM head UNION ALL SELECT * FROM tail UNION ALL SELECT * FROM said"""
+)
+def ticket_export(spark, sf_dir):
+    """Tickets as objects with their messages, through the tool: a row for each line, in the order of at."""
+    return _ticket_run(spark, sf_dir).lines
+
+
+_JSON_BLANK = r"[ \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_TOPIC = "CASE WHEN o.reason IS NULL AND o.subject LIKE 'token%' THEN 1 ELSE 0 END"
+
+
+@query(
+    TICKETS_SQL
+    + f""", n AS (SELECT sum(n_secret + {_TOPIC})::BIGINT AS secret, sum(n_certificate)::BIGINT AS certificate, sum(n_ip)::BIGINT AS ip, sum(n_path)::BIGINT AS path FROM o),
+    w AS (SELECT count(*) FILTER (WHERE topic = '')::BIGINT AS empty, coalesce(sum(len(regexp_extract_all(t, '{_JSON_BLANK}')) + len(regexp_extract_all(topic, '{_JSON_BLANK}'))), 0) AS blanks FROM o JOIN f ON f.ticket_id = o.ticket_id WHERE {_LEFT})
+    SELECT (SELECT count(*) FROM f) AS row_count, empty AS empty_fields, secret, certificate, ip, path, least(50, secret + certificate + ip + path)::INT AS n_findings, ceil((1 + blanks) * 1.3)::BIGINT AS estimated_tokens FROM n, w"""
+)
+def ticket_diagnostics(spark, sf_dir):
+    return _told(_ticket_run(spark, sf_dir).diagnostics)
+
+
+def _told(d, *more):
+    c = F.col("redactionCounts")
+    return d.select(F.col("rowCount").alias("row_count"), F.col("emptyFieldCount").alias("empty_fields"), c["secret"].alias("secret"), c["certificate"].alias("certificate"), c["ip"].alias("ip"), c["internalPath"].alias("path"), F.size("redactionFindings").alias("n_findings"), F.col("estimatedTokens").alias("estimated_tokens"), *more)
+
+
 # --- articles -------------------------------------------------------------------------------------------
 
 _MENU_LINKS = [(f"/knowledge/article/{i}", f"Une page de la documentation {i}") for i in range(6)]
@@ -577,7 +679,7 @@ TITLE_JSON = ('"titre":" Note \u00e9  x",', '"display_name":"Nom",', "")
 DATE_JSON = ('"created_at":45000,', '"created_at":"bientot",')
 
 
-def _articles(spark, sf_dir):
+def _article_items(spark, sf_dir):
     """Documents as items of a JSON export, whole texts with parts added, and items of id -1 - doc_id that are no object; what items hold varies."""
     d = tagged(tagged(read(spark, sf_dir, "documents"), "doc_id", "text", SECRETS), "doc_id", "text", EXTRA)
     body = F.col("text")
@@ -588,7 +690,11 @@ def _articles(spark, sf_dir):
         d = tagged(d, "doc_id", "head", parts)
     items = d.select(F.col("doc_id").alias("pos"), F.parse_json(F.concat("head", F.substr("rest", F.lit(2)))).alias("item"))
     others = d.where("doc_id % 8 = 0").select((-1 - F.col("doc_id")).alias("pos"), F.parse_json(F.lit('"a text"')).alias("item"))
-    return articles.process(items.unionByName(others))
+    return items.unionByName(others)
+
+
+def _articles(spark, sf_dir):
+    return articles.process(_article_items(spark, sf_dir))
 
 
 _BODY = f"({_SEC} || [{', '.join(_q(x) for x in EXTRA_MD)}][(doc_id % {len(EXTRA)} + 1)::INT])"
@@ -633,6 +739,21 @@ def article_report(spark, sf_dir):
     return articles.report(_articles(spark, sf_dir)).select("n_items", "n_articles", "n_inactive", "n_short", "n_menu_excluded", "n_menu", "n_mostly_links", "avg_links")
 
 
+_SEEN = "status IN ('kept', 'menu', 'short')"
+
+
+@query(
+    ARTICLES_SQL
+    + f""", k AS (SELECT count(*) FILTER (WHERE status = 'kept')::BIGINT AS exported, sum(2 + (created_at IS NULL)::INT) FILTER (WHERE status = 'kept')::BIGINT AS empty_fields, {", ".join(f"sum(n_{x}) FILTER (WHERE {_SEEN})::BIGINT AS {x}" for x in ("secret", "certificate", "ip", "path"))},
+      sum({" + ".join(f"len(regexp_extract_all({c}, '{_JSON_BLANK}'))" for c in ("article_id", "title", "categorie", "body_markdown"))}) FILTER (WHERE status = 'kept') AS blanks FROM a)
+    SELECT (SELECT count(*) FROM a) AS row_count, empty_fields, secret, certificate, ip, path, least(50, secret + certificate + ip + path)::INT AS n_findings, ceil((1 + blanks) * 1.3)::BIGINT AS estimated_tokens, exported,
+      (SELECT count(*) FROM a WHERE status = 'short')::BIGINT AS short, (SELECT least(501, count(*)) FROM a WHERE status = 'not_object' OR (status IN ('kept', 'menu') AND warnings <> ''))::INT AS n_warnings FROM k"""
+)
+def article_diagnostics(spark, sf_dir):
+    r = tools.TOOLS["odoo-knowledge-cleaner"].run(_article_items(spark, sf_dir).withColumnRenamed("item", "record"))
+    return _told(r.diagnostics, F.col("exportedArticles").alias("exported"), F.col("excludedEmptyArticles").alias("short"), F.size("warnings").alias("n_warnings"))
+
+
 @query()
 def article_pages(spark, sf_dir):
     """Whole web pages as articles: their Markdown, with what was found; no SQL states HTML to Markdown."""

@@ -73,7 +73,8 @@ def read_json(spark: SparkSession, path: str, array: bool = False, objects: bool
     """file, pos (from 1), record (variant) and text (the same as JSON, keys in their order) of JSON files, one value each.
 
     Items of an array are records, another value is one; what is no object is {"value": x}. ``array``: another value
-    is an error; ``objects``: an item that is no object is an error that names it. Bad JSON and blank texts fail; a file
+    is an error; ``objects``: an item that is no object is an error that names it. Bad JSON and blank texts fail; an item that is nested
+    more than a thousand deep has its text and a null record; a file
     without a byte is none to Spark, and gives no rows.
     """
     d = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("value"))
@@ -95,7 +96,7 @@ def json_records(df: DataFrame, text: str = "value", array: bool = False, object
 
     # the order of keys is that of the source, which a variant doesn't keep
     out = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("pos", T.IntegerType()), T.StructField("_item", T.StringType())]))
-    return out.select(*df.columns, "pos", F.parse_json("_item").alias("record"), *([F.col("_item").alias("text")] if text != "text" else []))
+    return out.select(*df.columns, "pos", F.try_parse_json("_item").alias("record"), *([F.col("_item").alias("text")] if text != "text" else []))
 
 
 def split_items(text: str, array: bool = False, objects: bool = False) -> list[str]:
