@@ -153,6 +153,14 @@ def write(value, indent: int | None = None, level: int = 0) -> str:
     return "".join(out)
 
 
+def _inner(value: list | dict, path: str) -> Iterator[tuple]:
+    """(place, path) of what a list or an object holds."""
+    if isinstance(value, list):
+        yield from ((i, f"{path}[{i}]") for i in range(len(value)))
+    else:
+        yield from ((n, f"{path}.{n}" if path else n) for n in list(value))
+
+
 def places(value, path: str) -> Iterator[tuple]:
     """(holder, place, path) of each scalar in a value, in order: ``holder[place]`` is the scalar, paths are like a.b[0]. A value that is a scalar is held by a list."""
     stack = [([value], iter(((0, path),)))]
@@ -160,11 +168,8 @@ def places(value, path: str) -> Iterator[tuple]:
         holder, rest = stack[-1]
         for k, p in rest:
             x = holder[k]
-            if isinstance(x, list):
-                stack.append((x, ((i, f"{p}[{i}]") for i in range(len(x)))))
-                break
-            if isinstance(x, dict):
-                stack.append((x, ((n, f"{p}.{n}" if p else n) for n in list(x))))
+            if isinstance(x, (list, dict)):
+                stack.append((x, _inner(x, p)))
                 break
             yield holder, k, p
         else:

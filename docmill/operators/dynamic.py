@@ -177,7 +177,7 @@ def documents(df: DataFrame, source_file: str, source_type: str, tool: str, posi
             shown = v if isinstance(v, str) else "" if v is None else jsvalue.write(v)
             if shown:
                 lines.append(f"{k}: {shown}")
-            if v is None or isinstance(v, (bool, float)) or (isinstance(v, str) and len(v.encode("utf-16-le")) // 2 <= SHORT):
+            if v is None or isinstance(v, (bool, float)) or (isinstance(v, str) and len(v.encode("utf-16-le", "surrogatepass")) // 2 <= SHORT):
                 meta[k] = v
         content = jsvalue.carried("\n".join(lines))
         whole = {"metadata": meta, "content": content}

@@ -110,7 +110,7 @@ def result_preview(df: DataFrame, order: tuple[str, ...], value: str = "value",
     first = [parse(r[0]) for r in df.orderBy(*order).limit(items).select(value).collect()]
     text = write(first, 2)
     notes = [f"JSON limite aux {items} premiers elements sur {total}."] if total > items else []
-    if len(text.encode("utf-16-le")) // 2 > chars:
+    if len(text.encode("utf-16-le", "surrogatepass")) // 2 > chars:
         notes.append(f"Sortie formatee limitee a {chars:,} caracteres.".replace(",", " "))
-        return text.encode("utf-16-le")[: 2 * chars].decode("utf-16-le", "ignore"), True, " ".join(notes)
+        return text.encode("utf-16-le", "surrogatepass")[: 2 * chars].decode("utf-16-le", "ignore"), True, " ".join(notes)
     return text, False, " ".join(notes)

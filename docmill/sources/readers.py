@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from docmill.functions.jsvalue import parse, write
 from docmill.functions.jstext import WS
 from docmill.functions.keys import normalize_keys
+from docmill.sources import jsonsplit
 
 
 def table_records(cells: DataFrame) -> DataFrame:
@@ -75,10 +76,34 @@ def read_json(spark: SparkSession, path: str, array: bool = False, objects: bool
     Items of an array are records, another value is one; what is no object is {"value": x}. ``array``: another value
     is an error; ``objects``: an item that is no object is an error that names it. Bad JSON and blank texts fail; an item that is nested
     more than a thousand deep has its text and a null record; a file
-    without a byte is none to Spark, and gives no rows.
+    without a byte is none to Spark, and gives no rows. A file of any size is read in splits by many tasks (see :mod:`docmill.sources.jsonsplit`).
     """
-    d = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("value"))
-    return json_records(d, array=array, objects=objects).select("file", "pos", "record", "text")
+    items = jsonsplit.item_texts(spark, path)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for file, pos, lone, last, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if not lone:
+                    text = text.lstrip(jsonsplit.SPACE)[1:] if pos == 1 else text
+                    if last:
+                        text = text.rstrip(jsonsplit.SPACE)
+                        if text[-1:] != "]":
+                            raise ValueError(f"bad JSON at the end of {file}")
+                        text = text[:-1]
+                        if pos == 1 and not text.strip(jsonsplit.SPACE):
+                            continue
+                elif array or objects:
+                    raise ValueError("a JSON array is expected")
+                value = parse(text)
+                if objects and not isinstance(value, dict):
+                    raise ValueError(f"item {pos} is not a JSON object")
+                out.append((file, pos, write(value if isinstance(value, dict) or array else {"value": value})))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], names=["file", "pos", "text"])
+
+    found = items.select("file", "pos", "lone", "last", "text").mapInArrow(run, "file string, pos long, text string")
+    name = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return found.select(name.alias("file"), F.col("pos").cast("int").alias("pos"), F.try_parse_json("text").alias("record"), "text")
 
 
 def json_records(df: DataFrame, text: str = "value", array: bool = False, objects: bool = False) -> DataFrame:
