@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.jsvalue import parse, write
 from docmill.functions.jstext import WS
 from docmill.functions.keys import normalize_keys
+from docmill.operators.ordering import ranked
 from docmill.sources import jsonsplit
 
 
@@ -23,8 +24,7 @@ def table_records(cells: DataFrame) -> DataFrame:
     """
     names = [c for c in cells.columns if c not in ("file", "pos")]
     body = cells.where(F.regexp_like(F.concat_ws("", *names), F.lit(f"[^{WS}]")))
-    # a file is read by one task, so its rows are numbered where they are
-    body = body.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
+    body = ranked(body, "file", [F.col("pos").asc()], "row").withColumn("row", F.col("row") - 1)
     told = body.agg(F.min_by(F.struct(*names), F.struct("file", "pos")).alias("head"), *[F.max(F.when(F.col("row") > 0, F.length(c))).alias(c) for c in names]).first()
     if told is None or told["head"] is None:
         raise ValueError("the file is empty")
@@ -58,7 +58,11 @@ def read_sheets(spark: SparkSession, path: str, parser: Callable[[bytes], list[l
             rows = [(p, i, [text(v) for v in cells]) for p, c in zip(pdf["path"], pdf["content"], strict=True) for i, cells in enumerate(parser(bytes(c)))]
             yield pd.DataFrame(rows, columns=["file", "pos", "cells"])
 
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, pos long, cells array<string>")
+    return sheet_records(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, pos long, cells array<string>"))
+
+
+def sheet_records(cells: DataFrame) -> DataFrame:
+    """Records (see table_records) of rows of sheets: file, pos and cells."""
     width = cells.agg(F.max(F.size("cells"))).first()[0] or 1
     return table_records(cells.select("file", "pos", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)]))
 
