@@ -309,6 +309,70 @@ def test_pipeline_runs(spark, rows, tmp_path):
     assert out.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "suffix-array dedup", "mixing sources to target weights", "best-fit packing"]
 
 
+def test_pipeline_against_composed_models(spark, rows, tmp_path):
+    """One run over rows with ids of their own: each later stage is modelled on what the model of the one before has left."""
+    import public_tokenizers
+
+    own = list({r[0]: r for r in rows if r[0] is not None}.values())
+    spark.createDataFrame(own, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    known_ids = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    left = {r[0]: r[1] or "" for r in own if r[0] in known_ids}
+    assert len(left) > 60 and not set(left) & {200, 201, 202, 203}
+    left = {i: left[i] for i, (_, c) in reference_components(list(left.items()), 5, 80, 100).items() if i == c}
+    seen: set[bytes] = set()
+    cut = {}
+    for i in sorted(left):  # a window goes where it starts earlier, in this text or in one of a smaller id
+        data = left[i].encode()
+        gone = bytearray(len(data))
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(data[k : k + 100])
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "replace")
+        if not any(gone) or kept.strip(" "):
+            cut[i] = kept
+    source = {r[0]: r[3] for r in own}
+    size = {i: len(t.encode().split()) for i, t in cut.items()}
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def pieces(text):
+        ids = np.array([*encode(text), 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        edges = [0, *range(min(first, len(ids)), len(ids) + 1, 2048)]
+        return [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+
+    got, sequences = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    copies = {}
+    for i, found in got.items():
+        want = pieces(cut[i])
+        copies[i], rest = divmod(len(found), len(want))
+        assert rest == 0 and sorted(found) == sorted(want * copies[i]) and 1 <= copies[i] <= 3
+    # a source's words come near its target: its part of all words by weight, at most three times its own
+    names = sorted({source[i] for i in cut}, key=lambda s: (s is None, s or ""))
+    total, own_size = sum(size.values()), {s: sum(n for i, n in size.items() if source[i] == s) for s in names}
+    target, open_ = {}, dict(zip(names, (5, 2, 1) * 9, strict=False))
+    while open_:
+        rest = total - sum(target.values())
+        over = [s for s in open_ if rest * open_[s] / sum(open_.values()) > 3 * own_size[s]]
+        if not over:
+            target |= {s: rest * w / sum(open_.values()) for s, w in open_.items()}
+            break
+        for s in over:
+            target[s] = 3 * own_size[s]
+            del open_[s]
+    for s in names:
+        taken = sum(size[i] * copies.get(i, 0) for i in cut if source[i] == s)
+        assert target[s] - max(size.values()) <= taken <= target[s] + max(size.values())
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(sequences) <= packing.least_bins([n for p in sequences.values() for _, n in p], 2048) + 1
+
+
 def test_crowded_windows_by_hand(spark):
     text = bytes(range(65, 65 + 26)) * 8
     rows = spark.createDataFrame([(0, d, 0, f, 3, bytearray(text[f : f + 102])) for d, f in ((2, 0), (1, 26), (1, 0))], suffix_dedup.OPEN)
