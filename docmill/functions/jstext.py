@@ -72,8 +72,3 @@ def contains_any(col: Column, terms: tuple[str, ...]) -> Column:
     """Whether a text holds any of the terms: one expression, however many they are."""
     return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(col, t))
 
-
-def held(col: Column, groups: dict[str, tuple[str, ...]]) -> Column:
-    """An array that says of each group, in order, whether a text holds any of its terms."""
-    lists = F.array(*[F.array(*map(F.lit, terms)) for terms in groups.values()])
-    return F.transform(lists, lambda terms: F.exists(terms, lambda t: F.contains(col, t)))

@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.dates import parse_date, rounded_hours
-from docmill.functions.jstext import WS, B, contains_any, held, search_text, sub, trim, units
+from docmill.functions.jstext import WS, B, contains_any, search_text, sub, trim, units
 from docmill.functions.jsvalue import parse, write
 from docmill.functions.redact import PLACEHOLDER
+from docmill.functions.terms import holds, scanned
 from docmill.functions.text import normalize_whitespace
 from docmill.operators.articles import variant_text
 from docmill.operators.ordering import dealt_join, ranked
@@ -48,14 +49,15 @@ VAGUE_CATEGORIES = ("divers", "autre", "general", "n/a")
 VAGUE_SUBJECTS = ("test", "client critique", "divers")
 
 
-def useful(text: Column, search: Column) -> Column:
-    return (units(text) >= 40) | contains_any(search, RESOLUTION + PROCEDURE + ANOMALY)
+def only_links(text: Column) -> Column:
+    """Little besides links."""
+    bare = sub(sub(sub(text, r"(?i)https?://[^\s]+", " "), r"\[[^\]]+\]\([^)]+\)", " "), rf"(?i){B}voir le ticket{B}", " ")
+    return units(normalize_whitespace(bare)) < 20
 
 
 def link_or_alert(text: Column, search: Column) -> Column:
     """Little besides links, or a technical alert without a procedure."""
-    bare = sub(sub(sub(text, r"(?i)https?://[^\s]+", " "), r"\[[^\]]+\]\([^)]+\)", " "), rf"(?i){B}voir le ticket{B}", " ")
-    return (units(normalize_whitespace(bare)) < 20) | (contains_any(search, TECHNICAL) & ~contains_any(search, PROCEDURE))
+    return only_links(text) | (contains_any(search, TECHNICAL) & ~contains_any(search, PROCEDURE))
 
 
 def weak_reason(text: Column, search: Column) -> Column:
@@ -125,8 +127,12 @@ def clean_messages(messages: DataFrame, ticket_subject: str | None = None, rules
     return left.unionByName(gone.withColumn("place", F.lit(None).cast("int")))
 
 
+#: Fixed value: what a number of a version looks like.
+VERSION = rf"{B}[0-9]+\.[0-9]+"
+
+
 def version(c: Column) -> Column:
-    return contains_any(c, TERMS["fix"]) | F.regexp_like(c, F.lit(rf"{B}[0-9]+\.[0-9]+"))
+    return contains_any(c, TERMS["fix"]) | F.regexp_like(c, F.lit(VERSION))
 
 
 #: Counts of a message that matter only if it stays.
@@ -158,10 +164,16 @@ def summarize(judged: DataFrame) -> DataFrame:
     said = search_text(F.concat_ws("\n", F.coalesce("content", F.lit("")), F.coalesce("subject", F.lit(""))))
     own = [F.col("own")] if "own" in judged.columns else []
     m = judged.select("ticket_id", "pos", "same", "reason", "text", "search", "n_fixes", *COUNTERS.values(), *own, said.alias("said"), search_text(F.coalesce("author", F.lit(""))).alias("who"))
-    m = m.withColumns({"said_has": held(F.col("said"), TERMS), "who_has": held(F.col("who"), TERMS), "said_version": version(F.col("said"))})
-    left = F.col("reason").isNull()
-    m = m.withColumns({"useful": left & useful(F.col("text"), F.col("search")), "solid": left & ~link_or_alert(F.col("text"), F.col("search"))})
-    terms = [F.bool_or(F.col(f"{c}_has")[i]).alias(f"{c}_{name}") for c in ("said", "who") for i, name in enumerate(TERMS)]
+    numbered = F.regexp_like("said", F.lit(VERSION))
+    m = m.select(*[c for c in m.columns if c != "text"], numbered.alias("numbered"), (units(F.col("text")) >= 40).alias("long"), only_links(F.col("text")).alias("links"))
+    m = scanned(m, {"said": "said_bits", "who": "who_bits", "search": "text_bits"}, TERMS, drop=("said", "who", "search"))
+    left, has = F.col("reason").isNull(), lambda c, *names: holds(F.col(f"{c}_bits"), TERMS, *names)
+    m = m.withColumns({
+        "useful": left & (F.col("long") | has("text", "resolution", "procedure", "anomaly")),
+        "solid": left & ~(F.col("links") | (has("text", "technical") & ~has("text", "procedure"))),
+        "said_version": F.col("numbered") | has("said", "fix"),
+    })
+    terms = [F.max(has(c, name)).alias(f"{c}_{name}") for c in ("said", "who") for name in TERMS]
     sums = [F.sum(c).alias(c) for c in ("n_fixes", *COUNTERS.values())]
     alike = m.groupBy("ticket_id", "reason", F.when(left, F.col("same")).alias("same")).agg(F.count("*").alias("n"), F.bool_or("useful").alias("useful"), F.bool_or("solid").alias("solid"), *sums, *terms, *[F.min_by("own", "pos").alias("own") for _ in own], F.bool_or("said_version").alias("said_version"))
     return alike.groupBy("ticket_id").agg(
