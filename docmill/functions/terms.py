@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.batches import slices
+
 
 def automaton(groups: dict[str, tuple[str, ...]]):
     """An automaton whose words say which groups they are of, a bit each in the order of ``groups``."""
@@ -42,7 +44,7 @@ def scanned(df: DataFrame, texts: dict[str, str], groups: dict[str, tuple[str, .
                     break
             return out
 
-        for b in batches:
+        for b in slices(batches):
             at = {n: i for i, n in enumerate(b.schema.names)}
             made = [pa.array([bits(x) for x in b.column(at[c]).to_pylist()], pa.int64()) for c in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(at[c]) for c in left), *made], names=schema.fieldNames())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.batches import slices
 from docmill.functions import jsvalue
 from docmill.functions.jstext import let
 from docmill.functions.redact import KINDS, PLACEHOLDER, key_kind, matches, redacted
@@ -105,7 +106,7 @@ def transform(
 
     def apart(batches):
         kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-        for b in batches:
+        for b in slices(batches):
             out = []
             for value in b.column(b.schema.get_field_index(text)).to_pylist():
                 found: list[tuple[str, str]] = []
@@ -122,7 +123,7 @@ def transform(
     def together(batches):
         names = [x.split()[0] for x in RESULT.split(", ")]
         kinds_ = [pa.string()] + [pa.int64()] * 8 + [pa.list_(pa.struct([(n, pa.string()) for n in ("type", "fieldPath", "placeholder", "preview")]))]
-        for b in batches:
+        for b in slices(batches):
             at = {n: i for i, n in enumerate(b.schema.names)}
             rows = [record(*x) for x in zip(b.column(at[text]).to_pylist(), b.column(at["_texts"]).to_pylist(), b.column(at["_clean"]).to_pylist(), strict=True)]
             own = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_)]
@@ -164,7 +165,7 @@ def documents(df: DataFrame, source_file: str, source_type: str, tool: str, posi
     """content, value (a document as JSON), n_words (of the content) and n_empty (nulls and blank texts) of records in JSON: as for typed records, numbers in ECMAScript's form."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at = {n: i for i, n in enumerate(b.schema.names)}
             out = [document(*x) for x in zip(b.column(at[position]).to_pylist(), b.column(at[record]).to_pylist(), strict=True)]
             cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]

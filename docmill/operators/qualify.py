@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.batches import slices
 from docmill.functions.jsvalue import parse, write
 from docmill.operators.dynamic import blank_runs, count_empty
 
@@ -146,7 +147,7 @@ def with_labels(df: DataFrame, text: str = "text") -> DataFrame:
     at = {n: i for i, n in enumerate(df.columns)}
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], []]
             for item, level, tags, summary in zip(*(b.column(at[c]).to_pylist() for c in (text, "level", "tags", "summary")), strict=True):
                 value = parse(item) | ({} if level is None else {"level": level, "tags": tags or [], "summary": summary or ""})

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.batches import slices
 from docmill.functions.dates import parse_date, rounded_hours
 from docmill.functions.jstext import WS, B, contains_any, search_text, sub, trim, units
 from docmill.functions.jsvalue import parse, write
@@ -344,7 +345,7 @@ def ticket_lines(records: DataFrame, messages: DataFrame, pretty: bool = True) -
         return text if last else ("    ],\n" if pretty else "],") + text
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [line(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["key", "at", "value"])
 

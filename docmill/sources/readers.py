@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.batches import slices
 from docmill.functions.jsvalue import parse, write
 from docmill.functions.jstext import WS
 from docmill.functions.keys import normalize_keys
@@ -85,7 +86,7 @@ def read_json(spark: SparkSession, path: str, array: bool = False, objects: bool
     items = jsonsplit.item_texts(spark, path)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for file, pos, lone, last, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if not lone:
@@ -114,7 +115,7 @@ def json_records(df: DataFrame, text: str = "value", array: bool = False, object
     """The rows with pos, record and text of the records in JSON texts; see read_json."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows, out = [], []
             for i, value in enumerate(b.column(b.schema.get_field_index(text)).to_pylist()):
                 items = split_items(value, array, objects)

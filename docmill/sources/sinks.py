@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.batches import slices
 from docmill.functions.jstext import sub, trim
 from docmill.functions.jsvalue import parse, write
 
@@ -84,7 +85,7 @@ def indented(lines: DataFrame, step: int = 2) -> DataFrame:
     at = lines.columns.index("value")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [" " * step + write(parse(t), step, 1) for t in b.column(at).to_pylist()]
             yield b.set_column(at, "value", pa.array(out, pa.string()))
 
