@@ -67,7 +67,12 @@ def clean_text(c: Column, fix_encoding: bool, images: bool, html: bool, control:
         return let(F.struct(text.alias("text"), r["n"].alias("n"), (n if images else F.lit(0)).alias("images")), told)
 
     def told(t: Column) -> Column:
-        return let(redacted(t["text"], kinds), lambda d: F.struct(d["text"].alias("text"), t["n"].alias("fixes"), t["images"].alias("images"), *[d[k].alias(k) for k in KINDS], matches(t["text"], kinds, reveal).alias("found")))
+        def with_found(d: Column) -> Column:
+            # what matches is looked for only where something does
+            found = F.when(sum((d[k] for k in KINDS), F.lit(0)) > 0, matches(t["text"], kinds, reveal)).otherwise(F.array().cast("array<struct<type:string,preview:string>>"))
+            return F.struct(d["text"].alias("text"), t["n"].alias("fixes"), t["images"].alias("images"), *[d[k].alias(k) for k in KINDS], found.alias("found"))
+
+        return let(redacted(t["text"], kinds), with_found)
 
     return let(first, run)
 
