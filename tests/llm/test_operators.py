@@ -470,6 +470,25 @@ def test_topk_large_components_and_repeats(spark):
         topk.quantize(floats).collect()
 
 
+def test_topk_repeated_queries_and_far_scales(spark):
+    rows = [(50, [2, 1]), (50, [2, 1]), (50, [0, 3]), (1, [1, 1]), (2, [1, 0])]
+    v = spark.createDataFrame(rows, "vec_id long, ints array<long>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id = 50"), k=5).orderBy("rank").collect()]
+    assert got == [(1, 3), (1, 3), (1, 3), (2, 2), (2, 2)]
+    # components past 2**53 whose scores fit a long
+    floats = spark.createDataFrame([(0, [float(2**46), 0.0]), (1, [0.5, 0.5]), (2, [0.25, 9.0])], "vec_id long, embedding array<double>")
+    ints = topk.quantize(floats)
+    assert [(r.vec_id, r.score) for r in topk.top_k(ints, ints.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 2**54 * 128), (2, 2**54 * 64)]
+    # a query whose square is far past its products
+    rng = np.random.default_rng(5)
+    c = rng.integers(-256, 256, (300, 64))
+    q = rng.integers(-(2**52), 2**52, (1, 64))
+    ids = np.arange(300)
+    _, found, scores = topk.block_top(q, c, ids, np.array([-1]), 5, (4, 16))
+    want = sorted((-sum(int(a) * int(b) for a, b in zip(q[0], x)), i) for i, x in enumerate(c))[:5]
+    assert list(zip([-int(s) for s in scores], found.tolist())) == want
+
+
 def test_empty(spark, empty):
     assert jaccard.near_classes(empty).count() == 0
     assert suffix_dedup.cut_repeats(empty).count() == 0
