@@ -39,6 +39,10 @@ class AnswerLog:
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(self.path)
 
+    def calls(self) -> int:
+        """Calls that the answers took. The log holds what a task committed, so neither a task that is repeated nor calls side by side miscount."""
+        return self.rows().agg(F.coalesce(F.sum("attempts"), F.lit(0)).alias("n")).first().n
+
     def latest(self) -> DataFrame:
         """One row a key."""
         value = F.struct(*[c for c in self.rows().columns if c != "key"])

@@ -40,6 +40,18 @@ def items(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(7)
 
 
+def test_calls_are_counted_by_the_log(spark, items, tmp_path):
+    def caller(item):
+        if item["id"] == "5":
+            raise RuntimeError("refused")
+        return '{"level": "N1"}'
+
+    log = str(tmp_path / "log")
+    a = answers.ask(items, caller, log, concurrency=8, retries=2, backoff_ms=0)
+    assert a.log.calls() == 40 + 3 and answers.ask(items, caller, log).log.calls() == 40 + 3
+    assert answers.AnswerLog(spark, str(tmp_path / "none")).calls() == 0
+
+
 def test_each_item_is_asked_once(items, tmp_path):
     log, marks = str(tmp_path / "log"), tmp_path / "calls"
     marks.mkdir()
