@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docmill.functions.jstext import DOT, WS, B, let, literal, remap, sub, trim
+from docmill.functions.jstext import DOT, WS, B, let, literal, remap, sub, trim, where_held
 
 IMAGE = r"""(?i)<img\b[^>]*\bsrc\s*=\s*(["'])data:image/[^"']+;base64,[^"']+\1[^>]*>""".replace(r"\b", B).replace(r"\s", f"[{WS}]")
 IMAGE_PLACEHOLDER = "[Image — contenu non extrait]"
@@ -16,7 +16,8 @@ CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in
 #: What mis-decoded text looks like.
 _BROKEN_EMOJI = r"\u00f0[\u0080-\u00ff]{1,3}"
 _AFTER_A = r"[\u0080-\u00ff\u20ac\u201a-\u201e\u2020-\u2022\u2013-\u201d\u2122\u0160\u0152\u017d\u0161\u0153\u017e\u0178]"
-MOJIBAKE = rf"\u00c3{DOT}|\u00c2{DOT}|\u00e2{_AFTER_A}|{_BROKEN_EMOJI}|\ufffd"
+_LEADS = r"[\u00c2\u00c3\u00e2\u00f0\ufffd]"  # what all of it starts with
+MOJIBAKE = rf"(?={_LEADS})(?:\u00c3{DOT}|\u00c2{DOT}|\u00e2{_AFTER_A}|{_BROKEN_EMOJI}|\ufffd)"
 
 
 def strip_control(c: Column) -> Column:
@@ -30,6 +31,11 @@ def _char(code: Column, text: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
+    return where_held(c, ("&",), decoded)
+
+
+def decoded(c: Column) -> Column:
+    """As :func:`decode_entities`, without the search for what it changes: a smaller plan, for short texts."""
     for name, to in ENTITIES:
         c = sub(c, "(?i)" + name, literal(to))
     c = remap(c, r"&#[0-9]+;", lambda m: _char(F.regexp_extract(m, "[0-9]+", 0).try_cast("bigint"), m))
@@ -37,21 +43,25 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
-    c = sub(c, rf"(?i)<script{B}[^>]*>[\s\S]*?</script>", " ")
-    c = sub(c, rf"(?i)<style{B}[^>]*>[\s\S]*?</style>", " ")
-    c = sub(c, rf"(?i)<br[{WS}]*/?>", "\n")
-    c = sub(c, r"(?i)</(p|div|section|article|li|tr|h[1-6])>", "\n")
-    return decode_entities(sub(c, r"<[^>]+>", " "))
+    def stripped(c: Column) -> Column:
+        c = sub(c, rf"(?i)<script{B}[^>]*>[\s\S]*?</script>", " ")
+        c = sub(c, rf"(?i)<style{B}[^>]*>[\s\S]*?</style>", " ")
+        c = sub(c, rf"(?i)<br[{WS}]*/?>", "\n")
+        c = sub(c, r"(?i)</(p|div|section|article|li|tr|h[1-6])>", "\n")
+        return sub(c, r"<[^>]+>", " ")
+
+    return decode_entities(where_held(c, ("<",), stripped))
 
 
 def normalize_whitespace(c: Column) -> Column:
     """Line ends to \\n, no-break spaces to blanks, runs of blanks and tabs to one blank, none around line ends, two line ends at most, trimmed.
 
-    The patterns match only where something changes, so clean text is searched but not rebuilt.
+    Each pattern is looked for only in texts that hold what it changes.
     """
-    c = F.replace(sub(c, r"\r\n?", "\n"), F.lit("\u00a0"), F.lit(" "))
-    c = sub(sub(c, r"(?:\t| [ \t])[ \t]*", " "), r"[ \t]+\n[ \t]*|\n[ \t]+", "\n")
-    return trim(sub(c, r"\n{3,}", "\n\n"))
+    c = F.replace(where_held(c, ("\r",), lambda x: sub(x, r"\r\n?", "\n")), F.lit("\u00a0"), F.lit(" "))
+    c = where_held(c, ("\t", "  "), lambda x: sub(x, r"(?:\t| [ \t])[ \t]*", " "))
+    c = where_held(c, (" \n", "\n "), lambda x: sub(x, r"[ \t]+\n[ \t]*|\n[ \t]+", "\n"))
+    return trim(where_held(c, ("\n\n\n",), lambda x: sub(x, r"\n{3,}", "\n\n")))
 
 
 def clean(c: Column, html: bool = False, control: bool = False, whitespace: bool = True) -> Column:
@@ -72,10 +82,11 @@ def mojibake_score(c: Column) -> Column:
 def _redecode(c: Column) -> Column:
     """The text's Windows-1252 bytes read as UTF-8; other characters count by the low byte of their first UTF-16 unit."""
     src = "".join(CP1252.values())
-    c = F.translate(c, src, "".join(chr(b) for b in CP1252))
-    code = lambda ch: F.when(F.ascii(ch) > 0xFFFF, F.shiftright(F.ascii(ch) - 0x10000, 10)).otherwise(F.ascii(ch)).bitwiseAND(255)
-    data = F.array_join(F.transform(F.split(c, ""), lambda ch: F.lpad(F.hex(code(ch)), 2, "0")), "")
-    return sub(F.make_valid_utf8(F.unhex(data).cast("string")), r"\A\ufeff")
+    low = lambda c: F.when(F.regexp_like(c, F.lit(f"[{src}]")), F.translate(c, src, "".join(chr(b) for b in CP1252))).otherwise(c)
+    # of each UTF-16 unit its low byte; low surrogates go
+    units = lambda c: F.unhex(sub(F.hex(F.encode(c, "UTF-16BE")), r"D[89AB](..)....|..(..)", "$1$2"))
+    data = let(low(c), lambda x: F.when(F.regexp_like(x, F.lit(r"[^\u0000-\u00ff]")), units(x)).otherwise(F.encode(x, "ISO-8859-1")))
+    return sub(F.make_valid_utf8(data.cast("string")), r"\A\ufeff")
 
 
 def _round(state: Column) -> Column:
