@@ -53,8 +53,7 @@ def count_empty(value) -> int:
 
 def blank_runs(text: str) -> int:
     """Runs of white space in a text: one less than its words, if it neither starts nor ends with one."""
-    now = [c in _BLANK for c in text]
-    return sum(b and not a for a, b in zip([False, *now], now, strict=False))
+    return len(_RUN.findall(text))
 
 
 def clean_text(c: Column, fix_encoding: bool, images: bool, html: bool, control: bool, whitespace: bool, kinds: tuple[str, ...], reveal: bool) -> Column:
@@ -77,7 +76,7 @@ def clean_text(c: Column, fix_encoding: bool, images: bool, html: bool, control:
     return let(first, run)
 
 
-_WORD = re.compile(f"[^{''.join(sorted(_BLANK))}]+")
+_WORD, _RUN = (re.compile(f"[{no}{''.join(sorted(_BLANK))}]+") for no in ("^", ""))
 
 
 def findings(done: DataFrame, order: str = "pos") -> DataFrame:
