@@ -8,13 +8,15 @@ windows with one anchor move together until they must be told apart:
 2. the second digit is the run's whole text: of equal runs all but the first repeat it;
 3. what is left of repeated anchors, the first of each different run, is ordered window by window in digits
    of eight bytes, groups of one dropping out at each pass; the groups left after DEPTH bytes are
-   exactly the repeated windows.
+   exactly the repeated windows. Anchors with too many such runs come apart first: see ``halved``.
 
 Runs are equal when the 64-bit hash of the anchor and that of the run's text are, each over other multipliers: 128 bits.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from docmill.llm.common import OWN, PACKED, mix64, packed, slices, stash, table,
 
 DEPTH, GRAM, BLOCK = 100, 36, 1 << 18
 WIDE_AT, SPREAD = 8, 64  # an anchor that a batch finds in more different runs goes to so many sub-keys
-GROUP = 1000  # runs of one anchor that are ordered together; beyond, equal windows meet in an aggregate instead. Both ways find the same
+GROUP = 1000  # runs of one key that are ordered together; beyond, they are cut in halves with keys of their own. Both ways find the same
 T_, PLACES = OWN + "t", OWN + "places"
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -218,6 +220,37 @@ def open_texts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
     return packed(docs.select("doc_id", "t", "text")).join(lists, ["doc_id", "t"]).select("doc_id", "t", PACKED, "places").mapInArrow(run, OPEN)
 
 
+PIECES = OPEN + ", lo int, hi int"  # of the windows' places of the anchor, the least and the most that a piece may have
+
+
+def halved(rows: DataFrame) -> DataFrame:
+    """PIECES cut in two by the place that the anchor has in a window, so each gives two rows at most.
+
+    All windows of a half share the text around the anchor that the outermost of its places leave. It is the half's key: equal
+    windows have equal places, so they stay together.
+    """
+
+    @tidy
+    def run(batches):
+        hasher = Hasher()
+        for b in slices(batches, 1024):
+            out: list[list] = [[] for _ in range(8)]
+            for doc, t, first, n, x, lo, hi in zip(*(b.column(c).to_pylist() for c in range(1, 8)), strict=True):
+                s = hasher.sums(np.frombuffer(x, np.uint8))
+                at = int(np.argmin(hasher.grams(s)[: DEPTH - GRAM + 1]))
+                mid = (lo + hi) // 2
+                cut = min(n, max(0, at - mid))  # window j has the anchor at at - j
+                for j, end, low, high in ((0, cut, mid + 1, hi), (cut, n, lo, mid)):
+                    if j < end:
+                        shared = hasher.of(s, np.array([at - low]), np.array([at - high + DEPTH])) ^ mix64(np.array([low * 128 + high]))
+                        for col, v in zip(out, (shared.view(np.int64)[0], doc, t, first + j, end - j, x[j : end - 1 + DEPTH], low, high), strict=True):
+                            col.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names=["k", "doc_id", "t", "first", "n", "bytes", "lo", "hi"])
+
+    return rows.mapInArrow(run, PIECES)
+
+
 def crowded_windows(rows: DataFrame) -> DataFrame:
     """Windows of runs that occur earlier, each as (doc_id, t, first, n = 1): all but the first place of each text.
 
@@ -329,14 +362,26 @@ def once(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """Runs of windows of (doc_id, t, text) that also start earlier: doc_id, t, first, n."""
     settled = stash(settle(anchors(docs)), "settled")
-    opened = stash(open_texts(docs, settled.where("open")), "open")
-    crowded = stash(opened.groupBy("k").count().where(F.col("count") > GROUP).select("k"), "crowded")
     found = settled.where("NOT open").select("doc_id", "t", "first", "n")
-    if not crowded.isEmpty():
-        hot = F.broadcast(crowded)  # at most open runs / GROUP keys
-        found = found.unionByName(crowded_windows(stash(opened.join(hot, "k", "left_semi"), "crowded-runs")))
-        opened = opened.join(hot, "k", "left_anti")
-    return found.unionByName(order_windows(opened))
+    at, width = ["doc_id", "t", "first"], DEPTH - GRAM + 1
+    pieces = stash(open_texts(docs, settled.where("open")).withColumns({"lo": F.lit(0), "hi": F.lit(width - 1)}), "open")
+    ordered = []
+    while not (crowded := stash(pieces.groupBy("k").count().where(F.col("count") > GROUP).select("k"), "crowded")).isEmpty():
+        hot = F.broadcast(crowded)  # at most pieces / GROUP keys
+        ordered.append(pieces.join(hot, "k", "left_anti"))
+        pieces = pieces.join(hot, "k", "left_semi")
+        if width <= 2:
+            found, pieces = found.unionByName(crowded_windows(stash(pieces, "crowded-runs"))), None
+            break
+        width = -(-width // 2)
+        halves = stash(halved(pieces), "halves")
+        # of equal halves all but the first repeat it; they meet as sums, and the others are found by their own position
+        firsts = halves.groupBy("bytes").agg(F.min(F.struct(*at, "k", "n", "lo", "hi")).alias("x"))
+        pieces = stash(firsts.select("x.*", "bytes").select(halves.columns), "pieces")
+        found = found.unionByName(halves.select(*at, "n").join(pieces.select(*at).hint("merge"), at, "left_anti"))
+    if pieces is not None:
+        ordered.append(pieces)
+    return found.unionByName(order_windows(functools.reduce(DataFrame.unionByName, ordered).drop("lo", "hi")))
 
 
 def spans_of(runs_: list[tuple[int, int]]) -> list[tuple[int, int]]:

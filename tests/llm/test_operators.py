@@ -119,6 +119,23 @@ def test_suffix_dedup_crowded(docs, monkeypatch):
     assert got == reference_cut(list(enumerate(texts())))
 
 
+def test_suffix_dedup_crowded_comes_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    line = "the one line of forty-odd bytes that all have"
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    sides = [word(60) for _ in range(3)]
+    rows = [(i, f"{word(60)}{i} {line}{sides[i % 3]}") for i in range(30)] + [(i, f"{sides[i % 3]}{line} {i}{word(60)}") for i in range(30, 60)] + [(i, sides[0] + line + sides[1]) for i in range(60, 64)]
+    wide, widths, made = suffix_dedup.crowded_windows, [], []
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    monkeypatch.setattr(suffix_dedup, "crowded_windows", lambda r: widths.append(r.agg(F.max("n")).first()[0]) or wide(r))
+    halved = suffix_dedup.halved
+    monkeypatch.setattr(suffix_dedup, "halved", lambda r: made.append((r.count(), halved(r).count())) or halved(r))
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == reference_cut(rows)
+    # no run of an anchor that many have is told window by window, and a cut gives two pieces of it at most
+    assert all(w is None or w <= 2 for w in widths) and made and all(b <= 2 * a for a, b in made)
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
