@@ -26,11 +26,13 @@ RULES = (
 _HINTS = (
     lambda low: _any(low, ":", "=") & _any(low, "passw", "pwd", "token", "key", "secret", "passe"),
     lambda low: _any(low, ".p12", ".pem", ".key"),
-    lambda low: F.regexp_like(low, F.lit(r"[0-9]\.[0-9]")),
+    lambda low: F.regexp_like(low, F.lit(r"\.(?<=[0-9]\.)[0-9]")),
     lambda low: _any(low, "\\\\"),
     lambda low: _any(low, ":\\"),
     lambda low: _any(low, "/srv/", "/var/www/", "/opt/", "/etc/"),
 )
+#: What a text must hold for letter case to matter to a hint; others are not put in lower case, which costs more than all hints.
+_CASED = (":", "=", "/", ".p", ".P", ".k", ".K")
 KINDS = ("secret", "certificate", "ip", "internalPath")
 PLACEHOLDER = {"secret": "[SECRET_REDACTED]", "certificate": "[CERTIFICATE_REDACTED]", "ip": "[IP_REDACTED]", "internalPath": "[INTERNAL_PATH_REDACTED]"}
 _SECRET_KEY = re.compile(r"(?:^|[._-])(?:password|passwd|pwd|token|api[_-]?key|secret|mot\s*de\s*passe)(?:$|[._-])", re.I)
@@ -51,7 +53,7 @@ def _through(c: Column, kinds: tuple[str, ...], start, step) -> Column:
     """
 
     def told(text: Column) -> Column:
-        return let(F.lower(text), lambda low: let(F.array(*[hint(low) for hint in _HINTS]), lambda on: run(text, on)))
+        return let(F.when(_any(text, *_CASED), F.lower(text)).otherwise(text), lambda low: let(F.array(*[hint(low) for hint in _HINTS]), lambda on: run(text, on)))
 
     def run(text: Column, on: Column) -> Column:
         state = start(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +19,21 @@ CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in
 #: What mis-decoded text looks like.
 _BROKEN_EMOJI = r"\u00f0[\u0080-\u00ff]{1,3}"
 _AFTER_A = r"[\u0080-\u00ff\u20ac\u201a-\u201e\u2020-\u2022\u2013-\u201d\u2122\u0160\u0152\u017d\u0161\u0153\u017e\u0178]"
-_LEADS = r"[\u00c2\u00c3\u00e2\u00f0\ufffd]"  # what all of it starts with
+LEADS = ("\u00c2", "\u00c3", "\u00e2", "\u00f0", "\ufffd")  # what all of it starts with
+_LEADS = f"[{''.join(LEADS)}]"
 MOJIBAKE = rf"(?={_LEADS})(?:\u00c3{DOT}|\u00c2{DOT}|\u00e2{_AFTER_A}|{_BROKEN_EMOJI}|\ufffd)"
 
 
+def _listed(*codes: int) -> str:
+    """A class of characters below 256, each named: Java looks them up in a table, where ranges are tested in turn."""
+    return f"[{''.join(f'\\x{x:02x}' for x in codes)}]"
+
+
+CONTROL, C1 = _listed(*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F), _listed(*range(0x80, 0xA0))
+
+
 def strip_control(c: Column) -> Column:
-    return sub(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+    return sub(c, CONTROL)
 
 
 def _char(code: Column, text: Column) -> Column:
@@ -92,7 +104,8 @@ def _redecode(c: Column) -> Column:
 def _round(state: Column) -> Column:
     """One round over (text, fixes, going)."""
     now = state["text"]
-    other = F.when(state["going"] & F.regexp_like(now, F.lit(MOJIBAKE)), sub(_redecode(now), r"\u00c2"))
+    held = reduce(or_, (F.contains(now, F.lit(x)) for x in LEADS))  # costs less than the pattern, which few texts come to
+    other = F.when(state["going"] & held & F.regexp_like(now, F.lit(MOJIBAKE)), sub(_redecode(now), r"\u00c2"))
 
     def judged(p: Column) -> Column:
         taken = p["other"].isNotNull() & (p["other"] != now) & (p["after"] <= p["before"])
@@ -110,7 +123,7 @@ def repaired(c: Column) -> Column:
         state = let(state, _round)
 
     def last(s: Column) -> Column:
-        rest = sub(s["text"], r"[\u0080-\u009f]")
+        rest = sub(s["text"], C1)
         return let(rest, lambda r: F.struct(r.alias("text"), F.when(r == c, F.lit(0)).otherwise(s["fixes"] + F.length(s["text"]) - F.length(r)).alias("n")))
 
     return let(state, last)

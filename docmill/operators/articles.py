@@ -96,7 +96,8 @@ def process(items: DataFrame, min_body: int = MIN_BODY, include_inactive: bool =
     d = d.withColumn("categorie", category(F.col("categorie"))).withColumn("plain", plain_text(F.col("body"))).withColumn("menu", menu_metrics(F.col("body")))
     d = d.withColumns({n: parse_date(F.col(n)) for n in DATE_KEYS})
     counters = {n: sum((F.col(f"{t}_found.{k}") for t in texts), F.lit(0)) for k, n in COUNTERS.items()}
-    short = units(trim(F.col("plain"))) < min_body
+    # plain texts come trimmed, and have as many units as characters at least
+    short = (F.length("plain") < min_body) & (units(F.col("plain")) < min_body)
     status = F.when(m.isNull(), "not_object").when(~F.col("live"), "inactive").when(short, "short").when(F.col("menu.is_menu") & F.lit(not include_menu), "menu").otherwise("kept")
     place = {"body": F.concat(F.lit("article_"), F.col("pos").cast("string"), F.lit(".corps"))}
     told = lambda t: F.transform(F.coalesce(F.col(f"{t}_found.found"), F.array()), lambda f: F.struct(f["type"].alias("type"), f["preview"].alias("preview"), place.get(t, F.lit(PATHS[t])).alias("path")))

@@ -46,3 +46,12 @@ def test_redaction_at_word_edges(spark):
         "xC:\\etc\\a é[INTERNAL_PATH_REDACTED] [INTERNAL_PATH_REDACTED]",
         "mot\u00a0de passe : [SECRET_REDACTED]",
     ])
+
+
+def test_gates_keep_what_the_rules_change(spark):
+    rows = ["PASSWORD = Abc1; x", "Cert in a/b.KEY now", "see C.Pem", "at /OPT/app/x", "C:\\DATA\\y", "10.0.0.1", "nothing \u00e9 here.", "\u00c3\u00a9t\u00c3\u00a9", "a\u0085b\u009fc", "x\ufffd", "\x00a\x08\tb\x0b\x1f\x7f\n"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = d.select("i", redact.redacted(F.col("t"))["text"].alias("safe"), text.repaired(F.col("t"))["text"].alias("fixed"), text.strip_control(F.col("t")).alias("stripped")).orderBy("i").collect()
+    assert [r.safe for r in got[:7]] == ["PASSWORD = [SECRET_REDACTED]; x", "Cert in [CERTIFICATE_REDACTED] now", "see [CERTIFICATE_REDACTED]", "at [INTERNAL_PATH_REDACTED]", "[INTERNAL_PATH_REDACTED]", "[IP_REDACTED]", "nothing \u00e9 here."]
+    assert [r.fixed for r in got[6:10]] == ["nothing \u00e9 here.", "\u00e9t\u00e9", "abc", "x\ufffd"]
+    assert got[10].stripped == "a\tb\n"
