@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import dates, keys, markdown, redact, text
-from docmill.operators import qualify, records, tickets
+from docmill.operators import diagnostics, qualify, records, tickets
 from docmill.plans.catalogue import ORACLES, QUERIES
 from docmill.sources import readers
 from docmill.streaming.rows import redacted_stream
@@ -113,6 +113,28 @@ def test_query(spark, name):
         assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+_ODD = [
+    *[(i, f"some words {i}\tof\x0btext", "en") for i in range(-6, 7)],
+    *[(11, None, "en"), (12, "", "en"), (13, " \n\u00a0", "en"), (14, "a b", None), (16, "a b", " "), (None, "a b", ""), (15, None, None), (20, "", " ")],
+    *[(21 + i, f"a{chr(c)}b", "en") for i, c in enumerate((0x1C, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))],
+]
+
+
+@pytest.mark.parametrize("rows", [_ODD, [(i, None, "en") for i in range(4)], []], ids=["odd", "no_text", "no_rows"])
+def test_document_diagnostics_on_odd_rows(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["document_diagnostics"](spark, str(tmp_path)).collect()]
+    assert got == c.sql(ORACLES["document_diagnostics"]).fetchall()
+
+
+def test_diagnostics_by_the_tools_rules(spark):
+    d = spark.createDataFrame([("a\u2003b c", "en"), ("", None), (" \ufeff", "x"), (None, " "), ("é", "x")], "content string, lang string")
+    assert tuple(diagnostics.diagnostics(d, fields=("lang",)).first()) == (5, 4, 5, 6)
+    assert tuple(diagnostics.diagnostics(d.where("false"), fields=("lang",)).first()) == (0, 0, 0, 0)
+
+
 def test_links_on_whole_texts(spark, tmp_path):
     texts = {3: "word " * 100, 9: "short", 21: "\n".join(["word " * 40] * 3), 24: "a " * 60000 + "end"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
